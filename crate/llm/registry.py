@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crate.llm import exact_dedup
+from crate.llm import bpe, exact_dedup, packing, substring_dedup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: Vocabulary files of public tokenizers, on every machine.
+VOCABULARIES = "/opt/tokenizers"
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -19,6 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json", keep_ids=False)
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(documents(spark, sf_dir))
@@ -35,3 +45,14 @@ with t as (
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from r
 """
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", "n_removed", "n_spans", "spans", F.sha2("text", 256).alias("kept_sha256"))
