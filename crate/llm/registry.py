@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crate.llm import bpe, exact_dedup, packing, substring_dedup
+from crate.llm import bpe, exact_dedup, language_id, packing, quality, substring_dedup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _fold(id_col: str, parts: int, held: int) -> F.Column:
+    """Whether crc32 of the id as text leaves `held` when divided by `parts`; a row without an id is never held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == held, F.lit(False))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", _fold("doc_id", 4, 2).alias("held_out"))
+    models = language_id.fit(language_id.sample(docs.filter("not held_out")))
+    return language_id.identified(docs.drop("lang"), models).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json", keep_ids=False)
@@ -47,6 +59,15 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 """
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(~_fold("doc_id", 5, 0))
+    machine = quality.fit(quality.fitting_sample(docs, labels))
+    score = F.col("quality_score")
+    return quality.scored(docs, machine).select("doc_id", _fold("doc_id", 5, 0).alias("held_out"), score.alias("score"), (score >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
