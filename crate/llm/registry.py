@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crate.llm import bpe, exact_dedup, language_id, packing, quality, substring_dedup
+from crate.llm import bpe, exact_dedup, language_id, multi_index, packing, quality, substring_dedup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,11 @@ def _fold(id_col: str, parts: int, held: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == held, F.lit(False))
 
 
+@query
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", _fold("doc_id", 4, 2).alias("held_out"))
