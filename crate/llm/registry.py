@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crate.llm import bpe, exact_dedup, language_id, multi_index, packing, quality, substring_dedup
+from crate.llm import bpe, exact_dedup, language_id, multi_index, packing, pii, quality, substring_dedup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,6 +64,15 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 """
 
 
+#: Of these queries only; a job names its own secret.
+PII_KEY = "pseudonyms of the registered query"
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
