@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crate.llm import bpe, exact_dedup, language_id, multi_index, packing, pii, quality, substring_dedup
+from crate.llm import bpe, exact_dedup, language_id, multi_index, near_dedup, packing, pii, quality, substring_dedup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,6 +64,11 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 """
 
 
+@query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
 #: Of these queries only; a job names its own secret.
 PII_KEY = "pseudonyms of the registered query"
 
