@@ -1,9 +1,60 @@
-"""Corpus pipeline: documents to packed training sequences."""
+"""Corpus pipeline: documents to packed training sequences, stage by stage.
+
+Each stage takes the whole table that the stage before it kept. Tables between stages are written and read again, so a lost
+executor costs the tasks it ran, not the stages before.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crate.llm import exact_dedup, language_id, near_dedup, packing, pii
+from crate.llm.registry import PII_KEY, VOCABULARIES
+from crate.storage import saved
+
+#: Language models and packing have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the language models reject: no letters, or a text unlike every language seen."""
+    rows = language_id.sample(docs)
+    if not rows:
+        return docs.limit(0)
+    return language_id.identified(docs, language_id.fit(rows)).filter(~F.col("rejected")).select(*docs.columns)
+
+
+def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_copies(docs)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms in the texts; n_chars follows where a pseudonym is shorter or longer."""
+    found = pii.pseudonymised(docs, PII_KEY)
+    length = F.when(F.col("n_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", length).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(docs, f"{VOCABULARIES}/word_bpe_49k.json")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", without_exact_copies),
+    ("near_dedup", without_near_copies),
+    ("pii", without_personal_data),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
