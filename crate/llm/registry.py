@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crate.llm import bpe, exact_dedup, language_id, multi_index, near_dedup, packing, pii, quality, substring_dedup
+from crate.llm import bpe, exact_dedup, language_id, multi_index, near_dedup, packing, pii, quality, substring_dedup, suffix_dedup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -78,6 +78,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
 
 
+@query
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
