@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -34,14 +35,29 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that saved() has written and nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        _delete(df.sparkSession, path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that have ended: it does so once the driver has let go of them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release() -> None:
     """Delete the tables that saved() has written; call it once the results that read them are stored."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; its folder goes with it
             return
 
