@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crate.plans import library
+from crate.plans import library, vectors
 
-MODULES = (library,)
+MODULES = (vectors, library)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
