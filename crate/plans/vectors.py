@@ -157,7 +157,7 @@ def search_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select vec_id, list_transform(embedding[1:16]::DOUBLE[], lambda y: abs(y)) as e from embeddings where embedding is not null),
-r as (select vec_id, list_sum(e[1:2]) as sub, list_sum(e[3:6]) as bass, list_sum(e[7:8]) as lowmid, list_sum(e[9:11]) as mid, list_sum(e[12:14]) as himid, list_sum(e[15:16]) as highs from p),
+r as (select vec_id, list_sum(e[1:3]) as sub, list_sum(e[4:6]) as bass, list_sum(e[7:8]) as lowmid, list_sum(e[9:12]) as mid, list_sum(e[13:14]) as himid, list_sum(e[15:16]) as highs from p),
 j as (select a.vec_id as a_id, b.vec_id as b_id, unnest(['sub', 'bass', 'low-mid', 'mid', 'high-mid', 'highs']) as name, unnest([a.sub, a.bass, a.lowmid, a.mid, a.himid, a.highs]) as a, unnest([b.sub, b.bass, b.lowmid, b.mid, b.himid, b.highs]) as b from r a join r b on b.vec_id = a.vec_id + 1)
 select a_id, b_id, name, round(a, 3) as a, round(b, 3) as b, round(greatest(0, least(1, 1 - abs(a - b) / (a + b + 1e-9))), 3) as match from j""")
 def band_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
