@@ -46,8 +46,8 @@ def unfold(nodes: DataFrame, edges: DataFrame, max_depth: int = 16) -> DataFrame
     return out.withColumn("level", F.when(F.col("depth") == 0, "genre").otherwise("subgenre"))
 
 
-#: Weight of a link by its kind; others count half.
-LINK_WEIGHT = {"subgenre": 1.0, "fusion": 0.8, "influence": 0.6}
+#: Weight of a link by its kind; others count 0.4.
+LINK_WEIGHT = {"subgenre": 1.0, "fusion": 0.7, "influence": 0.5}
 
 
 def related(seeds: DataFrame, edges: DataFrame, limit: int = 25) -> DataFrame:
@@ -55,7 +55,7 @@ def related(seeds: DataFrame, edges: DataFrame, limit: int = 25) -> DataFrame:
 
     A second link halves the weight; the strongest way counts. A node is expanded once, from its first-found depth.
     """
-    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LINK_WEIGHT.items() for x in kv]), F.col("rel")), F.lit(0.5))
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LINK_WEIGHT.items() for x in kv]), F.col("rel")), F.lit(0.4))
     both = edges.select("src", "dst", weight.alias("w")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), weight.alias("w")))
     both = both.groupBy("src", "dst").agg(F.max("w").alias("w")).filter("src <> dst")
     one = seeds.join(both, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("name"), "w")
