@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crate.plans import library, vectors
+from crate.plans import library, sound, vectors
 
-MODULES = (vectors, library)
+MODULES = (vectors, library, sound)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

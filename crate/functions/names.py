@@ -46,7 +46,7 @@ def plain_text(html: Column, most: int = 200) -> Column:
 def snippets(html: Column, tag: str = "p", n: int = 6, least: int = 12) -> Column:
     """The first n distinct texts of a page's elements that aren't too short."""
     cells = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
-    texts = F.filter(F.transform(cells, plain_text), lambda t: F.length(t) >= least)
+    texts = F.filter(F.transform(cells, lambda c: plain_text(c)), lambda t: F.length(t) >= least)
     return F.slice(F.array_distinct(texts), 1, n)
 
 

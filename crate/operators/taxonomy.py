@@ -59,7 +59,8 @@ def related(seeds: DataFrame, edges: DataFrame, limit: int = 25) -> DataFrame:
     both = edges.select("src", "dst", weight.alias("w")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), weight.alias("w")))
     both = both.groupBy("src", "dst").agg(F.max("w").alias("w")).filter("src <> dst")
     one = seeds.join(both, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("name"), "w")
-    two = one.join(both, F.col("name") == F.col("src")).filter("dst <> seed").select("seed", F.col("dst").alias("name"), (both["w"] * 0.5).alias("w"))
+    onward = both.select(F.col("src").alias("name"), F.col("dst").alias("next"), (F.col("w") * 0.5).alias("w"))
+    two = one.drop("w").join(onward, "name").filter("next <> seed").select("seed", F.col("next").alias("name"), "w")
     best = one.unionByName(two).groupBy("seed", "name").agg(F.max("w").alias("weight"))
     n = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("weight"), "name"))
     return best.withColumn("rank", n).filter(F.col("rank") <= limit)
