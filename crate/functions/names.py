@@ -24,7 +24,7 @@ def artist_title(title: Column, artist: Column, path: Column) -> Column:
     for pattern in REWRITES:
         s = F.regexp_replace(s, pattern, "")
     s = F.regexp_replace(s, r"^[ \-–—|:_\t]+|[ \-–—|:_\t]+$", "")
-    parts = F.filter(F.transform(F.split(s, r"\s[-–—]\s"), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(s, r"\s[-–—]\s"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     name = lambda a: F.trim(F.regexp_replace(a, COUNTRY, ""))
     given = F.trim(F.coalesce(artist, F.lit("")))
     one = F.struct(F.when((F.length(given) > 0) & ~given.rlike(LABELISH), name(given)).alias("artist"), F.get(parts, F.lit(0)).alias("title"))
