@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import bisect
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -21,7 +20,9 @@ CAPACITY = 4096
 #: Pieces that one task packs; the number of tasks grows with the input.
 PART_ROWS = 16_000
 MAX_ROUNDS = 8
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
+#: Code points encoded at a time.
+SLICE = 1_000_000
 
 #: Texts of these characters only are cut into words here: letters, digits and signs for which `re` and the library agree.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u012f\u0131-\u024f]")
@@ -30,36 +31,43 @@ _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordIds:
-    """Ids of a text as the tokenizers library gives them; each word is encoded once and remembered."""
+    """Ids of a text as the tokenizers library gives them; what stands between white space is encoded once and remembered."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.memo: dict[str, bytes] = _Words(self)
+        self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if _OTHER.search(text) or ("<|" in text and self.added.search(text)):
-            return self.whole(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        plain = [not (_OTHER.search(t) or ("<|" in t and self.added.search(t))) for t in texts]
+        # Such texts are in composed form already, and no word of the pattern spans white space.
+        chunks = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        return b"".join(map(self.memo.__getitem__, _WORD.findall(unicodedata.normalize("NFC", text).lower())))
-
-
-class _Words(dict):
-    def __init__(self, ids: WordIds):
-        self.ids = ids
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.ids.whole(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
+        self._learn(set().union(*chunks).difference(self.memo))
+        take = self.memo.__getitem__
+        return [b"".join(map(take, c)) if p else self.whole(t) for t, c, p in zip(texts, chunks, plain, strict=True)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of chunks: their new words are encoded many at a time, and told apart by the library's word numbers."""
+        memo, words = self.memo, {c: _WORD.findall(c) for c in chunks}
+        new = list({w for ws in words.values() for w in ws if w not in memo})
+        for a in range(0, len(new), 1_000):
+            part = new[a : a + 1_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
+            raw, at = np.array(found.ids, "<u4").tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                memo[w] = raw[at:end]
+                at = end
+        for c, ws in words.items():
+            memo[c] = b"".join([memo[w] for w in ws])
 
 
 @cache
@@ -67,6 +75,16 @@ def load(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size > SLICE:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(t)
+    yield first, texts[first:]
+
+
 def pieces(docs: DataFrame, vocabulary: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: a document's ids and end_id; only longer ones are cut, at multiples of capacity."""
 
@@ -75,12 +93,13 @@ def pieces(docs: DataFrame, vocabulary: str, text_col: str = "text", id_col: str
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, rows = [], []
-            for i, text in enumerate(batch["text"]):
-                raw = (ids.encode(text) if text else b"") + end
-                for k, a in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[a : a + 4 * capacity]
-                    at.append(i)
-                    rows.append((k, a // 4, len(part) // 4, zlib.crc32(part)))
+            for first, texts in _slices([t or "" for t in batch["text"]]):
+                for i, raw in enumerate(ids.encode(texts), first):
+                    raw += end
+                    for k, a in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[a : a + 4 * capacity]
+                        at.append(i)
+                        rows.append((k, a // 4, len(part) // 4, zlib.crc32(part)))
             out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").iloc[at].values)
             yield out
