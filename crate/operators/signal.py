@@ -88,12 +88,14 @@ def key_estimate(chromas: DataFrame) -> DataFrame:
     """track_id, music_key, score: the rotated profile that correlates best; null where none does. Ties: lower tonic, major first."""
     rows = [(t, m, [p[(i - t) % 12] for i in range(12)]) for t in range(12) for m, p in ((0, MAJOR_PROFILE), (1, MINOR_PROFILE))]
     literal = F.array(*[F.struct(F.lit(t).alias("tonic"), F.lit(m).alias("minor"), F.array(*[F.lit(float(x)) for x in p]).alias("p")) for t, m, p in rows])
-    pairs = chromas.select("track_id", "chroma", F.explode(literal).alias("k")).select("track_id", "k.tonic", "k.minor", F.explode(F.arrays_zip(F.col("chroma").alias("c"), F.col("k.p").alias("p"))).alias("z"))
+    uneven = chromas.filter(F.array_max("chroma") > F.array_min("chroma"))  # silence has no key
+    pairs = uneven.select("track_id", "chroma", F.explode(literal).alias("k")).select("track_id", "k.tonic", "k.minor", F.explode(F.arrays_zip(F.col("chroma").alias("c"), F.col("k.p").alias("p"))).alias("z"))
     score = pairs.groupBy("track_id", "tonic", "minor").agg(F.corr("z.c", "z.p").alias("score")).withColumn("score", F.round(F.when(F.isnan("score"), None).otherwise(F.col("score")), 9))
     n = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc_nulls_last("score"), "tonic", "minor"))
     best = score.withColumn("n", n).filter("n = 1")
     name = F.concat(F.get(F.array(*[F.lit(p) for p in PITCHES]), F.col("tonic")), F.when(F.col("minor") == 1, " min").otherwise(" maj"))
-    return best.select("track_id", F.when(F.col("score") > 0, name).alias("music_key"), "score")
+    found = best.select("track_id", F.when(F.col("score") > 0, name).alias("music_key"), "score")
+    return chromas.select("track_id").join(found, "track_id", "left")
 
 
 def danceability(strength: Column, regularity: Column, energy: Column) -> Column:
