@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crate.plans import library, sound, vectors
+from crate.plans import library, records, sound, vectors
 
-MODULES = (vectors, library, sound)
+MODULES = (vectors, library, sound, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
