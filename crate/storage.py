@@ -41,6 +41,12 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Fewer rows at a time between Spark and Python, for rows that hold whole texts: bounds the memory of the Python workers."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def settle(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that have ended: it does so once the driver has let go of them."""
     gc.collect()
