@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crate.plans import library, records, sound, vectors
+from crate.plans import library, records, sound, tables, vectors
 
-MODULES = (vectors, library, sound, records)
+MODULES = (vectors, library, sound, records, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
