@@ -103,3 +103,16 @@ def vote(members: DataFrame, group: str, label: str) -> DataFrame:
     """group, label, votes: the commonest label of each group, the smaller on ties; null labels don't vote."""
     counts = members.filter(F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("votes"))
     return counts.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("votes"), label))).filter("n = 1").drop("n")
+
+
+def confirm(confirmed: DataFrame, assignments: DataFrame, exemplars: DataFrame, centroids: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Assignments, exemplars and centroids after a batch of confirmations (track_id, genre_id): each is by hand, at 1.0, and an example.
+
+    Only the centroids of the genres touched are made anew. vectors: track_id, vector.
+    """
+    from crate.sources.tables import insert_or_ignore, replace_group, upsert
+
+    decided = confirmed.select("track_id", "genre_id", F.lit(1.0).alias("confidence"), F.lit("manual").alias("method"), F.lit("confirmed").alias("status"))
+    taught = insert_or_ignore(exemplars, confirmed.select("genre_id", "track_id"), ["genre_id", "track_id"])
+    touched = taught.join(confirmed.select("genre_id").distinct(), "genre_id", "left_semi").join(vectors, "track_id")
+    return upsert(assignments, decided, ["track_id"]), taught, replace_group(centroids, mean_vectors(touched, "genre_id"), ["genre_id"])

@@ -105,3 +105,29 @@ def test_fused_blocks(spark):
     got = [r[0] for r in df.select(fv.fuse([(F.col("a"), 1.0, 2), (F.col("b"), 0.6, 1)])).collect()]
     assert all(math.sqrt(sum(x * x for x in v)) == pytest.approx(1) for v in got) and got[1][2] == 0.0
     assert fv.layer_weights(12)[8] == max(fv.layer_weights(12))
+
+
+def test_maps_words_and_details(spark):
+    t = blobs(spark)
+    z = groups.standardised(t.withColumn("vector", F.concat("vector", F.array(F.lit(3.0))))).collect()
+    for k in range(7):
+        column = [r.vector[k] for r in z]
+        assert abs(sum(column)) < 1e-9 and (k == 6 or sum(x * x for x in column) / 20 == pytest.approx(1))
+    side = t.filter("item_id < 5")
+    assert groups.map_2d(t, side, None).filter("size(vector) = 2").count() == 20
+    windows = t.selectExpr("item_id div 2 as track_id", "item_id as window_id", "vector")
+    got = {r.track_id: r.cluster for r in groups.word_groups(windows, 2, 2).collect()}
+    assert len({got[i] for i in range(5)}) == 1 and got[0] != got[7]
+    spectra = t.select("item_id", F.array_repeat(F.lit(1.0), 16).alias("vector"))
+    rows = groups.similar_detailed(spark.createDataFrame([(0,)], "query_id long"), t, spectra, 3).collect()
+    assert len(rows) == 3 and all(r.item_id < 10 and len(r.bands) == 6 for r in rows)
+
+
+def test_confirming(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "track_id long, vector array<double>")
+    a = spark.createDataFrame([(1, 7, 0.4, "centroid", "suggested")], "track_id long, genre_id long, confidence double, method string, status string")
+    e = spark.createDataFrame([(7, 1)], "genre_id long, track_id long")
+    c = spark.createDataFrame([(7, [1.0, 0.0]), (9, [0.0, 1.0])], "genre_id long, vector array<double>")
+    done, taught, means = classify.confirm(spark.createDataFrame([(1, 7), (2, 7)], "track_id long, genre_id long"), a, e, c, v)
+    assert sorted((r.track_id, r.confidence, r.status) for r in done.collect()) == [(1, 1.0, "confirmed"), (2, 1.0, "confirmed")]
+    assert taught.count() == 2 and {r.genre_id: [round(x, 3) for x in r.vector] for r in means.collect()} == {7: [0.707, 0.707], 9: [0.0, 1.0]}
