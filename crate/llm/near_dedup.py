@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,18 +12,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crate.storage import saved
+from crate.storage import saved, settle, small_batches
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Words in at least this share of all documents have their own inverse document frequency; rarer ones have that of this
 #: share. There are at most (mean distinct words of a document) / RARE such words, however many documents there are.
 RARE = 1e-3
-#: Members of a bucket compared with all of it in one round.
-LEADERS = 64
-MEMO_WORDS, FLUSH_WORDS = 500_000, 400_000
+#: Members of a bucket compared with all of it, by round; the last holds for all later rounds. A few leaders link most of
+#: a large group, and what is linked isn't compared any more.
+LEADERS = (32, 512)
+#: In buckets of more nodes longer signatures choose the candidates.
+LONG_FROM, LONG_DRAWS, LONG_TABLE = 16, 1_024, 1 << 11
+#: Bits of 4096, four a sample, in which those may differ: 410 on average at the threshold, with a deviation of 29.
+LONG_APART = 527
+#: Of 128 bits, two a sample, those in which candidates may differ. Texts at the threshold differ in 13 on average, with a
+#: deviation of 4: one pair in ten million is lost here. Unlike texts differ in 64.
+BITS_APART = 36
+MEMO_WORDS, FLUSH_WORDS = 200_000, 1_000_000
 TABLE = 1 << 13
-BLOCK = 2_048
+#: Vectors that a Python worker keeps while it verifies pairs.
+VECTORS = 1_000
+BLOCK = 1_024
 #: Pairs with one leader that share a copy of its text.
 PAIRS_A_COPY = 256
 
@@ -82,41 +92,80 @@ def vector(text: str | None, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of the lesser weights over the sum of the greater; 0 if both are empty."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(a[1][i], b[1][j]).sum()
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    hit = a[0][at] == b[0]
+    common = np.minimum(a[1][at[hit]], b[1][hit]).sum()
     whole = a[1].sum() + b[1].sum() - common
     return float(common / whole) if whole > 0 else 0.0
 
 
 @cache
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r and log c, gamma(2, 1), and beta, uniform. Three parts of a shingle's hash choose a row of each, so its draws are its own."""
-    rng = np.random.default_rng(20_150_801)
-    shape = (TABLE, BANDS * ROWS)
-    return rng.gamma(2, 1, shape).astype(np.float32), np.log(rng.gamma(2, 1, shape)).astype(np.float32), rng.random(shape).astype(np.float32)
+def _draws(rows: int, draws: int) -> tuple[np.ndarray, ...]:
+    """r, 1 / r and log c - r with r and c gamma(2, 1), and beta, uniform; and room to work in.
 
+    One part of a shingle's hash chooses the row of r and c, another that of beta, so the draws of a shingle are its own.
+    """
+    rng = np.random.default_rng(20_150_801 + draws)
+    r, c, beta = rng.gamma(2, 1, (rows, draws)), rng.gamma(2, 1, (rows, draws)), rng.random((rows, draws))
+    tables = [x.astype(np.float32) for x in (r, 1 / r, np.log(c) - r, beta)]
+    return (*tables, *[np.empty((BLOCK, draws), np.float32) for _ in range(4)])
 
-def bands(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A hash for each band of consistent weighted samples: the probability that two vectors share a sample is their weighted Jaccard similarity."""
-    r, log_c, beta = _draws()
-    k = BANDS * ROWS
+
+def samples(shingles: np.ndarray, weights: np.ndarray, rows: int = TABLE, k: int = BANDS * ROWS) -> np.ndarray:
+    """Hashes of k consistent weighted samples: the probability that two vectors share one is their weighted Jaccard similarity.
+
+    With q = log(weight) / r + beta and its floor t, the sample is the shingle, and its t, of the least
+    log c - r (t - beta + 1), which is (log c - r) - log(weight) + r (q - t).
+    """
+    r, inverse, c, beta, *room = _draws(rows, k)
     best, which, level = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64), np.zeros(k, np.float32)
-    logs, low = np.log(weights).astype(np.float32), np.uint64(TABLE - 1)
+    logs, low, every = np.log(weights).astype(np.float32)[:, None], np.uint64(rows - 1), np.arange(k)
+    first, second = (shingles & low).astype(np.intp), ((shingles >> np.uint64(26)) & low).astype(np.intp)
     for a in range(0, len(shingles), BLOCK):
-        s = shingles[a : a + BLOCK]
-        rs, cs, bs = r[s & low], log_c[(s >> np.uint64(13)) & low], beta[(s >> np.uint64(26)) & low]
-        t = np.floor(logs[a : a + BLOCK, None] / rs + bs)
-        cs -= rs * (t - bs + np.float32(1))
-        at = cs.argmin(axis=0)
-        value = cs[at, np.arange(k)]
+        at = slice(a, a + BLOCK)
+        n = len(shingles[at])
+        rs, q, other, t = (x[:n] for x in room)
+        np.take(r, first[at], axis=0, out=rs, mode="clip")
+        np.take(inverse, first[at], axis=0, out=q, mode="clip")
+        np.take(beta, second[at], axis=0, out=other, mode="clip")
+        q *= logs[at]
+        q += other
+        np.floor(q, out=t)
+        q -= t
+        q *= rs
+        q += np.take(c, first[at], axis=0, out=other, mode="clip")
+        q -= logs[at]
+        low_at = q.argmin(axis=0)
+        value = q[low_at, every]
         less = value < best
-        best[less], which[less], level[less] = value[less], s[at[less]], t[at[less], np.arange(k)[less]]
-    samples = (which ^ (level.astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))).reshape(BANDS, ROWS)
+        best[less], which[less], level[less] = value[less], shingles[a + low_at[less]], t[low_at[less], every[less]]
+    out = (which ^ (level.astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(32))
+
+
+def bits(hashes: np.ndarray, each: int) -> np.ndarray:
+    """Some bits of each hash, in 64-bit integers."""
+    places = np.arange(3, 3 + 8 * each, 8, dtype=np.uint64)[:, None]
+    return np.packbits((hashes[None, :] >> places) & np.uint64(1), axis=1).view(np.int64).ravel()
+
+
+def bands(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A hash for each band of samples, then two integers that hold two bits of each sample."""
+    drawn = samples(shingles, weights)
+    of = drawn.reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
-        out = (out ^ samples[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ of[:, j]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+    return np.concatenate([out.view(np.int64), bits(drawn, 2)])
+
+
+def _alike(*columns: str) -> Column:
+    """Whether two signatures (x, y, then x, y of the other) may belong to texts at the threshold."""
+    x, y, u, v = (F.col(c) for c in columns)
+    return F.bit_count(x.bitwiseXOR(u)) + F.bit_count(y.bitwiseXOR(v)) <= BITS_APART
 
 
 def _node(text: Column) -> Column:
@@ -142,7 +191,7 @@ def _frequent(rows: DataFrame) -> Idf:
                 if text:
                     keys.append(np.unique(word_hashes(text)))
                     size += len(keys[-1])
-                    if size > 4 * FLUSH_WORDS:
+                    if size > FLUSH_WORDS:
                         words, n = merged()
                         yield pd.DataFrame({"word": words.view(np.int64), "n": n})
                         keys, size = [], 0
@@ -166,16 +215,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> D
     salted = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
     leaders = texts.join(copies.withColumnRenamed("a", "node"), "node").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     leaders = leaders.select(F.col("node").alias("a"), "copy", F.col("text").alias("text_a"))
-    both = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(leaders, ["a", "copy"])
+    # Merge joins at every size: texts are not for broadcasting.
+    both = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(leaders.hint("merge"), ["a", "copy"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, last, known = shared.value, None, None
+        # In a large group of copies a text is in many pairs: some vectors are kept, by text.
+        of = lru_cache(VECTORS)(lambda text: vector(text, shared.value))
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (ta, tb) in enumerate(zip(batch["text_a"], batch["text_b"], strict=True)):
-                if ta != last:
-                    last, known = ta, vector(ta, idf)
-                keep[i] = weighted_jaccard(known, vector(tb, idf)) >= threshold
+            keep = np.array([weighted_jaccard(of(a), of(b)) >= threshold for a, b in zip(batch["text_a"], batch["text_b"], strict=True)], bool)
             yield batch.loc[keep, ["i"]]
 
     # Decimals stay on the JVM's side: pairs are named by a number that the join back finds.
@@ -208,11 +255,13 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     class of null ids only has a null class_id. Rows repeated with id and text are counted by `copies`; one is kept. Other
     columns are ignored; an empty input gives an empty result.
 
-    In a bucket all are compared with one leader first. As long as a bucket has several components, up to LEADERS
-    members outside its largest one are compared with all of the bucket that they aren't linked to, round by round, so no
-    pair of a bucket is passed over, and a large group of copies costs a comparison each.
+    In a bucket all are compared with one leader first. As long as a bucket has several components, some members outside
+    its largest one are compared with all of the bucket that they aren't linked to, round by round, until each has been: no
+    pair of a bucket is passed over, and a large group of copies costs few comparisons each. Pairs whose signatures
+    differ too much for the threshold aren't read again.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     shared = spark.sparkContext.broadcast(_frequent(rows))
@@ -227,23 +276,32 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 out.append(bands(shingles, weights) if len(shingles) else np.zeros(0, np.int64))
             yield pd.Series(out)
 
+    @F.pandas_udf("array<bigint>")
+    def long(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([bits(samples(*vector(t, shared.value), LONG_TABLE, LONG_DRAWS), 4) for t in batch])
+
     signed = saved(nodes.select("doc_id", "node", sampled("text").alias("bands")), "signatures")
-    members = signed.select("node", F.explode("bands").alias("bucket")).distinct()
+    marks = F.get("bands", F.lit(BANDS)).alias("x"), F.get("bands", F.lit(BANDS + 1)).alias("y")
+    members = signed.select("node", *marks, F.explode(F.slice("bands", 1, BANDS)).alias("bucket")).distinct()
     members = saved(members, "members")
     buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
     members = saved(members.join(saved(buckets, "buckets"), "bucket"), "shared")
     ids = saved(signed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
     wanted = saved(members.select("node").distinct().join(ids, "node"), "wanted")
-    whole = nodes.join(wanted, (nodes["node"] == wanted["node"]) & nodes["doc_id"].eqNullSafe(wanted["first_id"])).select(nodes["node"], nodes["text"])
+    whole = nodes.join(wanted.hint("merge"), (nodes["node"] == wanted["node"]) & nodes["doc_id"].eqNullSafe(wanted["first_id"])).select(nodes["node"], nodes["text"])
     texts = saved(whole.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
+    settle(spark)
     # First each node with the least leader that it shares a bucket with.
-    pairs = members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
-    known, led = saved(pairs, "pairs"), None
+    leaders = members.filter("node = leader").select("bucket", F.col("x").alias("u"), F.col("y").alias("v"))
+    pairs = members.filter("node <> leader").join(leaders, "bucket").filter(_alike("x", "y", "u", "v"))
+    pairs = pairs.groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
+    known, led, marks, turn = saved(pairs, "pairs"), None, None, 0
     edges = saved(_verified(known, texts, shared, threshold), "links")
     while True:
         labels = components(edges)
-        placed = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        placed = members.drop("leader").join(labels, "node", "left").select("bucket", "node", "x", "y", F.coalesce("label", "node").alias("label"))
         placed = saved(placed, "placed")
         shares = saved(placed.groupBy("bucket", "label").agg(F.count("*").alias("n")), "shares")
         most = shares.groupBy("bucket").agg(F.count("*").alias("parts"), F.max("n").alias("most")).filter("parts > 1")
@@ -253,14 +311,26 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         if led is not None:  # a node that has led is linked to all of the bucket that it is like
             outside = outside.join(led, ["bucket", "node"], "left_anti")
         nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node")))
-        leads = saved(outside.withColumn("nth", nth).filter(F.col("nth") <= LEADERS).select("bucket", "node", F.col("label").alias("own")), "leads")
+        most = LEADERS[min(turn, len(LEADERS) - 1)]
+        leads = saved(outside.withColumn("nth", nth).filter(F.col("nth") <= most).select("bucket", "node"), "leads")
         if leads.isEmpty():
             break
-        met = leads.withColumnRenamed("node", "a").join(split.withColumnRenamed("node", "b"), "bucket").filter(F.col("label") != F.col("own"))
+        split = split.join(leads.select("bucket").distinct(), "bucket", "left_semi")
+        if marks is None:  # buckets that later rounds deal with are among these
+            large = split.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > LONG_FROM)
+            wanted = split.join(large, "bucket", "left_semi").select("node").distinct()
+            marks = saved(texts.join(wanted, "node").select("node", long("text").alias("long")), "marks")
+        split = saved(split.join(marks, "node", "left"), "split")
+        heads = split.join(leads, ["bucket", "node"], "left_semi")
+        heads = heads.select("bucket", F.col("node").alias("a"), F.col("label").alias("own"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("long").alias("far"))
+        apart = F.aggregate(F.zip_with("long", "far", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+        alike = _alike("x", "y", "u", "v") & F.coalesce(apart <= LONG_APART, F.lit(True))
+        met = heads.join(split.withColumnRenamed("node", "b"), "bucket").filter((F.col("label") != F.col("own")) & alike)
+        turn += 1
         fresh = saved(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
         edges = edges.unionByName(saved(_verified(fresh, texts, shared, threshold), "links"))
         known = known.unionByName(fresh)
-        led = leads.select("bucket", "node") if led is None else led.unionByName(leads.select("bucket", "node"))
+        led = leads if led is None else led.unionByName(leads)
 
     out = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     same = Window.partitionBy("doc_id", "node")
