@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crate.storage import discard, saved, settle
+from crate.storage import discard, saved, settle, small_batches
 
 LENGTH, GRAM = 100, 24
 #: Bytes that one task sorts, about; the number of tasks grows with the input.
-TASK_BYTES = 6_000_000
-#: Anchors of more occurrences are hot: their strings are dealt one by one, by content, instead of all to one task.
-HOT = 2_000
+TASK_BYTES = 2_000_000
+#: Anchors of more occurrences, which could fill a task, are hot: their strings are dealt one by one, by content, instead of all to one task.
+HOT = TASK_BYTES // (LENGTH + 40)
 #: Positions handled at a time, for texts of any length.
 SEGMENT = 1 << 22
 #: Offsets in a text take so many bits of a place; the document takes the rest.
@@ -87,6 +87,14 @@ def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return rank + 1, len(distinct)
 
 
+def _before(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How many of the ordered values are less than each key; keys are looked up in their own order, which caches well."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(ordered, keys[order], "left")
+    return out
+
+
 def _packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
 
@@ -124,11 +132,11 @@ def ranks(s: np.ndarray, reach: int) -> np.ndarray:
     order = np.sort(keys)
     out = np.empty(n, np.int64)
     key_rest_two = by_two(rest)
-    out[rest] = np.searchsorted(order, keys, "left") + np.searchsorted(key_one, keys, "left") + np.searchsorted(key_two, key_rest_two, "left")
-    less = np.searchsorted(np.sort(name), name, "left")  # within the sample
-    rest_two = np.sort(key_rest_two)
-    out[ones] = less[: len(ones)] + np.searchsorted(order, by_one(ones), "left")
-    out[twos] = less[len(ones) :] + np.searchsorted(rest_two, by_two(twos), "left")
+    out[rest] = _before(order, keys) + _before(key_one, keys) + _before(key_two, key_rest_two)
+    counts = np.bincount(name)
+    less = (np.cumsum(counts) - counts)[name]  # within the sample
+    out[ones] = less[: len(ones)] + _before(order, by_one(ones))
+    out[twos] = less[len(ones) :] + _before(np.sort(key_rest_two), by_two(twos))
     return out + 1
 
 
@@ -183,8 +191,16 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     ignored; an empty input gives an empty result. Texts shorter than LENGTH bytes stay whole.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 62) - 1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # All of a text that an earlier document has goes, so the rest of the work is on distinct texts.
+    rows = rows.withColumn("h1", F.xxhash64(F.lit(1), "text")).withColumn("h2", F.xxhash64(F.lit(2), "text"))
+    firsts = saved(rows.groupBy("h1", "h2").agg(F.min("key").alias("first")), "firsts")
+    rows = saved(rows.join(firsts.hint("merge"), ["h1", "h2"]).select("doc_id", "key", "text", (F.col("key") > F.col("first")).alias("copy")), "texts")
+    discard(firsts)
+    settle(spark)
+    distinct = rows.filter("not copy").select("key", "text")
 
     def list_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,7 +212,7 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 nth.append(np.arange(len(z), dtype=np.int32))
             yield pd.DataFrame({"key": np.concatenate(keys or [np.zeros(0, np.int64)]), "z": np.concatenate(hashes or [np.zeros(0, np.int64)]), "nth": np.concatenate(nth or [np.zeros(0, np.int32)])})
 
-    places = saved(rows.select("key", "text").mapInPandas(list_anchors, "key long, z long, nth int"), "anchors")
+    places = saved(distinct.mapInPandas(list_anchors, "key long, z long, nth int"), "anchors")
     counts = places.groupBy("z").agg(F.count("*").alias("n")).filter("n > 1").select("z", (F.col("n") > HOT).alias("hot"))
     again = places.join(saved(counts, "repeated"), "z").groupBy("key").agg(F.collect_list(F.struct("nth", "hot")).alias("again"))
     again = saved(again, "again")  # a row a document, no longer than its text
@@ -225,7 +241,7 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                         out.append((k, lo, size, high, low, high if hot else int(z[nth]), context))
             yield pd.DataFrame(out, columns=["key", "start", "n", "high", "low", "deal", "context"])
 
-    near = rows.select("key", "text").join(again, "key").mapInPandas(surroundings, "key long, start long, n int, high long, low long, deal long, context binary")
+    near = distinct.join(again.hint("merge"), "key").mapInPandas(surroundings, "key long, start long, n int, high long, low long, deal long, context binary")
     near = saved(near, "contexts")
     settle(spark)
     # One context of each content, with its earliest place; partial sums shrink a common one before the shuffle.
@@ -236,12 +252,15 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     parts = max(1, -(-int(best.agg(F.sum(F.length("context"))).first()[0] or 0) // TASK_BYTES))
 
     def sort_task(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["deal"].map(rows["deal"].value_counts()) > 1]  # alone, a context repeats nothing
+        if not len(rows):
+            return pd.DataFrame({"key": [], "start": [], "n": []}).astype("int64")
         placed = [int(p) for p in rows["place"]]
         masks = _repeats(list(rows["context"]), placed)
         out = [(p >> OFFSET_BITS, (p & ((1 << OFFSET_BITS) - 1)) + a, n) for p, mask in zip(placed, masks, strict=True) for a, n in _runs(mask)]
         return pd.DataFrame(out, columns=["key", "start", "n"]).astype("int64")
 
-    dealt = best.select("context", "place", F.pmod(F.xxhash64("deal"), F.lit(parts)).alias("part"))
+    dealt = best.select("deal", "context", "place", F.pmod(F.xxhash64("deal"), F.lit(parts)).alias("part"))
     inside = saved(dealt.groupBy("part").applyInPandas(sort_task, "key long, start long, n long"), "inside")
     where = near.filter("context is not null").select("high", "low", "key", "start", "n", place.cast("decimal(38,0)").cast("string").alias("own"))
     others = where.join(best.select("high", "low", "place"), ["high", "low"]).filter("own <> place").select("key", "start", F.col("n").cast("long").alias("n"))
@@ -254,9 +273,11 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, gone in zip(batch["text"], batch["gone"], strict=True):
+            for text, copy, gone in zip(batch["text"], batch["copy"], batch["gone"], strict=True):
                 raw = text.encode("utf-8", "replace")
                 delta = np.zeros(len(raw) + 1, np.int64)
+                if copy and len(raw) >= LENGTH:
+                    delta[0] += 1
                 for x in gone if gone is not None else ():
                     if x["start"] + x["n"] + LENGTH - 1 <= len(raw):
                         delta[x["start"]] += 1
@@ -270,4 +291,4 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             yield frame
 
     schema = "doc_id long, kept binary, spans array<struct<start:long,end:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.join(gone, "key", "left").select("doc_id", "text", "gone").mapInPandas(cut, schema)
+    return rows.join(gone.hint("merge"), "key", "left").select("doc_id", "text", "copy", "gone").mapInPandas(cut, schema)
