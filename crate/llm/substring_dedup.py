@@ -67,7 +67,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key")
     seen = saved(rows.select(key, "text").mapInPandas(emit, "key long, high long, low long"), "units")
     first = seen.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1").select("high", "low", "first")
-    later = seen.join(saved(first, "repeated"), ["high", "low"]).filter("key > first").select("key", "high", "low").distinct()
+    later = seen.join(saved(first, "repeated"), ["high", "low"]).filter("key > first").select("key", "high", "low")
     gone = later.groupBy("key").agg(F.collect_list(F.struct("high", "low")).alias("gone"))  # as many as the document has units
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
