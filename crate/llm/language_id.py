@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,16 +207,18 @@ def fit(rows: list[tuple[str, str]]) -> Models:
 
 
 def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most per_lang documents a language, by hash of the id: a language's texts are cut to SAMPLE_CHARS for fitting only."""
+    """At most per_lang documents a language, those with the lowest hashes of their ids; texts are cut to SAMPLE_CHARS for fitting only."""
     texts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = F.xxhash64(F.lit("language"), F.col(id_col).cast("long"))
-    # A bucket of the hash first, so that no window holds a whole language.
-    total = max(1, texts.count())
-    share = min(1.0, 40.0 * per_lang / total)
-    few = texts.filter(F.pmod(order, F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20)))))
-    few = few.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), order.alias("o"))
-    ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).filter(F.col("n") <= per_lang)
-    return [(r["lang"], r["text"]) for r in ranked.select("lang", "text", "o").orderBy("lang", "o", "text").collect()]
+    order = F.xxhash64(F.lit("language"), F.col(id_col).cast("long"), F.length(text_col))
+    named = texts.select(F.col(lang_col).alias("lang"), text_col, order.alias("o"))
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
+    share = F.least(F.lit(1.0), F.lit(1.1 * per_lang) / F.col("n"))
+    few = named.join(F.broadcast(sizes), "lang").filter(F.pmod("o", F.lit(1 << 40)) < share * F.lit(float(1 << 40)))
+    got = few.select("lang", F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), "o").collect()
+    rows: list[tuple[str, str]] = []
+    for lang in sorted({r["lang"] for r in got}):
+        rows += [(lang, t) for _, t in sorted((r["o"], r["text"]) for r in got if r["lang"] == lang)[:per_lang]]
+    return rows
 
 
 def identified(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
