@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crate.functions import music, requests
 from crate.operators.knn import top_k
-from crate.storage import saved
+from crate.storage import discard, saved
 
 
 def radio(seeds: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
@@ -43,35 +43,36 @@ def even_sample(df: DataFrame, order: str, n: int, group: str) -> DataFrame:
     return rows.filter((F.col("_m") <= n) | chosen).drop("_i", "_m")
 
 
-def build_sets(wishes: DataFrame, tracks: DataFrame, default_length: int = 12, pool: int = 80) -> DataFrame:
+def build_sets(wishes: DataFrame, tracks: DataFrame, default_length: int = 12) -> DataFrame:
     """request_id, position, track_id, target: for each wish (request_id, text) the tracks along its arc.
 
-    tracks: track_id, energy, bpm, music_key, genre, vocal, gender, moods, instruments (the last four may be null). A filter that
-    would leave nothing is ignored. Each step takes the unused track with the least (energy gap, missing attributes,
-    harmonic distance, tempo step, id). Candidates are an even sample along energy of `pool` tracks a wish.
+    tracks: track_id, energy, bpm, music_key, genre, vocal, gender, moods, instruments (the last five may be null). A filter that
+    would leave nothing is ignored. Each step takes, of all tracks that the filters leave, the unused one with the least (energy gap,
+    missing attributes, harmonic distance, tempo step, id). What a request has come to is a row, sent to all tasks; tracks stay where they are.
     """
     plans = requests.parsed(wishes).withColumn("want", F.coalesce("length", F.lit(default_length)))
     t = tracks.withColumn("energy", F.coalesce("energy", F.lit(0.5))).withColumn("place", music.wheel_position(F.col("music_key")))
-    cand = _candidates(plans, t)
-    cand = even_sample(cand, "energy", pool, "request_id")
-    size = cand.groupBy("request_id").agg(F.count("*").alias("n"))
+    left = saved(_candidates(plans, t), "candidates")
+    size = left.groupBy("request_id").agg(F.count("*").alias("n"))
     plans = saved(plans.join(size, "request_id").withColumn("want", F.greatest(F.lit(1), F.least("want", "n")).cast("int")).withColumn("targets", requests.resampled(F.col("energies"), F.col("want"))).select("request_id", "want", "targets"), "plans")
-    left = saved(cand.join(plans, "request_id"), "candidates")
     state = plans.select("request_id", F.lit(None).cast("double").alias("prev_bpm"), F.lit(None).cast("struct<n:int,ring:string>").alias("prev_place"))
     chosen, steps = None, plans.agg(F.max("want")).first()[0] or 0
     for i in range(steps):
-        target = F.get("targets", F.lit(i))
-        rows = left.filter(F.col("want") > i).join(state, "request_id")
+        now = plans.filter(F.col("want") > i).select("request_id", F.get("targets", F.lit(i)).alias("target")).join(state, "request_id")
+        rows = left.join(F.broadcast(now), "request_id")
         if chosen is not None:
             rows = rows.join(chosen.select("request_id", "track_id"), ["request_id", "track_id"], "left_anti")
         far = F.when(F.col("prev_place").isNull(), 0.0).otherwise(music.harmonic_distance(F.col("prev_place"), F.col("place")))
-        key = F.struct(F.round(F.abs(F.col("energy") - target), 3), F.round(-F.col("hits"), 3), F.round(far, 3), F.coalesce(F.abs(F.col("bpm") - F.col("prev_bpm")), F.lit(0.0)), F.col("track_id"))
-        best = rows.groupBy("request_id").agg(F.min_by(F.struct("track_id", "bpm", "place", target.alias("target"), "prev_bpm", "prev_place"), key).alias("b"))
-        best = saved(best.select("request_id", F.lit(i).alias("position"), F.col("b.track_id").alias("track_id"), F.col("b.target").alias("target"), F.coalesce("b.bpm", "b.prev_bpm").alias("prev_bpm"), F.coalesce("b.place", "b.prev_place").alias("prev_place")), "set")
-        state = best.select("request_id", "prev_bpm", "prev_place")
-        step = best.select("request_id", "position", "track_id", "target")
-        chosen = step if chosen is None else chosen.unionByName(step)
-    return chosen if chosen is not None else plans.select("request_id", F.lit(0).alias("position"), F.lit(0).cast("long").alias("track_id"), F.lit(0.0).alias("target")).limit(0)
+        key = F.struct(F.round(F.abs(F.col("energy") - F.col("target")), 3), F.round(-F.col("hits"), 3), F.round(far, 3), F.coalesce(F.abs(F.col("bpm") - F.col("prev_bpm")), F.lit(0.0)), F.col("track_id"))
+        best = rows.groupBy("request_id").agg(F.min_by(F.struct("track_id", "bpm", "place", "target", "prev_bpm", "prev_place"), key).alias("b"))
+        best = best.select("request_id", F.lit(i).alias("position"), F.col("b.track_id").alias("track_id"), F.col("b.target").alias("target"), F.coalesce("b.bpm", "b.prev_bpm").alias("prev_bpm"), F.coalesce("b.place", "b.prev_place").alias("prev_place"))
+        before, chosen = chosen, saved(best if chosen is None else chosen.unionByName(best), "set")
+        if before is not None:
+            discard(before)
+        state = chosen.filter(F.col("position") == i).select("request_id", "prev_bpm", "prev_place")
+    if chosen is None:
+        return plans.select("request_id", F.lit(0).alias("position"), F.lit(0).cast("long").alias("track_id"), F.lit(0.0).alias("target")).limit(0)
+    return chosen.select("request_id", "position", "track_id", "target")
 
 
 def _candidates(plans: DataFrame, t: DataFrame) -> DataFrame:

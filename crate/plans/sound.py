@@ -165,8 +165,14 @@ def resample_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def set_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("array<string>")
-    a = view(spark, sf_dir, ANALYSIS).select("track_id", "energy", "bpm", "music_key", F.lit(None).cast("string").alias("genre"), F.lit(None).cast("string").alias("vocal"), F.lit(None).cast("string").alias("gender"), none.alias("moods"), none.alias("instruments"))
+    """Sets from all tracks. Those with a vector have a record (voice, moods, instruments) and, where labelled, a genre."""
+    from crate.plans.records import records
+
+    names = F.array(*[F.lit(x) for x in ("deep house", "minimal techno", "ambient", "nu disco", "drum and bass", "tech house", "uk garage", "electronic", "trance", "dubstep")])
+    genre = tracks(spark, sf_dir).select(F.col("item_id").alias("track_id"), F.get(names, F.col("genre_id").cast("int")).alias("genre"))
+    named = lambda c, x: F.transform(c, lambda i: i[x]).alias(c)
+    r = records(spark, sf_dir).select("track_id", F.col("vocal.kind").alias("vocal"), F.col("vocal.gender").alias("gender"), named("moods", "mood"), named("instruments", "name"))
+    a = view(spark, sf_dir, ANALYSIS).select("track_id", "energy", "bpm", "music_key").join(genre, "track_id", "left").join(r, "track_id", "left")
     return walks.build_sets(view(spark, sf_dir, WISHES), a, default_length=8)
 
 

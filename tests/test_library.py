@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -52,6 +53,36 @@ def test_set_along_the_arc(spark):
     assert max(got[1], key=lambda i: energies[i]) in got[1][2:4]
 
 
+def test_sets_look_at_every_candidate(spark):
+    rng = random.Random(2)
+    notes, moods = ["A min", "E min", "C maj", "Eb min", None], ["warm", "deep", "euphoric"]
+    rows = [(i, rng.randrange(1000) / 1000 if i % 9 else None, rng.choice([None, 118.0, 121.5, 124.0]), rng.choice(notes), rng.choice(["Deep House", "Techno", None]), rng.choice(["vocal", "instrumental", "uncertain", None]), rng.choice(["female", "male", None]), rng.sample(moods, 2), ["Piano"] if i % 4 == 0 else None) for i in range(700)]
+    t = spark.createDataFrame(rows, "track_id long, energy double, bpm double, music_key string, genre string, vocal string, gender string, moods array<string>, instruments array<string>")
+    texts = [(1, "start slow and deep, build up to peak, then wind down"), (2, "punchy energetic female vocal, 6 tracks"), (3, "steady groovy instrumental with piano"), (4, "warm euphoric deep house, 9 tracks")]
+    wishes = spark.createDataFrame(texts, "request_id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in notes if a for b in notes], "a string, b string")
+    far = {(r.a, r.b): r.d for r in pairs.select("a", "b", music.harmonic_distance(music.wheel_position(F.col("a")), music.wheel_position(F.col("b"))).alias("d")).collect()}
+    got, targets = {}, {}
+    for r in walks.build_sets(wishes, t, 8).orderBy("request_id", "position").collect():
+        got.setdefault(r.request_id, []).append(r.track_id)
+        targets.setdefault(r.request_id, []).append(r.target)
+    assert {k: len(v) for k, v in got.items()} == {1: 8, 2: 6, 3: 8, 4: 9}
+    for p in requests.parsed(wishes).collect():
+        pool = [r for r in rows if not p.genres or (r[4] and any(g in r[4].lower() or r[4].lower() in g for g in p.genres))]
+        if p.gender:
+            pool = [r for r in pool if r[6] == p.gender]
+        elif p.vocal:
+            pool = [r for r in pool if r[5] in (p.vocal, "uncertain")]
+        wanted, used, bpm, note = [*p.moods, *p.instruments], [], None, None
+        for target in targets[p.request_id]:
+            hits = lambda r: sum(w in [*r[7], *(r[8] or [])] for w in wanted) / len(wanted) if wanted else 0.0
+            gap = lambda r: round(abs((0.5 if r[1] is None else r[1]) - target) + 1e-9, 3)
+            best = min((r for r in pool if r[0] not in used), key=lambda r: (gap(r), -round(hits(r), 3), round(far[note, r[3]], 3) if note else 0.0, abs(r[2] - bpm) if r[2] is not None and bpm is not None else 0.0, r[0]))  # noqa: B023
+            used.append(best[0])
+            bpm, note = bpm if best[2] is None else best[2], best[3] or note
+        assert got[p.request_id] == used, p.text
+
+
 def test_radio(spark):
     rows = [(i, [1.0, 0.02 * i, 0.0, 0.0]) for i in range(3)] + [(3 + i, [0.0, 0.0, 1.0, 0.02 * i]) for i in range(3)]
     items = spark.createDataFrame(rows, "item_id long, vector array<double>")
