@@ -40,21 +40,26 @@ def top_k(
     skip_same_id: bool = True,
     floor: float | None = None,
     group: str | None = None,
+    apart: tuple[str, float] | None = None,
+    prefer: str | None = None,
 ) -> DataFrame:
     """query_id, item_id, score, rank: the k items most like each query, by rounded cosine, ties to the smaller id.
 
     Both sides are dealt to blocks; a task scores one block against another with a matrix product and keeps its k best of each
     query, a window keeps the k best of all. Null vectors take no part; vectors of another length than the query's
     score 0, as those without length do. floor drops lower scores. With `group`, a column of items, only the best
-    item of each group counts (the smaller id on ties).
+    item of each group counts (the smaller id on ties). apart, a column of both sides and a limit: pairs whose values differ by
+    more don't count, null passes. prefer, a column of both sides: items with the query's value come before all others.
     """
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), doubles(F.col(query_vec)).alias("q")).filter("q is not null")
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), doubles(F.col(item_vec)).alias("v"), (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("grp")).filter("v is not null")
+    extra = lambda c, kind, name: (F.col(c) if c else F.lit(None)).cast(kind).alias(name)
+    near, limit = apart or (None, 0.0)
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), doubles(F.col(query_vec)).alias("q"), extra(near, "double", "at"), extra(prefer, "string", "kind")).filter("q is not null")
+    items = items.select(F.col(item_id).cast("long").alias("item_id"), doubles(F.col(item_vec)).alias("v"), (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("grp"), extra(near, "double", "at"), extra(prefer, "string", "kind")).filter("v is not null")
     q, nq = _blocks(q, "query_id", BLOCK_QUERIES)
     items, ni = _blocks(items, "item_id", BLOCK_ITEMS)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select("query_id", "q", F.col("_block").alias("qb"), each(ni).alias("ib"))
-    right = items.select("item_id", "v", "grp", F.col("_block").alias("ib"), each(nq).alias("qb"))
+    left = q.select("query_id", "q", "at", "kind", F.col("_block").alias("qb"), each(ni).alias("ib"))
+    right = items.select("item_id", "v", "grp", "at", "kind", F.col("_block").alias("ib"), each(nq).alias("qb"))
 
     def score(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -64,25 +69,29 @@ def top_k(
             held = vs[sizes == d]
             other = vs[sizes != d]
             ids, groups = np.concatenate([held["item_id"], other["item_id"]]), np.concatenate([held["grp"], other["grp"]])
+            places, kinds = np.concatenate([held["at"], other["at"]]).astype(float), np.concatenate([held["kind"], other["kind"]])
             s = _unit(part["q"]) @ _unit(held["v"]).T if len(held) else np.zeros((len(part), 0))
             s = rounded(np.concatenate([s, np.zeros((len(part), len(other)))], axis=1))
-            for i, query in enumerate(part["query_id"]):
+            for i, (query, place, kind) in enumerate(zip(part["query_id"], part["at"].astype(float), part["kind"], strict=True)):
                 ok = np.ones(len(ids), bool)
                 if skip_same_id:
                     ok &= ids != query
                 if floor is not None:
                     ok &= s[i] >= floor
+                if near:
+                    ok &= ~(np.abs(places - place) > limit)
+                same = kinds == kind if prefer and kind is not None else np.zeros(len(ids), bool)
                 at = np.flatnonzero(ok)
-                at = at[np.lexsort((ids[at], -s[i, at]))]
+                at = at[np.lexsort((ids[at], -s[i, at], ~same[at]))]
                 if group:
                     at = at[np.sort(np.unique(groups[at], return_index=True)[1])]
                 at = at[:k]
-                out.append(pd.DataFrame({"query_id": query, "item_id": ids[at], "score": s[i, at], "grp": groups[at]}))
-        frame = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query_id", "item_id", "score", "grp"])
-        return frame.astype({"query_id": "int64", "item_id": "int64", "score": float, "grp": "int64"})
+                out.append(pd.DataFrame({"query_id": query, "item_id": ids[at], "score": s[i, at], "grp": groups[at], "same": same[at]}))
+        frame = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query_id", "item_id", "score", "grp", "same"])
+        return frame.astype({"query_id": "int64", "item_id": "int64", "score": float, "grp": "int64", "same": bool})
 
-    part = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(score, "query_id long, item_id long, score double, grp long")
-    best = [F.desc("score"), F.col("item_id")]
+    part = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(score, "query_id long, item_id long, score double, grp long, same boolean")
+    best = [F.desc("same"), F.desc("score"), F.col("item_id")]
     if group:
         part = part.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "grp").orderBy(*best))).filter("n = 1").drop("n")
     ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("rank") <= k)

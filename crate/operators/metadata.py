@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crate.functions import music
+from crate.storage import saved
 
 
 def waterfall(tracks: DataFrame, fingerprint: DataFrame, styles: DataFrame, text: DataFrame) -> DataFrame:
@@ -93,28 +94,43 @@ def own_genres(own: DataFrame, analysis: DataFrame) -> DataFrame:
     return best.select("track_id", "genre", music.major_of(F.col("genre")).alias("major"))
 
 
-def filled_from_anchors(own: DataFrame, vectors: DataFrame, analysis: DataFrame, least: float = 0.5, tempo: float = 14.0, near: int = 20) -> DataFrame:
-    """track_id, genre, major, confidence, via: own genres at 1.0, and for the rest that of the most similar track with one.
+def organised(own: DataFrame, vectors: DataFrame, analysis: DataFrame, least: float = 0.5, tempo: float = 14.0) -> DataFrame:
+    """track_id, genre, major, confidence, via: every track of vectors and own, by its own genre or that of an anchor.
 
-    Of the nearest tracks with a genre, those at least so similar and close in tempo (unknown passes) count. vectors: track_id, vector.
+    Anchors are tracks whose own genre is more specific than its major. Of all anchors that are at least so similar and close in tempo
+    (unknown passes), a track without such a genre takes the most similar, those of its own major before others. Where none
+    qualifies it is unsorted: genre is null, and the major its own or else that of the nearest anchor. vectors: track_id, vector.
     """
     from crate.operators.knn import top_k
 
-    have = own.select("track_id", "genre", "major", F.lit(1.0).alias("confidence"), F.lit("own").alias("via"))
-    todo = vectors.join(own.select("track_id"), "track_id", "left_anti").select(F.col("track_id").alias("query_id"), "vector")
-    anchors = vectors.join(own.select("track_id"), "track_id", "left_semi").select(F.col("track_id").alias("item_id"), "vector")
-    bpm = analysis.select("track_id", "bpm")
-    found = top_k(todo, anchors, near, floor=least)
-    found = found.join(bpm.select(F.col("track_id").alias("query_id"), F.col("bpm").alias("qb")), "query_id", "left").join(bpm.select(F.col("track_id").alias("item_id"), F.col("bpm").alias("ib")), "item_id", "left")
-    found = found.filter(F.coalesce(F.abs(F.col("qb") - F.col("ib")) <= tempo, F.lit(True)))
-    first = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("n = 1")
-    rest = first.join(own.withColumnRenamed("track_id", "item_id"), "item_id").select(F.col("query_id").alias("track_id"), "genre", "major", F.col("score").alias("confidence"), F.lit("similar").alias("via"))
-    return have.unionByName(rest)
+    broad = F.lower("genre").isin(*UMBRELLAS) | (F.lower("genre") == F.lower("major"))
+    kept = own.select("track_id", F.when(~broad, F.col("genre")).alias("genre"), "major", broad.alias("broad"))
+    v = vectors.join(analysis.select("track_id", "bpm"), "track_id", "left").join(kept, "track_id", "left")
+    todo = saved(v.filter("genre is null").select(F.col("track_id").alias("query_id"), "vector", "bpm", "major"), "unplaced")
+    anchors = saved(v.filter("genre is not null").select(F.col("track_id").alias("item_id"), "vector", "bpm", "major", "genre"), "anchors")
+    found = saved(top_k(todo, anchors, 1, floor=least, apart=("bpm", tempo), prefer="major"), "filled")
+    nearest = top_k(todo.join(found.select("query_id"), "query_id", "left_anti"), anchors, 1)
+    of = anchors.select("item_id", "genre", F.col("major").alias("anchor_major"))
+    similar = found.join(of, "item_id").select(F.col("query_id").alias("track_id"), "genre", F.col("anchor_major").alias("major"), F.col("score").alias("confidence"), F.lit("similar").alias("via"))
+    none = F.lit(None).cast("string")
+    rest = nearest.join(of, "item_id").join(todo.select("query_id", "major"), "query_id")
+    unsorted = rest.select(F.col("query_id").alias("track_id"), none.alias("genre"), F.coalesce("major", "anchor_major").alias("major"), F.col("score").alias("confidence"), F.lit("unsorted").alias("via"))
+    have = kept.filter("not broad").select("track_id", "genre", "major", F.lit(1.0).alias("confidence"), F.lit("own").alias("via"))
+    # A broad genre that no anchor was compared with (no vector, or no anchors at all) still gives the major.
+    alone = kept.filter("broad").join(similar.select("track_id"), "track_id", "left_anti").join(unsorted.select("track_id"), "track_id", "left_anti")
+    alone = alone.select("track_id", none.alias("genre"), "major", F.lit(1.0).alias("confidence"), F.lit("unsorted").alias("via"))
+    return have.unionByName(similar).unionByName(unsorted).unionByName(alone)
+
+
+def filled_from_anchors(own: DataFrame, vectors: DataFrame, analysis: DataFrame, least: float = 0.5, tempo: float = 14.0) -> DataFrame:
+    """The tracks that organised() gives a genre."""
+    return organised(own, vectors, analysis, least, tempo).filter("genre is not null")
 
 
 def tree_of(placed: DataFrame) -> DataFrame:
-    """major, sub (null for the major's own row), n: sizes of both levels in one pass, from (major, genre)."""
-    return placed.rollup("major", "genre").agg(F.count("*").alias("n")).filter("major is not null").select("major", F.col("genre").alias("sub"), "n")
+    """major, sub (null for the major's own row), n: sizes of both levels in one pass, from (major, genre); no genre is '<major> - Unsorted'."""
+    named = placed.select("major", F.coalesce("genre", F.concat("major", F.lit(" - Unsorted"))).alias("genre"))
+    return named.rollup("major", "genre").agg(F.count("*").alias("n")).filter("major is not null").select("major", F.col("genre").alias("sub"), "n")
 
 
 def family_share(genres: DataFrame, families: list[str]) -> DataFrame:

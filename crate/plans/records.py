@@ -92,12 +92,12 @@ def waterfall_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def auto_organize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks by family and genre: their own where tempo allows, else that of the most similar track that has one."""
+    """Tracks by family and genre: their own where tempo allows, else that of the most similar track of a like tempo that has one, else unsorted."""
     t = tracks(spark, sf_dir).filter("vector is not null").select(F.col("item_id").alias("track_id"), "vector", "genre_id")
     names = F.array(*[F.lit(x) for x in ("deep house", "minimal techno", "ambient", "nu disco", "drum and bass", "polka", "uk garage", "electronic", "trance", "dubstep")])
     own = t.filter("track_id % 3 = 0 and genre_id is not null").select("track_id", F.array(F.get(names, F.col("genre_id").cast("int"))).alias("genres"))
     a = view(spark, sf_dir, ANALYSIS)
-    return metadata.filled_from_anchors(metadata.own_genres(own, a), t.select("track_id", "vector"), a, least=0.2)
+    return metadata.organised(metadata.own_genres(own, a), t.select("track_id", "vector"), a, least=0.2)
 
 
 @query()

@@ -96,6 +96,17 @@ def test_families(spark):
     assert {(r.major, r.sub, r.n) for r in metadata.tree_of(placed).collect()} >= {("Disco", None, 2), ("Disco", "nu disco", 2)}
 
 
+def test_anchors_are_gated_before_the_best_is_taken(spark):
+    # 25 copies at another tempo are nearer to 100 than the one anchor that fits; 101 is House and prefers it; 102 is near nothing.
+    own = [(i, "acid techno", "Techno") for i in range(25)] + [(30, "deep house", "House"), (31, "minimal techno", "Techno"), (101, "house", "House")]
+    own = spark.createDataFrame(own, "track_id long, genre string, major string")
+    vectors = [(i, [1.0, 0.0, 0.0]) for i in range(25)] + [(30, [1.0, 0.5, 0.0]), (31, [1.0, 0.2, 0.0]), (100, [1.0, 0.1, 0.0]), (101, [1.0, 0.1, 0.0]), (102, [0.0, 0.1, 1.0])]
+    tempos = spark.createDataFrame([(i, 160.0) for i in range(25)] + [(30, 122.0), (31, None), (100, 120.0), (101, 120.0), (102, 120.0)], "track_id long, bpm double")
+    got = {r.track_id: (r.genre, r.major, r.via) for r in metadata.organised(own, spark.createDataFrame(vectors, "track_id long, vector array<double>"), tempos).collect()}
+    assert len(got) == 30 and got[100] == ("minimal techno", "Techno", "similar") and got[101] == ("deep house", "House", "similar")
+    assert got[102] == (None, "House", "unsorted") and got[30] == ("deep house", "House", "own")
+
+
 def test_tiers_and_seeding(spark, tmp_path):
     write = lambda name, genres: (tmp_path / name).write_text(json.dumps({"genres": genres}))
     write("index.json", [{"name": "Electronic", "description": ""}, {"name": "Blues"}])
