@@ -187,19 +187,28 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the same
     document. Strings are judged on the input; overlaps count; none crosses documents. Null text is empty. A null id ranks after
-    all others. Rows that repeat an id are one document: equal places in them are the same place. Other columns are
-    ignored; an empty input gives an empty result. Texts shorter than LENGTH bytes stay whole.
+    all others. Rows that share an id, or have none, are documents of their own, in the order of their texts' hashes; of equal
+    rows one stays. Other columns are ignored; an empty input gives an empty result. Texts shorter than LENGTH bytes stay whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 62) - 1))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # All of a text that an earlier document has goes, so the rest of the work is on distinct texts.
+    id_key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), id_key.alias("id_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # All of a text that an earlier document has goes, so the rest of the work is on distinct texts, numbered in the order of their first ids.
     rows = rows.withColumn("h1", F.xxhash64(F.lit(1), "text")).withColumn("h2", F.xxhash64(F.lit(2), "text"))
-    firsts = saved(rows.groupBy("h1", "h2").agg(F.min("key").alias("first")), "firsts")
-    rows = saved(rows.join(firsts.hint("merge"), ["h1", "h2"]).select("doc_id", "key", "text", (F.col("key") > F.col("first")).alias("copy")), "texts")
+    firsts = rows.groupBy("h1", "h2").agg(F.min("id_key").alias("first")).orderBy("first", "h1", "h2")
+    firsts = saved(firsts.withColumn("nth", F.monotonically_increasing_id()), "firsts")
+    rows = rows.join(firsts.hint("merge"), ["h1", "h2"]).withColumn("at", F.monotonically_increasing_id())
+    # Copies get keys below 0, so that no two of them share one.
+    later = F.col("id_key") > F.col("first")
+    rows = saved(rows.select("doc_id", F.when(later, -1 - F.col("at")).otherwise(F.col("nth")).alias("key"), "at", "text"), "texts")
     discard(firsts)
     settle(spark)
+    # Equal ids with equal texts: one row stays, the others are copies too.
+    equal = saved(rows.filter("key >= 0").groupBy("key").agg(F.min("at").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead"), "equal")
+    if not equal.isEmpty():
+        rows = saved(rows.join(equal, "key", "left").withColumn("key", F.when(F.col("at") > F.col("lead"), -1 - F.col("at")).otherwise(F.col("key"))).select("doc_id", "key", "at", "text"), "texts")
+    rows = rows.select("doc_id", "key", "text", (F.col("key") < 0).alias("copy"))
     distinct = rows.filter("not copy").select("key", "text")
 
     def list_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,8 +236,6 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 z, place, first, n = anchors(np.frombuffer(raw, np.uint8))
                 seen = set()
                 for nth, hot in sorted({(x["nth"], x["hot"]) for x in listed}):
-                    if nth >= len(z):
-                        continue  # another row with this id
                     a, s, m = int(place[nth]), int(first[nth]), int(n[nth])
                     for lo, size in ((s, m),) if not hot else ((x, 1) for x in range(s, s + m)):
                         context = raw[lo : lo + size + LENGTH - 1]
@@ -279,9 +286,8 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 if copy and len(raw) >= LENGTH:
                     delta[0] += 1
                 for x in gone if gone is not None else ():
-                    if x["start"] + x["n"] + LENGTH - 1 <= len(raw):
-                        delta[x["start"]] += 1
-                        delta[x["start"] + x["n"] + LENGTH - 1] -= 1
+                    delta[x["start"]] += 1
+                    delta[x["start"] + x["n"] + LENGTH - 1] -= 1
                 mask = np.cumsum(delta)[:-1] > 0
                 kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
                 spans = [{"start": a, "end": a + n} for a, n in _runs(mask)]

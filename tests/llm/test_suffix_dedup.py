@@ -83,3 +83,15 @@ def test_empty_null_and_clashing(spark):
     df = spark.createDataFrame([(1, long, "k"), (None, long, "k"), (2, "", "k")], "doc_id long, text string, key string")
     got = {r.doc_id: r for r in suffix_dedup.repeated_bytes(df).collect()}
     assert got[None].n_removed == len(long) and bytes(got[2].kept) == b"" and got[1].n_removed < len(long)
+
+
+def test_rows_with_no_or_equal_ids_are_documents_of_their_own(spark):
+    rng = random.Random(5)
+    fresh = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    known, shared, same = fresh(150), fresh(150), fresh(200)
+    texts = {"known": known + fresh(250), "alone": fresh(400), "one": shared + fresh(200), "two": shared + fresh(220)}
+    rows = [(1, known)] + [(i, t) for i in (None, 7) for t in (texts["known"], texts["alone"])] + [(None, texts["one"]), (None, texts["two"]), (None, same), (None, same), (None, same)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    of = lambda doc, n: sorted(x[2] for x in got if x[:2] == (doc, n))
+    assert of(1, 150) == [0] and of(7, 400) == [0, 150] and of(None, 400) == [400, 400]  # 7 has both texts, so those without an id go
+    assert of(None, 200) == [0, 200, 200] and sorted(of(None, 350) + of(None, 370)) == [0, 150]
