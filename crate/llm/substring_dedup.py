@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from crate.storage import saved
 
-#: Units of fewer words stay: a short line is repeated by chance.
+#: A unit of fewer words goes only as part of a repeated passage: alone, a short line is repeated by chance.
 MIN_WORDS = 5
 _BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
-_ENDS = re.compile(r"(?<=[.!?])\s+")
+#: White space after an end of a sentence; the ends of scripts that set none need none, and take closing quotes and brackets along.
+_ENDS = re.compile(r"(?<=[.!?।॥۔؟።၊။])\s+|(?<=[。！？｡])(?![。！？｡」』”’）】])\s*|(?<=[。！？｡][」』”’）】])\s*")
+#: Scripts without spaces, with how many of their letters count as a word: Chinese and Japanese two, Thai, Lao, Burmese and Khmer four.
+_TWO = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
+_FOUR = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 
 
 def _spans(breaks: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -26,28 +30,72 @@ def _spans(breaks: re.Pattern, text: str, start: int, end: int) -> Iterator[tupl
     yield at, end
 
 
-def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+def _size(words: list[str]) -> int:
+    """How many words there are; in scripts without spaces, by their letters."""
+    n = len(words)
+    for w in words:
+        if not w.isascii() and (two := len(_TWO.findall(w))) + (four := len(_FOUR.findall(w))):
+            n += max(0, two // 2 + four // 4 - 1)
+    return n
+
+
+def _digest(*parts: str) -> bytes:
+    return hashlib.blake2b("\n".join(parts).encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _short(pieces: list[tuple[int, int, list[str], int]], min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest) of the short pieces (start, end, words, size) by the passage around: the least run of pieces from or up to each that is long enough."""
+    for i, (a, b, words, size) in enumerate(pieces):
+        if size >= min_words:
+            continue
+        for step in (1, -1):
+            j, n = i, size
+            while n < min_words and 0 <= j + step < len(pieces):
+                j += step
+                n += pieces[j][3]
+            if n >= min_words:
+                run = pieces[min(i, j) : max(i, j) + 1]
+                yield a, b, _digest("from" if step > 0 else "to", str(len(words)), " ".join(w for x in run for w in x[2]))
+
+
+def units(text: str, unit: str = "line", min_words: int = MIN_WORDS, across: bool = False) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit in reading order: lines (or paragraphs), after each the sentences in it.
 
     A digest is of the lower-case words joined by single spaces, alike for lines and sentences. A line of one sentence is a
-    unit once. Where a line goes, its sentences are earlier in the place that has the line, so no last copy is lost.
+    unit once. Where a line goes, its sentences are earlier in the place that has the line, so no last copy is lost. A sentence
+    of too few words is a unit by its passage: with what follows it in its line, and with what precedes it, up to min_words. With
+    `across`, so is a line of too few words, by the lines around it.
     """
+    lines = []
     for a, b in _spans(_BREAK[unit], text, 0, len(text)):
-        words = text[a:b].lower().split()
-        if len(words) < min_words:
+        if words := text[a:b].lower().split():
+            lines.append((a, b, words, _size(words)))
+    around: dict[int, list[tuple[int, int, bytes]]] = {}
+    for x in _short(lines, min_words) if across else ():
+        around.setdefault(x[0], []).append(x)
+    for a, b, words, size in lines:
+        if size < min_words:
+            yield from around.get(a, ())
+            continue
+        yield a, b, _digest(" ".join(words))
+        inner = [(c, d, w, _size(w)) for c, d in _spans(_ENDS, text, a, b) if (w := text[c:d].lower().split())]
+        if len(inner) < 2:
             continue
-        yield a, b, hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
-        inner = list(_spans(_ENDS, text, a, b))
-        for c, d in inner if len(inner) > 1 else ():
-            words = text[c:d].lower().split()
-            if len(words) >= min_words:
-                yield c, d, hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
+        short: dict[int, list[tuple[int, int, bytes]]] = {}
+        for x in _short(inner, min_words):
+            short.setdefault(x[0], []).append(x)
+        for c, d, w, n in inner:
+            if n >= min_words:
+                yield c, d, _digest(" ".join(w))
+            else:
+                yield from short.get(c, ())
 
 
 def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (what stays), spans (removed, array of start and end in the original), n_chars, n_removed, n_spans.
 
-    Of the units with equal normalised words the one in the smallest doc_id, then the earliest place, stays; the rest go.
+    Of the units with equal normalised words the one in the smallest doc_id, then the earliest place, stays; the rest go. A line
+    or sentence of fewer than min_words goes where it and the text after it, or before it, are repeated together.
     Offsets count code points of the original text; the line break after a removed line stays where it was. A null or
     empty text has no units. A null id ranks after all others. Rows that repeat an id count as one document: each
     gets the result of its own text against smaller ids. Other columns are ignored; an empty input gives an empty result.
@@ -59,7 +107,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             ids, found = [], []
             for key, text in zip(batch["key"], batch["text"], strict=True):
                 if text:
-                    own = list({d: None for _, _, d in units(text, unit, min_words)})
+                    own = list({d: None for _, _, d in units(text, unit, min_words, across=True)})
                     ids += [key] * len(own)
                     found += own
             yield pd.DataFrame({"key": pd.Series(ids, dtype="int64"), "high": [int.from_bytes(d[:8], "big", signed=True) for d in found], "low": [int.from_bytes(d[8:], "big", signed=True) for d in found]}).astype("int64")
@@ -77,7 +125,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 text = text or ""
                 drop = {x["high"].to_bytes(8, "big", signed=True) + x["low"].to_bytes(8, "big", signed=True) for x in gone} if gone is not None else set()
                 spans, seen_here, covered = [], set(), 0
-                for a, b, d in units(text, unit, min_words):
+                for a, b, d in units(text, unit, min_words, across=True):
                     again = d in drop or d in seen_here
                     seen_here.add(d)
                     if again and a >= covered and b > a:

@@ -44,3 +44,26 @@ def test_nulls_and_empty(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.substring_dedup(df).collect())
     assert got == [(0, len(line)), (3, 0), (3, 0)]
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
+
+
+def removed(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.spans] for r in substring_dedup.substring_dedup(df).collect()}
+
+
+def test_scripts_without_spaces(spark):
+    chinese, thai = "我们今天去公园散步。天气非常好，大家都很高兴！", "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะ"
+    got = removed(spark, f"{chinese}\n{thai}", f"开头的一句话跟前面不同。{chinese}\n短句", f"x\n{thai}\n短句")
+    assert got == {0: [], 1: ["我们今天去公园散步。", "天气非常好，大家都很高兴！"], 2: [thai]}
+
+
+def test_passages_go_without_holes(spark):
+    poem = "one two three\nfour five\nshort\na line of six words here\nend"
+    talk = "Some words that are long enough. Yes. And then five words more."
+    got = removed(spark, f"{poem}\n{talk}", f"other\n{poem}\nshort\nfresh words", f"New words open this line here. {talk} Yes.", "yes.\nshort\nend")
+    assert got[0] == [] and got[1] == poem.split("\n") and got[3] == []
+    assert got[2] == ["Some words that are long enough.", "Yes.", "And then five words more."]
+
+
+def test_the_only_copy_stays_before_white_space(spark):
+    assert removed(spark, "One two three four five. \n我们今天去公园散步了。 ") == {0: []}
