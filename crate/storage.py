@@ -8,12 +8,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of a few numbers that may be sent to every executor; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+#: Bytes of rows handed to Python at once while a table is saved.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests)."""
+    """spark.checkpoint.dir of the session; a temporary folder only on a local master where that is unset (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -21,30 +28,42 @@ def shared_dir(spark: SparkSession) -> str:
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they all share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(f"file://{made}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    While it is written, Python workers get batches of BATCH_BYTES at most; the session's own setting is put back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that saved() has written and nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        _delete(df.sparkSession, path)
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table for one side of a join: broadcast if it has few rows, else merged by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Fewer rows at a time between Spark and Python, for rows that hold whole texts: bounds the memory of the Python workers."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that saved() has written and nothing reads any more, and let Spark drop the shuffles of ended plans."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            _delete(df.sparkSession, path)
+    if tables:
+        settle(tables[0].sparkSession)
 
 
 def settle(spark: SparkSession) -> None:
