@@ -58,12 +58,10 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that saved() has written and nothing reads any more, and let Spark drop the shuffles of ended plans."""
+    """Delete tables that saved() has written and nothing reads any more."""
     for df in tables:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
             _delete(df.sparkSession, path)
-    if tables:
-        settle(tables[0].sparkSession)
 
 
 def settle(spark: SparkSession) -> None:
