@@ -1,16 +1,16 @@
-"""Removal of long repeated byte strings by distributed difference-cover suffix sorting.
+"""Removal of long repeated byte strings by difference-cover suffix sorting, dealt by anchors.
 
 A string of LENGTH bytes owns an anchor: the leftmost GRAM-byte substring in it with the smallest hash. Equal strings
 have equal anchors at equal offsets. So Spark first counts anchors over all documents; only strings whose anchor occurs
-again can repeat. Their surroundings are dealt by anchor, so that all copies of a string meet in one task, which sorts the
-suffixes with a difference cover (sampled triples, recursion on names, merge of the rest) and compares neighbours.
+again can repeat. The strings of a run that own one anchor make up its context. Spark groups contexts by digest: all but the
+earliest of equal ones go. Only anchors with several contexts are dealt out, so that all copies of a string meet in one task, which
+sorts the suffixes with a difference cover (sampled triples, recursion on names, merge of the rest) and compares neighbours.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -18,17 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crate.storage import discard, saved, settle
+from crate.llm.workers import releasing
+from crate.storage import bounded, discard, saved, settle
 
 LENGTH, GRAM = 100, 24
 #: Bytes that one task sorts, about; the number of tasks grows with the input.
 TASK_BYTES = 2_000_000
-#: Anchors of more occurrences, which could fill a task, are hot: their strings are dealt one by one, by content, instead of all to one task.
+#: Anchors of more distinct contexts, which could fill a task, are hot: their strings are dealt one by one, by content, instead of all to one task.
 HOT = TASK_BYTES // (LENGTH + 40)
 #: Positions handled at a time, for texts of any length.
 SEGMENT = 1 << 22
-#: Offsets in a text take so many bits of a place; the document takes the rest.
-OFFSET_BITS = 40
 
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -140,16 +139,21 @@ def ranks(s: np.ndarray, reach: int) -> np.ndarray:
     return out + 1
 
 
-def _repeats(contexts: list[bytes], places: list[int]) -> list[np.ndarray]:
-    """For each context, which of its strings of LENGTH bytes also start at an earlier place in another context or in this one."""
+def _repeats(contexts: list[bytes], docs: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """For each context, which of its strings of LENGTH bytes also start at an earlier place in another context or in this one.
+
+    docs and offs tell where the contexts start.
+    """
     sizes = np.array([len(c) for c in contexts])
     text = np.frombuffer(b"".join(c + b"\0" for c in contexts), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    s = text.astype(np.int64) + 2
+    there = np.bincount(text, minlength=256) > 0
+    s = (np.cumsum(there) + 1)[text]
     s[starts + sizes] = 1  # the end of a context; no string of LENGTH bytes holds one
     rank = ranks(s, LENGTH)
-    owner = np.repeat(np.arange(len(contexts)), sizes - LENGTH + 1)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(sizes - LENGTH + 1) - (sizes - LENGTH + 1), sizes - LENGTH + 1)
+    counts = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(contexts)), counts)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = starts[owner] + offset
     order = np.argsort(rank[at], kind="stable")
     at = at[order]
@@ -165,16 +169,14 @@ def _repeats(contexts: list[bytes], places: list[int]) -> list[np.ndarray]:
                 break
         same[lo:hi] = alike
     group = np.cumsum(~same) - 1
-    rows = np.array([p >> OFFSET_BITS for p in places], np.int64)
-    offs = np.array([p & ((1 << OFFSET_BITS) - 1) for p in places], np.int64)
-    doc, start = rows[owner[order]], offs[owner[order]] + offset[order]
+    doc, start = docs[owner[order]], offs[owner[order]] + offset[order]
     by = np.lexsort((start, doc, group))
     lead = np.concatenate([[True], group[by][1:] != group[by][:-1]])
     first = by[np.flatnonzero(lead)]  # the earliest of each class
     later = (doc != doc[first][group]) | (start != start[first][group])
     out = np.zeros(len(at), bool)
     out[order] = later
-    return np.split(out, np.cumsum(sizes - LENGTH + 1)[:-1])
+    return np.split(out, np.cumsum(counts)[:-1])
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -182,118 +184,184 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist(), strict=True))
 
 
-def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, kept (binary: the bytes that stay), spans (array of start and end, in bytes), n_bytes, n_removed, n_spans.
+#: A run of strings with one anchor as a number: first start, number of starts (under 2**8), offset of the anchor from the first start (under 2**8).
+def _run(first: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return (first << 16) | (n << 8) | (anchor - first)
 
-    A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the same
-    document. Strings are judged on the input; overlaps count; none crosses documents. Null text is empty. A null id ranks after
-    all others. Rows that share an id, or have none, are documents of their own, in the order of their texts' hashes; of equal
-    rows one stays. Other columns are ignored; an empty input gives an empty result. Texts shorter than LENGTH bytes stay whole.
-    """
-    spark = docs.sparkSession
+
+def _ints(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """doc_id, key, copy, text: keys ascend with ids; copy marks rows whose whole text an earlier row has, their keys mean nothing."""
     id_key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), id_key.alias("id_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # All of a text that an earlier document has goes, so the rest of the work is on distinct texts, numbered in the order of their first ids.
     rows = rows.withColumn("h1", F.xxhash64(F.lit(1), "text")).withColumn("h2", F.xxhash64(F.lit(2), "text"))
+    if not rows.groupBy("id_key").count().filter("count > 1").isEmpty():
+        return _numbered(rows)
+    copied = rows.groupBy("h1", "h2").agg(F.min("id_key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    found = rows.join(bounded(saved(copied, "copied")), ["h1", "h2"], "left")
+    copy = F.coalesce(F.col("id_key") > F.col("first"), F.lit(False))
+    return found.select("doc_id", F.when(copy, F.xxhash64(F.lit(3), "id_key")).otherwise(F.col("id_key")).alias("key"), "text", copy.alias("copy"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The same where ids are null or repeat: distinct texts are numbered in the order of their first ids, then hashes."""
     firsts = rows.groupBy("h1", "h2").agg(F.min("id_key").alias("first")).orderBy("first", "h1", "h2")
     firsts = saved(firsts.withColumn("nth", F.monotonically_increasing_id()), "firsts")
     rows = rows.join(firsts.hint("merge"), ["h1", "h2"]).withColumn("at", F.monotonically_increasing_id())
-    # Copies get keys below 0, so that no two of them share one.
     later = F.col("id_key") > F.col("first")
     rows = saved(rows.select("doc_id", F.when(later, -1 - F.col("at")).otherwise(F.col("nth")).alias("key"), "at", "text"), "texts")
-    discard(firsts)
-    settle(spark)
     # Equal ids with equal texts: one row stays, the others are copies too.
     equal = saved(rows.filter("key >= 0").groupBy("key").agg(F.min("at").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead"), "equal")
     if not equal.isEmpty():
-        rows = saved(rows.join(equal, "key", "left").withColumn("key", F.when(F.col("at") > F.col("lead"), -1 - F.col("at")).otherwise(F.col("key"))).select("doc_id", "key", "at", "text"), "texts")
-    rows = rows.select("doc_id", "key", "text", (F.col("key") < 0).alias("copy"))
-    distinct = rows.filter("not copy").select("key", "text")
+        key = F.when(F.col("at") > F.col("lead"), -1 - F.col("at")).otherwise(F.col("key"))
+        rows = saved(rows.join(bounded(equal), "key", "left").select("doc_id", key.alias("key"), "at", "text"), "texts")
+    return rows.select("doc_id", "key", "text", (F.col("key") < 0).alias("copy"))
+
+
+def _list_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        keys, hashes, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, text in zip(batch["key"], batch["text"], strict=True):
+            z, place, first, n = anchors(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
+            keys.append(np.full(len(z), k, np.int64))
+            hashes.append(z)
+            runs.append(_run(first, n, place))
+        yield pd.DataFrame({"key": np.concatenate(keys), "z": np.concatenate(hashes), "run": np.concatenate(runs)})
+
+
+def _list_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of the contexts named by `again`; `local` marks those that the document has before."""
+    digest, name = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+    for batch in batches:
+        keys, runs, deals, digests, local = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], []
+        for k, text, again in zip(batch["key"], batch["text"], batch["again"], strict=True):
+            raw, seen = text.encode("utf-8", "replace"), set()
+            own = np.sort(np.asarray(again, np.int64))
+            for run in own.tolist():
+                lo, off = run >> 16, run & 255
+                d = digest(raw[lo : lo + (run >> 8 & 255) + LENGTH - 1], off)
+                local.append(d in seen)
+                seen.add(d)
+                digests.append(d)
+                deals.append(name(raw[lo + off : lo + off + GRAM]))
+            keys.append(np.full(len(own), k, np.int64))
+            runs.append(own)
+        high, low = _ints(digests)
+        yield pd.DataFrame({"key": np.concatenate(keys), "run": np.concatenate(runs), "deal": np.array(deals, np.uint64).view(np.int64), "high": high, "low": low, "local": np.array(local, bool)})
+
+
+def _list_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of the single strings of the runs named by `again`."""
+    for batch in batches:
+        keys, starts, digests, local = [], [], [], []
+        for k, text, again in zip(batch["key"], batch["text"], batch["again"], strict=True):
+            raw, seen = text.encode("utf-8", "replace"), set()
+            for run in np.sort(np.asarray(again, np.int64)).tolist():
+                for at in range(run >> 16, (run >> 16) + (run >> 8 & 255)):
+                    d = xxhash.xxh3_128_digest(raw[at : at + LENGTH])
+                    keys.append(k)
+                    starts.append(at)
+                    local.append(d in seen)
+                    seen.add(d)
+                    digests.append(d)
+        high, low = _ints(digests)
+        yield pd.DataFrame({"key": np.array(keys, np.int64), "start": np.array(starts, np.int64), "high": high, "low": low, "local": np.array(local, bool)})
+
+
+def _read_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for k, text, again in zip(batch["key"], batch["text"], batch["again"], strict=True):
+            raw = text.encode("utf-8", "replace")
+            out += [(k, x["run"] >> 16, x["deal"], raw[x["run"] >> 16 : (x["run"] >> 16) + (x["run"] >> 8 & 255) + LENGTH - 1]) for x in again]
+        yield pd.DataFrame(out, columns=["key", "start", "deal", "context"])
+
+
+def _sort_task(rows: pd.DataFrame) -> pd.DataFrame:
+    keys, starts = rows["key"].to_numpy(), rows["start"].to_numpy()
+    masks = _repeats(list(rows["context"]), keys, starts)
+    out = [(k, s + a, n) for k, s, mask in zip(keys.tolist(), starts.tolist(), masks, strict=True) for a, n in _runs(mask)]
+    return pd.DataFrame(out, columns=["key", "start", "n"]).astype("int64")
+
+
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for text, copy, gone in zip(batch["text"], batch["copy"], batch["gone"], strict=True):
+            raw = text.encode("utf-8", "replace")
+            delta = np.zeros(len(raw) + 1, np.int64)
+            if copy and len(raw) >= LENGTH:
+                delta[0] += 1
+            elif gone is not None and not copy:
+                for x in gone:
+                    delta[x["start"]] += 1
+                    delta[x["start"] + x["n"] + LENGTH - 1] -= 1
+            mask = np.cumsum(delta)[:-1] > 0
+            kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
+            spans = [{"start": a, "end": a + n} for a, n in _runs(mask)]
+            out.append((kept, spans, len(raw), int(mask.sum()), len(spans), hashlib.sha256(kept).hexdigest()))
+        frame = pd.DataFrame(out, columns=["kept", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
+        yield frame
+
 
-    def list_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, hashes, nth = [], [], []
-            for k, text in zip(batch["key"], batch["text"], strict=True):
-                z, *_ = anchors(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
-                keys.append(np.full(len(z), k, np.int64))
-                hashes.append(z)
-                nth.append(np.arange(len(z), dtype=np.int32))
-            yield pd.DataFrame({"key": np.concatenate(keys or [np.zeros(0, np.int64)]), "z": np.concatenate(hashes or [np.zeros(0, np.int64)]), "nth": np.concatenate(nth or [np.zeros(0, np.int32)])})
-
-    places = saved(distinct.mapInPandas(list_anchors, "key long, z long, nth int"), "anchors")
-    counts = places.groupBy("z").agg(F.count("*").alias("n")).filter("n > 1").select("z", (F.col("n") > HOT).alias("hot"))
-    again = places.join(saved(counts, "repeated"), "z").groupBy("key").agg(F.collect_list(F.struct("nth", "hot")).alias("again"))
-    again = saved(again, "again")  # a row a document, no longer than its text
-    discard(places)
+def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, kept (binary: the bytes that stay), spans (array of start and end, in bytes), n_bytes, n_removed, n_spans, kept_sha256.
+
+    A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the same
+    document. Strings are judged on the input; overlaps count; none crosses documents. Null text is empty. A null id ranks after
+    all others. Rows that share an id, or have none, are documents of their own, in the order of their texts' hashes; of equal
+    rows one stays. Other columns are ignored; an empty input gives an empty result. Texts shorter than LENGTH bytes stay whole.
+    """
+    spark = docs.sparkSession
+    rows = _keyed(docs, text_col, id_col)
+    distinct = rows.filter("not copy").select("key", "text")
+    places = saved(distinct.mapInPandas(releasing(_list_anchors), "key long, z long, run long"), "anchors")
+    repeated = saved(places.groupBy("z").agg(F.count("*").alias("n")).filter("n > 1").select("z"), "repeated")
+    settle(spark)
+    again = saved(places.join(bounded(repeated), "z").groupBy("key").agg(F.collect_list("run").alias("again")), "again")  # a row a document, no longer than its text
+    discard(places, repeated)
     settle(spark)
 
-    def surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, text, listed in zip(batch["key"], batch["text"], batch["again"], strict=True):
-                raw = text.encode("utf-8", "replace")
-                z, place, first, n = anchors(np.frombuffer(raw, np.uint8))
-                seen = set()
-                for nth, hot in sorted({(x["nth"], x["hot"]) for x in listed}):
-                    a, s, m = int(place[nth]), int(first[nth]), int(n[nth])
-                    for lo, size in ((s, m),) if not hot else ((x, 1) for x in range(s, s + m)):
-                        context = raw[lo : lo + size + LENGTH - 1]
-                        digest = xxhash.xxh3_128_digest(context + (a - lo).to_bytes(2, "big"))
-                        if digest in seen:  # again in this document: all of it goes
-                            out.append((k, lo, size, 0, 0, 0, None))
-                            continue
-                        seen.add(digest)
-                        high, low = (int.from_bytes(digest[i : i + 8], "big", signed=True) for i in (0, 8))
-                        out.append((k, lo, size, high, low, high if hot else int(z[nth]), context))
-            yield pd.DataFrame(out, columns=["key", "start", "n", "high", "low", "deal", "context"])
-
-    near = distinct.join(again.hint("merge"), "key").mapInPandas(surroundings, "key long, start long, n int, high long, low long, deal long, context binary")
+    near = distinct.join(again.hint("merge"), "key").mapInPandas(releasing(_list_contexts), "key long, run long, deal long, high long, low long, local boolean")
     near = saved(near, "contexts")
+    discard(again)
     settle(spark)
-    # One context of each content, with its earliest place; partial sums shrink a common one before the shuffle.
-    place = F.col("key").cast("decimal(20,0)") * F.lit(Decimal(1 << OFFSET_BITS)) + F.col("start").cast("decimal(13,0)")
-    best = near.filter("context is not null").groupBy("high", "low", "deal", "context").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.first("n").alias("n"))
-    best = saved(best.select("high", "low", "deal", "context", F.col("place").cast("string").alias("place"), "n"), "distinct")
-    settle(spark)
-    parts = max(1, -(-int(best.agg(F.sum(F.length("context"))).first()[0] or 0) // TASK_BYTES))
-
-    def sort_task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["deal"].map(rows["deal"].value_counts()) > 1]  # alone, a context repeats nothing
-        if not len(rows):
-            return pd.DataFrame({"key": [], "start": [], "n": []}).astype("int64")
-        placed = [int(p) for p in rows["place"]]
-        masks = _repeats(list(rows["context"]), placed)
-        out = [(p >> OFFSET_BITS, (p & ((1 << OFFSET_BITS) - 1)) + a, n) for p, mask in zip(placed, masks, strict=True) for a, n in _runs(mask)]
-        return pd.DataFrame(out, columns=["key", "start", "n"]).astype("int64")
-
-    dealt = best.select("deal", "context", "place", F.pmod(F.xxhash64("deal"), F.lit(parts)).alias("part"))
-    inside = saved(dealt.groupBy("part").applyInPandas(sort_task, "key long, start long, n long"), "inside")
-    where = near.filter("context is not null").select("high", "low", "key", "start", "n", place.cast("decimal(38,0)").cast("string").alias("own"))
-    others = where.join(best.select("high", "low", "place"), ["high", "low"]).filter("own <> place").select("key", "start", F.col("n").cast("long").alias("n"))
-    local = near.filter("context is null").select("key", "start", F.col("n").cast("long").alias("n"))
-    gone = saved(inside.unionByName(others).unionByName(local).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone")), "gone")
-    discard(near)
-    discard(best)
+    # The earliest document with each context; partial sums shrink a common one before the shuffle.
+    same = ["deal", "high", "low"]
+    best = saved(near.filter("not local").groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("n")), "best")
+    mixed = saved(best.groupBy("deal").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed")
+    judged = best.join(bounded(mixed), "deal", "left").filter("n > 1 or kinds is not null").select(*same, "first", "kinds")
+    judged = near.filter("not local").join(judged, same).select("key", "run", "deal", (F.col("key") > F.col("first")).alias("later"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
+    judged = saved(judged, "judged")
+    as_span = F.col("key"), F.shiftright("run", 16).alias("start"), (F.shiftright("run", 8) % 256).alias("n")
+    gone = [saved(near.filter("local").select(*as_span), "local"), judged.filter("later").select(*as_span)]
+    discard(best, mixed, near)
     settle(spark)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text, copy, gone in zip(batch["text"], batch["copy"], batch["gone"], strict=True):
-                raw = text.encode("utf-8", "replace")
-                delta = np.zeros(len(raw) + 1, np.int64)
-                if copy and len(raw) >= LENGTH:
-                    delta[0] += 1
-                for x in gone if gone is not None else ():
-                    delta[x["start"]] += 1
-                    delta[x["start"] + x["n"] + LENGTH - 1] -= 1
-                mask = np.cumsum(delta)[:-1] > 0
-                kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-                spans = [{"start": a, "end": a + n} for a, n in _runs(mask)]
-                out.append((kept, spans, len(raw), int(mask.sum()), len(spans), hashlib.sha256(kept).hexdigest()))
-            frame = pd.DataFrame(out, columns=["kept", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
-            yield frame
-
+    rest = judged.filter("not later and kinds > 0")
+    sorts = rest.filter(F.col("kinds") <= HOT)
+    parts = max(1, -(-int(sorts.agg(F.sum(F.shiftright("run", 8) % 256 + LENGTH)).first()[0] or 0) // TASK_BYTES))
+    lists = saved(sorts.groupBy("key").agg(F.collect_list(F.struct("run", "deal")).alias("again")), "lists")
+    contexts = distinct.join(lists.hint("merge"), "key").mapInPandas(releasing(_read_contexts), "key long, start long, deal long, context binary")
+    dealt = contexts.withColumn("part", F.pmod(F.xxhash64("deal"), F.lit(parts))).groupBy("part")
+    gone.append(saved(dealt.applyInPandas(_sort_task, "key long, start long, n long"), "inside"))
+    hot = saved(rest.filter(F.col("kinds") > HOT).groupBy("key").agg(F.collect_list("run").alias("again")), "hot")
+    if not hot.isEmpty():
+        strings = distinct.join(hot.hint("merge"), "key").mapInPandas(releasing(_list_strings), "key long, start long, high long, low long, local boolean")
+        strings = saved(strings, "strings")
+        first = strings.filter("not local").groupBy("high", "low").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("high", "low", "first")
+        later = strings.filter("not local").join(saved(first, "first"), ["high", "low"]).filter("key > first")
+        gone += [x.select("key", "start", F.lit(1).cast("long").alias("n")) for x in (strings.filter("local"), later)]
+    every = gone[0]
+    for part in gone[1:]:
+        every = every.unionByName(part)
+    spans = saved(every.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone")), "gone")
+    discard(judged, lists, hot)
+    settle(spark)
     schema = "doc_id long, kept binary, spans array<struct<start:long,end:long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.join(gone.hint("merge"), "key", "left").select("doc_id", "text", "copy", "gone").mapInPandas(cut, schema)
+    return rows.join(spans.hint("merge"), "key", "left").select("doc_id", "text", "copy", "gone").mapInPandas(releasing(_cut), schema)
