@@ -11,14 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crate.llm.workers import releasing
 from crate.storage import saved
 
 #: Vectors that the codebooks are fitted on, and centroids of each half, at most.
 SAMPLE_VECTORS, CENTROIDS = 20_000, 64
 #: Recall that the visited share of the index is calibrated for, and queries of the sample used for that.
-TARGET_RECALL, CALIBRATION_QUERIES = 0.97, 200
-#: Entries of a block and queries of a group: what one task holds at a time.
+TARGET_RECALL, CALIBRATION_QUERIES = 0.95, 200
+#: Entries of a block and queries of a group: what one task holds at a time. Queries of a traversal task, and of a product.
 BLOCK_ROWS, GROUP_QUERIES = 8_192, 4_096
+WALK_QUERIES, PRODUCT_QUERIES = 128, 256
 
 
 @dataclass
@@ -82,13 +84,51 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15) -
 
 
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """All inner products in double precision, summed in the order of the dimensions: equal vectors score equally."""
-    out = np.zeros((len(q), len(x)))
+    """Inner products row by row in double precision, summed in the order of the dimensions: equal vectors score equally."""
+    out = np.zeros(len(q))
     for d in range(q.shape[1]):
-        out += q[:, d, None] * x[None, :, d]
+        out += q[:, d] * x[:, d]
     return out
 
 
+def best_in_block(held: pd.DataFrame, queries: pd.DataFrame, k: int, n_cells: int) -> pd.DataFrame:
+    """query_id, vec_id, score: the k best entries of the opened cells of a block for each query, ties to smaller ids.
+
+    held: vec_id, cell, v; queries: query_id, q, cells (those opened). Only opened cells are multiplied. Products choose the entries
+    that may be among the best, rounding allowed for; their scores are then summed in one order.
+    """
+    held = held.sort_values(["cell", "vec_id"], kind="stable")
+    x = np.frombuffer(b"".join(held["v"]), float).reshape(len(held), -1)
+    ids = held["vec_id"].to_numpy()
+    names, first = np.unique(held["cell"].to_numpy(), return_index=True)
+    ends, slot = np.append(first[1:], len(x)), np.full(n_cells, len(names))
+    slot[names] = np.arange(len(names))
+    longest = float(np.sqrt((x * x).sum(axis=1).max()))
+    by_id, out = np.argsort(ids, kind="stable"), []
+    for a in range(0, len(queries), PRODUCT_QUERIES):
+        part = queries.iloc[a : a + PRODUCT_QUERIES]
+        own, q = part["query_id"].to_numpy(), np.frombuffer(b"".join(part["q"]), float).reshape(len(part), -1)
+        opened = np.zeros((len(part), len(names) + 1), bool)
+        for i, raw in enumerate(part["cells"]):
+            opened[i, slot[np.frombuffer(raw, "<i4")]] = True
+        scores = np.full((len(part), len(x)), -np.inf)
+        for j, (s, e) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+            who = np.flatnonzero(opened[:, j])
+            scores[who, s:e] = q[who] @ x[s:e].T
+        lo, hi = (np.searchsorted(ids, own, side, sorter=by_id) for side in ("left", "right"))
+        for i in np.flatnonzero(hi > lo):
+            scores[i, by_id[lo[i] : hi[i]]] = -np.inf
+        floor = np.partition(scores, -k, axis=1)[:, -k] if len(x) > k else np.full(len(part), -np.inf)
+        floor = floor - 1e-12 * q.shape[1] * longest * np.sqrt((q * q).sum(axis=1))
+        row, col = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        exact = inner(q[row], x[col])
+        order = np.lexsort((ids[col], -exact, row))
+        nth = np.arange(len(row)) - np.searchsorted(row, row)  # row ascends
+        at = order[nth < k]
+        out.append(pd.DataFrame({"query_id": own[row[at]], "vec_id": ids[col[at]], "score": exact[at]}))
+    return pd.concat(out, ignore_index=True)
+
+
 def valid(vectors: DataFrame, vec_col: str, id_col: str) -> DataFrame:
     """vec_id and v (array<double>) of the rows that take part: id and components not null, finite, not all zero."""
     v = F.col(vec_col).cast("array<double>")
@@ -134,8 +174,8 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, vec_col: str = "
 
     is_query is a condition on vec_id. Every valid row is indexed and a candidate but rows with the query's own id; ties go to
     the smaller id. Vectors that are null, zero, or hold null or non-finite components take no part; nor do rows without an id
-    and vectors of another length than most. If fewer candidates than k exist, all are returned. Repeated ids are
-    separate candidates. Other columns are ignored; an empty input gives an empty result.
+    and vectors of another length than most. If fewer candidates than k exist, all are returned. Rows that repeat an id are separate
+    candidates, but one query: that of the vector whose bytes are least. Other columns are ignored; an empty input gives an empty result.
     """
     spark = vectors.sparkSession
     rows = valid(vectors, vec_col, id_col)
@@ -151,7 +191,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, vec_col: str = "
             x = np.array(batch["v"].tolist(), dtype=float).reshape(len(batch), shared.value.dims)
             yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy(), "cell": shared.value.cells(x).astype("int32"), "v": [r.tobytes() for r in x]})
 
-    index = saved(rows.mapInPandas(place, "vec_id long, cell int, v binary"), "index")
+    index = saved(rows.mapInPandas(releasing(place), "vec_id long, cell int, v binary"), "index")
     counts = np.zeros(books.side**2, "int64")
     for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most CENTROIDS**2 rows
         counts[r["cell"]] = r["n"]
@@ -171,8 +211,9 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, vec_col: str = "
     layout = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(counts), dtype="int32"), "first": first, "salts": salts}))
     blocks = index.join(F.broadcast(layout), "cell").select("vec_id", "cell", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("salts"))).alias("block"))
 
-    asked = index.filter(is_query)
-    groups = max(1, -(-asked.count() // GROUP_QUERIES))
+    asked = saved(index.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "asked")
+    n_asked = asked.count()
+    groups = max(1, -(-n_asked // GROUP_QUERIES))
     tables = spark.sparkContext.broadcast((counts, first, salts))
 
     def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,29 +230,13 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, vec_col: str = "
             yield pd.DataFrame(out, columns=["block", "group", "query_id", "q", "cells"])
 
     group = F.pmod(F.xxhash64(F.lit("group"), "vec_id"), F.lit(groups)).alias("group")
-    visits = asked.select("vec_id", "v", group).repartition(F.col("vec_id")).mapInPandas(traverse, "block long, group long, query_id long, q binary, cells binary")
+    visits = asked.select("vec_id", "v", group).repartition(max(1, -(-n_asked // WALK_QUERIES)), "vec_id").mapInPandas(releasing(traverse), "block long, group long, query_id long, q binary, cells binary")
     entries = blocks.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def rerank(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
         if len(held) and len(queries):
-            held = held.sort_values("vec_id", kind="stable")
-            x = np.frombuffer(b"".join(held["v"]), float).reshape(len(held), -1)
-            ids, cells = held["vec_id"].to_numpy(), held["cell"].to_numpy()
-            for a in range(0, len(queries), 128):
-                part = queries.iloc[a : a + 128]
-                open_cells = np.zeros((len(part), len(counts)), bool)
-                for i, raw in enumerate(part["cells"]):
-                    open_cells[i, np.frombuffer(raw, "<i4")] = True
-                own = part["query_id"].to_numpy()
-                scores = inner(np.frombuffer(b"".join(part["q"]), float).reshape(len(part), -1), x)
-                scores[~open_cells[:, cells] | (ids[None, :] == own[:, None])] = -np.inf
-                least_score = np.partition(scores, -k, axis=1)[:, -k] if len(x) > k else np.full(len(part), -np.inf)
-                for i in range(len(part)):
-                    at = np.flatnonzero((scores[i] >= least_score[i]) & (scores[i] > -np.inf))
-                    at = at[np.argsort(-scores[i, at], kind="stable")[:k]]  # ids ascend, so ties go to the smaller
-                    out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[at], "score": scores[i, at]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": float})
+            return best_in_block(held, queries, k, len(counts))
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": float})
 
     partial = entries.groupBy("block", "group").cogroup(visits.groupBy("block", "group")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
