@@ -23,7 +23,7 @@ from crate.storage import bounded, discard, saved, settle
 
 LENGTH, GRAM = 100, 24
 #: Bytes that one task sorts, about; the number of tasks grows with the input.
-TASK_BYTES = 2_000_000
+TASK_BYTES = 1_000_000
 #: Anchors of more distinct contexts, which could fill a task, are hot: their strings are dealt one by one, by content, instead of all to one task.
 HOT = TASK_BYTES // (LENGTH + 40)
 #: Positions handled at a time, for texts of any length.
@@ -323,7 +323,7 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     places = saved(distinct.mapInPandas(releasing(_list_anchors), "key long, z long, run long"), "anchors")
     repeated = saved(places.groupBy("z").agg(F.count("*").alias("n")).filter("n > 1").select("z"), "repeated")
     settle(spark)
-    again = saved(places.join(bounded(repeated), "z").groupBy("key").agg(F.collect_list("run").alias("again")), "again")  # a row a document, no longer than its text
+    again = saved(places.join(repeated.hint("merge"), "z").groupBy("key").agg(F.collect_list("run").alias("again")), "again")  # a row a document, no longer than its text
     discard(places, repeated)
     settle(spark)
 
@@ -335,7 +335,7 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     same = ["deal", "high", "low"]
     best = saved(near.filter("not local").groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("n")), "best")
     mixed = saved(best.groupBy("deal").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed")
-    judged = best.join(bounded(mixed), "deal", "left").filter("n > 1 or kinds is not null").select(*same, "first", "kinds")
+    judged = best.join(mixed.hint("merge"), "deal", "left").filter("n > 1 or kinds is not null").select(*same, "first", "kinds")
     judged = near.filter("not local").join(judged, same).select("key", "run", "deal", (F.col("key") > F.col("first")).alias("later"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
     judged = saved(judged, "judged")
     as_span = F.col("key"), F.shiftright("run", 16).alias("start"), (F.shiftright("run", 8) % 256).alias("n")
