@@ -10,38 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crate.llm import exact_dedup, language_id, near_dedup, packing, pii
-from crate.llm.registry import PII_KEY, VOCABULARIES
+from crate.llm.registry import PII_KEY, vocabulary
 from crate.storage import saved
 
-#: Language models and packing have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Language models and packing have no SQL form; tests/llm/test_pipeline.py holds the stages against what each must keep.
 ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language models reject: no letters, or a text unlike every language seen."""
-    rows = language_id.sample(docs)
-    if not rows:
-        return docs.limit(0)
-    return language_id.identified(docs, language_id.fit(rows)).filter(~F.col("rejected")).select(*docs.columns)
+    """Drops documents that the language models reject: no letters, or a text unlike every language seen.
+
+    Models are learned from the documents with a language. Where none has one, only texts without letters go. Null texts go.
+    """
+    models = language_id.fit(language_id.sample(docs))
+    return language_id.identified(docs, models).filter(~F.col("rejected")).select(*docs.columns)
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts; cases as in exact_dedup.drop_exact_copies()."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies; cases as in near_dedup.drop_near_copies()."""
     return near_dedup.drop_near_copies(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms in the texts; n_chars follows where a pseudonym is shorter or longer."""
-    found = pii.pseudonymised(docs, PII_KEY)
+    """Pseudonyms in the texts under the secret of `spark.crate.pii.key`, or of the registered query where that is unset.
+
+    n_chars follows where a pseudonym is shorter or longer. Null and empty texts stay as they are.
+    """
+    found = pii.pseudonymised(docs, spark.conf.get("spark.crate.pii.key", PII_KEY))
     length = F.when(F.col("n_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(docs, f"{VOCABULARIES}/word_bpe_49k.json")
+    """All documents in sequences of 4096 tokens at most; cases as in packing.best_fit_packing()."""
+    return packing.best_fit_packing(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -54,6 +61,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed sequences of the documents table; an empty table gives none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)

@@ -14,12 +14,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crate.llm.workers import releasing
+
 #: Fixed values of the public byte-level BPE format: the pre-tokeniser's pattern, and the printable stand-ins of bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Pieces remembered by a Python worker; when full they are forgotten and found again.
 MEMO_PIECES = 400_000
+#: Pairs of tokens whose compatibility a worker remembers.
+PAIRS = 1_000_000
 #: Longer pieces are encoded each time, not remembered.
 MEMO_CHARS = 64
 
@@ -102,7 +106,7 @@ class Bpe:
                     limit, a = a, a2
                 else:
                     limit, b = b + 1, b1
-            if len(self.agree) > 4_000_000:
+            if len(self.agree) > PAIRS:
                 self.agree.clear()
             self.agree[(left, right)] = known
         return known
@@ -193,4 +197,4 @@ def encoded(docs: DataFrame, vocabulary: str, text_col: str = "text", id_col: st
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, names)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(releasing(run), names)

@@ -8,13 +8,15 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crate.llm.workers import releasing
+
 ORDER = 4
-#: Bounds of the sample that the models are fitted on: documents per language, and code points of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 4_000
+#: Bounds of the sample that the models are fitted on: whole documents of a language, and their code points together.
+SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 2_000_000
 #: Code points scored at a time: bounds a task's memory for texts of any length.
 BLOCK = 1 << 16
 #: A document is rejected if its cross-entropy is above this quantile of the sample's, plus the margin in nats a character.
@@ -181,57 +183,65 @@ def _smoothed(texts: dict[str, list[np.ndarray]]) -> Models:
     return Models(langs, keys, logp, contexts, backoff, np.full(len(langs), np.inf), 1.0)
 
 
-def fit(rows: list[tuple[str, str]]) -> Models:
-    """Models of (lang, text) rows, with the rejection limits and the sharpness of the score calibrated on a fifth of them."""
-    held, used = {}, {}
-    for i, (lang, text) in enumerate(rows):
+def fit(rows: list[tuple[str, str]]) -> Models | None:
+    """Models of (lang, text) rows; None if no row has letters. A fifth of a language's rows is held back to calibrate limits and score.
+
+    A language of fewer than five rows has no held text: it takes the widest limit of the others, or none if there is none.
+    """
+    held, used, seen = {}, {}, {}
+    for lang, text in rows:
         if len(chars := folded(text)):
-            (held if i % 5 == 4 else used).setdefault(lang, []).append(chars)
-    for lang in set(held) - set(used):
-        used[lang] = held[lang]
+            seen[lang] = seen.get(lang, 0) + 1
+            (held if seen[lang] % 5 == 0 else used).setdefault(lang, []).append(chars)
     if not used:
-        raise ValueError("no text with a language to learn from")
+        return None
     models = _smoothed(used)
     gaps = []
     for j, lang in enumerate(models.langs):
         means = []
-        for chars in held.get(lang, used[lang]):
+        for chars in held.get(lang, ()):
             loss = models.losses(chars) / max(len(chars) - 1, 1)
             means.append(loss[j])
             rest = np.delete(loss, j)
             if len(rest) and len(chars) > 20:
                 gaps.append(rest.min() - loss[j])
-        models.limits[j] = np.quantile(means, QUANTILE) + MARGIN
+        if means:
+            models.limits[j] = np.quantile(means, QUANTILE) + MARGIN
+    known = models.limits[np.isfinite(models.limits)]
+    if len(known):
+        models.limits[~np.isfinite(models.limits)] = known.max()
     models.sharpness = float(np.log(99) / max(np.median(gaps), 1e-3)) if gaps else 1.0  # the median gap scores 0.99
     return models
 
 
-def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most per_lang documents a language, those with the lowest hashes of their ids; texts are cut to SAMPLE_CHARS for fitting only."""
+def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(lang, whole text) of at most per_lang documents a language, by lowest hashes of their ids, up to `chars` code points; one document at least.
+
+    Rows without a language or a text take no part; a table without others gives an empty list.
+    """
     texts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = F.xxhash64(F.lit("language"), F.col(id_col).cast("long"), F.length(text_col))
-    named = texts.select(F.col(lang_col).alias("lang"), text_col, order.alias("o"))
+    named = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("o"))
     sizes = named.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
     share = F.least(F.lit(1.0), F.lit(1.1 * per_lang) / F.col("n"))
     few = named.join(F.broadcast(sizes), "lang").filter(F.pmod("o", F.lit(1 << 40)) < share * F.lit(float(1 << 40)))
-    got = few.select("lang", F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), "o").collect()
-    rows: list[tuple[str, str]] = []
-    for lang in sorted({r["lang"] for r in got}):
-        rows += [(lang, t) for _, t in sorted((r["o"], r["text"]) for r in got if r["lang"] == lang)[:per_lang]]
-    return rows
+    by_hash = Window.partitionBy("lang").orderBy("o", "text")  # about per_lang rows a language
+    few = few.select("lang", "text", "o", F.row_number().over(by_hash).alias("nth"), F.sum(F.length("text")).over(by_hash).alias("held"))
+    got = few.filter((F.col("nth") <= per_lang) & ((F.col("held") <= chars) | (F.col("nth") == 1))).select("lang", "nth", "text").collect()
+    return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["nth"]))]
 
 
-def identified(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+def identified(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
     """docs and lang_pred, score (0 to 1), cross_entropy (nats a character), rejected.
 
     The language with the lowest cross-entropy per character wins. Rejected are texts without letters (lang_pred `und`, score
     0), null texts among them, and texts whose best cross-entropy is above that language's limit. Ties go to the
-    first language in order of names. Result columns replace columns of the same names in docs. Whole texts are read.
+    first language in order of names. Without models (None) every text is `und` with score 0, and only those without letters are
+    rejected. Repeated rows give repeated results. Result columns replace columns of the same names in docs. Whole texts are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the fitting sample
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
-    @F.pandas_udf(schema)
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for batch in batches:
@@ -241,11 +251,14 @@ def identified(docs: DataFrame, models: Models, text_col: str = "text") -> DataF
                 if len(chars) < 2:
                     rows.append(("und", 0.0, None, True))
                     continue
+                if m is None:
+                    rows.append(("und", 0.0, None, False))
+                    continue
                 mean = m.losses(chars) / (len(chars) - 1)
                 j = int(np.argmin(mean))
                 odds = np.exp(-(mean - mean[j]) * m.sharpness)
                 rows.append((m.langs[j], float(1 / odds.sum()), float(mean[j]), bool(mean[j] > m.limits[j])))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    named = docs.drop(*schema.names).withColumn("_guess", guess(F.col(text_col)))
+    named = docs.drop(*schema.names).withColumn("_guess", F.pandas_udf(releasing(guess), schema)(F.col(text_col)))
     return named.select("*", *[F.col(f"_guess.{c}").alias(c) for c in schema.names]).drop("_guess")

@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from crate.llm.workers import releasing
 from crate.storage import saved
 
 CAPACITY = 4096
 #: Pieces that one task packs; the number of tasks grows with the input.
 PART_ROWS = 16_000
 MAX_ROUNDS = 8
-MEMO_WORDS = 600_000
+#: Words that a Python worker remembers.
+MEMO_WORDS = 250_000
 #: Code points encoded at a time.
 SLICE = 1_000_000
 
@@ -105,7 +107,7 @@ def pieces(docs: DataFrame, vocabulary: str, text_col: str = "text", id_col: str
             yield out
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInPandas(releasing(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

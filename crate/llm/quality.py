@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crate.llm.workers import releasing
+
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 8_000
 WORD_BITS, RANK, EPOCHS = 14, 8, 12
@@ -34,6 +36,10 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
+def forget() -> None:
+    _buckets.clear()
+
+
 def statistics(text: str, words: list[str]) -> np.ndarray:
     """Size metadata first, then shares of kinds of characters and of repetition."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -85,7 +91,12 @@ class Machine:
 
 
 def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]], seed: int = 7) -> Machine:
-    """Logistic loss by Adam over mini-batches; a sixth of the rows is set apart to place the threshold."""
+    """Logistic loss by Adam over mini-batches; a sixth of the rows is set apart to place the threshold.
+
+    Without rows nothing is learned: the machine scores every text 0.5.
+    """
+    if not rows:
+        return Machine(np.zeros(N_STATS), np.ones(N_STATS), 0.0, np.zeros(SIZE), np.zeros((SIZE, RANK)))
     stats = np.array([f[2] for f, _ in rows])
     scale = stats.std(axis=0)
     rng = np.random.default_rng(seed)
@@ -141,18 +152,20 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
             every = [features(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "ids": [a.astype("<i4").tobytes() for a, _, _ in every], "x": [b.astype("<f4").tobytes() for _, b, _ in every], "stats": [c.astype("<f8").tobytes() for *_, c in every]})
 
-    got = found.mapInPandas(run, "doc_id long, label int, ids binary, x binary, stats binary").orderBy("doc_id", "ids").collect()
+    got = found.mapInPandas(releasing(run, forget), "doc_id long, label int, ids binary, x binary, stats binary").orderBy("doc_id", "ids").collect()
     return [((np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float), np.frombuffer(r["stats"], "<f8")), int(r["label"])) for r in got]
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """docs and quality_score, 0 to 1, higher: label 1 likelier. Whole texts are read; a null text scores as an empty one."""
+    """docs and quality_score, 0 to 1, higher: label 1 likelier. Whole texts are read; a null text scores as an empty one.
+
+    Each row is scored by its text alone, so repeated ids and other columns don't matter; a column of this name is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
 
-    @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for batch in batches:
             yield pd.Series([m.score(t) for t in batch], dtype=float)
 
-    return docs.withColumn("quality_score", score(F.col(text_col)))
+    return docs.withColumn("quality_score", F.pandas_udf(releasing(score, forget), "double")(F.col(text_col)))

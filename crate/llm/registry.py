@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-#: Vocabulary files of public tokenizers, on every machine.
-VOCABULARIES = "/opt/tokenizers"
+def vocabulary(name: str) -> str:
+    """Path of a vocabulary file of the installed public tokenizers, the same on every machine."""
+    return public_tokenizers.path(name)
 
 
 def query(f):
@@ -43,7 +45,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoded(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json", keep_ids=False)
+    return bpe.encoded(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
 @query
@@ -94,7 +96,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
+    return packing.best_fit_packing(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 @query

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crate.llm.workers import releasing
 from crate.storage import saved
 
-#: A unit of fewer words goes only as part of a repeated passage: alone, a short line is repeated by chance.
-MIN_WORDS = 5
+#: A stretch of repeated units goes if it has so many words: shorter ones are repeated by chance.
+MIN_WORDS = 20
 _BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
 #: White space after an end of a sentence; the ends of scripts that set none need none, and take closing quotes and brackets along.
 _ENDS = re.compile(r"(?<=[.!?।॥۔؟።၊။])\s+|(?<=[。！？｡])(?![。！？｡」』”’）】])\s*|(?<=[。！？｡][」』”’）】])\s*")
@@ -39,63 +40,49 @@ def _size(words: list[str]) -> int:
     return n
 
 
-def _digest(*parts: str) -> bytes:
-    return hashlib.blake2b("\n".join(parts).encode("utf-8", "replace"), digest_size=16).digest()
-
-
-def _short(pieces: list[tuple[int, int, list[str], int]], min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the short pieces (start, end, words, size) by the passage around: the least run of pieces from or up to each that is long enough."""
-    for i, (a, b, words, size) in enumerate(pieces):
-        if size >= min_words:
-            continue
-        for step in (1, -1):
-            j, n = i, size
-            while n < min_words and 0 <= j + step < len(pieces):
-                j += step
-                n += pieces[j][3]
-            if n >= min_words:
-                run = pieces[min(i, j) : max(i, j) + 1]
-                yield a, b, _digest("from" if step > 0 else "to", str(len(words)), " ".join(w for x in run for w in x[2]))
-
-
-def units(text: str, unit: str = "line", min_words: int = MIN_WORDS, across: bool = False) -> Iterator[tuple[int, int, bytes]]:
+def units(text: str, unit: str = "line", sentences: bool = True) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit in reading order: lines (or paragraphs), after each the sentences in it.
 
     A digest is of the lower-case words joined by single spaces, alike for lines and sentences. A line of one sentence is a
-    unit once. Where a line goes, its sentences are earlier in the place that has the line, so no last copy is lost. A sentence
-    of too few words is a unit by its passage: with what follows it in its line, and with what precedes it, up to min_words. With
-    `across`, so is a line of too few words, by the lines around it.
+    unit once. Where a line goes, its sentences are earlier in the place that has the line, so no last copy is lost.
     """
-    lines = []
-    for a, b in _spans(_BREAK[unit], text, 0, len(text)):
-        if words := text[a:b].lower().split():
-            lines.append((a, b, words, _size(words)))
-    around: dict[int, list[tuple[int, int, bytes]]] = {}
-    for x in _short(lines, min_words) if across else ():
-        around.setdefault(x[0], []).append(x)
-    for a, b, words, size in lines:
-        if size < min_words:
-            yield from around.get(a, ())
-            continue
-        yield a, b, _digest(" ".join(words))
-        inner = [(c, d, w, _size(w)) for c, d in _spans(_ENDS, text, a, b) if (w := text[c:d].lower().split())]
-        if len(inner) < 2:
-            continue
-        short: dict[int, list[tuple[int, int, bytes]]] = {}
-        for x in _short(inner, min_words):
-            short.setdefault(x[0], []).append(x)
-        for c, d, w, n in inner:
-            if n >= min_words:
-                yield c, d, _digest(" ".join(w))
-            else:
-                yield from short.get(c, ())
 
+    def digest(words: list[str]) -> bytes:
+        return hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
 
-def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    for a, b in _spans(_BREAK[unit], text, 0, len(text)):
+        if not (words := text[a:b].lower().split()):
+            continue
+        yield a, b, digest(words)
+        inner = [(c, d, w) for c, d in _spans(_ENDS, text, a, b) if (w := text[c:d].lower().split())] if sentences else []
+        if len(inner) > 1:
+            yield from ((c, d, digest(w)) for c, d, w in inner)
+
+
+def repeated_spans(text: str, found: Iterator[tuple[int, int, bytes]], gone: set[bytes], min_words: int) -> list[tuple[int, int]]:
+    """Spans to remove: units whose digest is in `gone` or came before in the text, where those with only white space between have min_words together."""
+    spans: list[tuple[int, int]] = []
+    seen: set[bytes] = set()
+    for a, b, d in found:
+        if (d in gone or d in seen) and (not spans or a >= spans[-1][1]):
+            spans.append((a, b))
+        seen.add(d)
+    out: list[tuple[int, int]] = []
+    stretch, words = [], 0
+    for a, b in [*spans, (len(text) + 1, 0)]:
+        if stretch and (a > len(text) or text[stretch[-1][1] : a].strip()):
+            out += stretch if words >= min_words else []
+            stretch, words = [], 0
+        stretch.append((a, b))
+        words += _size(text[a:b].split())
+    return out
+
+
+def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", unit: str = "line", sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (what stays), spans (removed, array of start and end in the original), n_chars, n_removed, n_spans.
 
-    Of the units with equal normalised words the one in the smallest doc_id, then the earliest place, stays; the rest go. A line
-    or sentence of fewer than min_words goes where it and the text after it, or before it, are repeated together.
+    Of the units with equal normalised words the one in the smallest doc_id, then the earliest place, stays; the others are
+    repeated. Repeated units that follow each other go if they have min_words together; in scripts without spaces letters count.
     Offsets count code points of the original text; the line break after a removed line stays where it was. A null or
     empty text has no units. A null id ranks after all others. Rows that repeat an id count as one document: each
     gets the result of its own text against smaller ids. Other columns are ignored; an empty input gives an empty result.
@@ -107,13 +94,13 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             ids, found = [], []
             for key, text in zip(batch["key"], batch["text"], strict=True):
                 if text:
-                    own = list({d: None for _, _, d in units(text, unit, min_words, across=True)})
+                    own = list({d: None for _, _, d in units(text, unit, sentences)})
                     ids += [key] * len(own)
                     found += own
             yield pd.DataFrame({"key": pd.Series(ids, dtype="int64"), "high": [int.from_bytes(d[:8], "big", signed=True) for d in found], "low": [int.from_bytes(d[8:], "big", signed=True) for d in found]}).astype("int64")
 
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key")
-    seen = saved(rows.select(key, "text").mapInPandas(emit, "key long, high long, low long"), "units")
+    seen = saved(rows.select(key, "text").mapInPandas(releasing(emit), "key long, high long, low long"), "units")
     first = seen.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1").select("high", "low", "first")
     later = seen.join(saved(first, "repeated"), ["high", "low"]).filter("key > first").select("key", "high", "low")
     gone = later.groupBy("key").agg(F.collect_list(F.struct("high", "low")).alias("gone"))  # as many as the document has units
@@ -124,13 +111,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             for doc_id, text, gone in zip(batch["doc_id"], batch["text"], batch["gone"], strict=True):
                 text = text or ""
                 drop = {x["high"].to_bytes(8, "big", signed=True) + x["low"].to_bytes(8, "big", signed=True) for x in gone} if gone is not None else set()
-                spans, seen_here, covered = [], set(), 0
-                for a, b, d in units(text, unit, min_words, across=True):
-                    again = d in drop or d in seen_here
-                    seen_here.add(d)
-                    if again and a >= covered and b > a:
-                        spans.append((a, b))
-                        covered = b
+                spans = repeated_spans(text, units(text, unit, sentences), drop, min_words)
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(text[at:a])
@@ -142,4 +123,4 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             yield frame
 
     both = rows.withColumn("key", key).join(gone, "key", "left").drop("key")
-    return both.mapInPandas(cut, "doc_id long, text string, spans array<struct<start:int,end:int>>, n_chars long, n_removed long, n_spans long")
+    return both.mapInPandas(releasing(cut), "doc_id long, text string, spans array<struct<start:int,end:int>>, n_chars long, n_removed long, n_spans long")

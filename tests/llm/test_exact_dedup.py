@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from crate.llm import exact_dedup
 
@@ -54,3 +55,15 @@ def test_empty(spark):
 def test_clashing_names(spark, extra):
     df = frame(spark, ROWS[:3]).withColumnRenamed("h", extra)
     assert exact_dedup.exact_dedup(df).count() == 3
+
+
+def test_the_directory_decides(spark, monkeypatch):
+    """Rows are grouped and looked up in the bucket that the directory names: a directory that splits a slot splits its groups."""
+    rows = [(i, "same text", "x") for i in range(6)] + [(9, "other", "x")]
+    whole = exact_dedup._directory
+    both = lambda keys, n: whole(keys, n).unionByName(whole(keys, n).withColumn("bucket", F.col("bucket") + 1))
+    assert exact_dedup.exact_dedup(frame(spark, rows)).count() == 7
+    monkeypatch.setattr(exact_dedup, "_directory", lambda keys, n: whole(keys, n).limit(0))
+    assert exact_dedup.exact_dedup(frame(spark, rows)).count() == 0
+    monkeypatch.setattr(exact_dedup, "_directory", both)
+    assert exact_dedup.exact_dedup(frame(spark, rows)).count() == 14

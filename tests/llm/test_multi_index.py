@@ -55,3 +55,9 @@ def test_few_rows(spark):
     got = multi_index.search(df, F.col("vec_id") == 0, 20).collect()
     assert [(r["rank"], r.vec_id) for r in got] == [(1, 1), (2, 2)]
     assert multi_index.search(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_repeated_ids_are_one_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.0, 1.0])]
+    got = multi_index.search(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int"), F.col("vec_id") == 0, 20).collect()
+    assert sorted(r["rank"] for r in got) == [1, 2, 3] and sorted(r.vec_id for r in got) == [1, 1, 2]

@@ -36,3 +36,11 @@ def test_held_out_accuracy(spark):
     want = {i: y for i, _, y in data}
     held = [r for r in got if r.doc_id is not None and r.doc_id < 900 and r.doc_id % 3 == 0]
     assert sum((r.quality_score >= quality.THRESHOLD) == want[r.doc_id] for r in held) / len(held) > 0.97
+
+
+def test_without_labels_every_score_is_a_half(spark):
+    docs = spark.createDataFrame([(1, "a text", 5.0), (1, "a text", 5.0), (2, None, 1.0), (3, "word " * 30_000, 2.0)], "doc_id long, text string, quality_score double")
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    machine = quality.fit(quality.fitting_sample(docs, labels))
+    assert [r.quality_score for r in quality.scored(docs, machine).collect()] == [0.5] * 4
+    assert quality.scored(docs.limit(0), machine).count() == 0
