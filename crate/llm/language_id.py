@@ -19,8 +19,9 @@ ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 2_000_000
 #: Code points scored at a time: bounds a task's memory for texts of any length.
 BLOCK = 1 << 16
-#: A document is rejected if its cross-entropy is above this quantile of the sample's, plus the margin in nats a character.
-QUANTILE, MARGIN = 0.999, 0.35
+#: A document is rejected if its cross-entropy is above this quantile of the sample's, plus the margin in nats a character and
+#: SHORT over the root of its length: the mean over few characters scatters more.
+QUANTILE, MARGIN, SHORT = 0.999, 0.35, 6.0
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # odd: multiplication permutes the 64-bit integers
 
@@ -257,7 +258,7 @@ def identified(docs: DataFrame, models: Models | None, text_col: str = "text") -
                 mean = m.losses(chars) / (len(chars) - 1)
                 j = int(np.argmin(mean))
                 odds = np.exp(-(mean - mean[j]) * m.sharpness)
-                rows.append((m.langs[j], float(1 / odds.sum()), float(mean[j]), bool(mean[j] > m.limits[j])))
+                rows.append((m.langs[j], float(1 / odds.sum()), float(mean[j]), bool(mean[j] > m.limits[j] + SHORT / np.sqrt(len(chars)))))
             yield pd.DataFrame(rows, columns=schema.names)
 
     named = docs.drop(*schema.names).withColumn("_guess", F.pandas_udf(releasing(guess), schema)(F.col(text_col)))
