@@ -44,9 +44,12 @@ A, G, S, T = (f"({duck(x)})" for x in (ANALYSIS, GENRES, ASSIGNMENTS, TRACKS))
 
 
 def _wheel_sql(key: str) -> str:
+    """Number on the wheel, looked up among the twelve fifths from B major and A flat minor."""
     note, tail = f"lower(split_part({key}, ' ', 1))", f"lower(split_part({key}, ' ', 2))"
-    cases = lambda wheel: " ".join(f"when '{x}' then {n}" for n, notes in wheel.items() for x in notes.split())
-    return f"case when {tail} = 'maj' then case {note} {cases(music.MAJOR_WHEEL)} end else case {note} {cases(music.MINOR_WHEEL)} end end"
+    major, minor = "b f# c# g# d# a# f c g d a e".split(), "g# d# a# f c g d a e b f# c#".split()
+    flat = {"gb": "f#", "db": "c#", "ab": "g#", "eb": "d#", "bb": "a#"}
+    cases = lambda ring: " ".join(f"when '{x}' then {ring.index(flat.get(x, x)) + 1}" for x in [*major, *flat])
+    return f"case when {tail} = 'maj' then case {note} {cases(major)} end else case {note} {cases(minor)} end end"
 
 
 @query(f"""with k as (select track_id, {_wheel_sql('music_key')} as n, case when music_key like '%maj' then 'B' else 'A' end as ring from {A}),
@@ -164,12 +167,17 @@ def mix_tracklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_runs(w, floor=20.0).withColumn("score", F.round("score", 6))
 
 
-@query(f"""with recursive t as (select genre_id, name, parent_id, 0 as depth, genre_id as start from {G} union all select g.genre_id, g.name, g.parent_id, t.depth + 1, t.start from t join {G} g on g.genre_id = t.parent_id)
+#: A genre tree that grows with the customers: each node's parent has a quarter of its number.
+TREE = "select cast(c_custkey as bigint) as genre_id, concat('Style ', cast(c_custkey as {text})) as name, cast(nullif(floor(c_custkey / 4.0), 0) as bigint) as parent_id from {customer}"
+R = f"({TREE.format(text='varchar', customer='customer')})"
+
+
+@query(f"""with recursive t as (select genre_id, name, parent_id, 0 as depth, genre_id as start from {R} union all select g.genre_id, g.name, g.parent_id, t.depth + 1, t.start from t join {R} g on g.genre_id = t.parent_id)
 select start as genre_id, genre_id as ancestor_id, name, depth from t where depth > 0""")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crate.operators.taxonomy import ancestors as chain
 
-    return chain(view(spark, sf_dir, GENRES))
+    return chain(view(spark, sf_dir, TREE.replace("{text}", "string")))
 
 
 @query(f"""with a as (select track_id, genre_id from {S} where status <> 'rejected'), g as {G}, t as {T},

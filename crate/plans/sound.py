@@ -147,11 +147,14 @@ def radio_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 WISHES = "select r_regionkey as request_id, concat(case r_regionkey when 0 then 'start slow and deep, build up to peak, then wind down' when 1 then 'warm chilled sunset session' when 2 then 'build to 124-128 bpm tech house, 6 tracks' when 3 then 'punchy energetic female vocal' else 'steady groovy instrumental with piano' end, ' for ', lower(r_name)) as text from {region}"
 
 
-@query("""with w as (select r_regionkey as request_id, case r_regionkey when 0 then 'rise-then-fall' when 1 then 'low' when 2 then 'build' when 3 then 'build' else 'mid' end as shape, case r_regionkey when 2 then 124 else -1 end as bpm_lo, case r_regionkey when 2 then 128 else -1 end as bpm_hi,
-case r_regionkey when 2 then 6 else -1 end as length, case r_regionkey when 3 then 'vocal' when 4 then 'instrumental' else '' end as vocal, case r_regionkey when 3 then 'female' else '' end as gender, case r_regionkey when 2 then 'house,tech house' else '' end as genres,
-case r_regionkey when 0 then 'deep' when 1 then 'warm' when 3 then 'energetic' when 4 then 'groovy' else '' end as moods, case r_regionkey when 4 then 'Piano' else '' end as instruments from region) select * from w""")
+SENTENCES = WISHES.replace("r_regionkey", "c_custkey").replace("case c_custkey", "case c_custkey % 5").replace("lower(r_name)", "lower(c_name)").replace("{region}", "{customer}")
+
+
+@query("""with w as (select c_custkey as request_id, case c_custkey % 5 when 0 then 'rise-then-fall' when 1 then 'low' when 2 then 'build' when 3 then 'build' else 'mid' end as shape, case c_custkey % 5 when 2 then 124 else -1 end as bpm_lo, case c_custkey % 5 when 2 then 128 else -1 end as bpm_hi,
+case c_custkey % 5 when 2 then 6 else -1 end as length, case c_custkey % 5 when 3 then 'vocal' when 4 then 'instrumental' else '' end as vocal, case c_custkey % 5 when 3 then 'female' else '' end as gender, case c_custkey % 5 when 2 then 'house,tech house' else '' end as genres,
+case c_custkey % 5 when 0 then 'deep' when 1 then 'warm' when 3 then 'energetic' when 4 then 'groovy' else '' end as moods, case c_custkey % 5 when 4 then 'Piano' else '' end as instruments from customer) select * from w""")
 def parse_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = requests.parsed(view(spark, sf_dir, WISHES))
+    r = requests.parsed(view(spark, sf_dir, SENTENCES))
     number, word = lambda c: F.coalesce(F.col(c), F.lit(-1)).alias(c), lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return r.select("request_id", "shape", number("bpm_lo"), number("bpm_hi"), number("length"), word("vocal"), word("gender"), *[F.concat_ws(",", c).alias(c) for c in ("genres", "moods", "instruments")])
 
@@ -196,19 +199,23 @@ def parse_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("track_id", found.alias("f")).select("track_id", F.coalesce("f.artist", F.lit("")).alias("artist"), "f.title")
 
 
-EDGES = "select lower(n.n_name) as src, lower(r.r_name) as dst, 'subgenre' as rel from {nation} n join {region} r on r.r_regionkey = n.n_regionkey union all select lower(a.n_name), lower(b.n_name), case when a.n_nationkey % 2 = 0 then 'fusion' else 'influence' end from {nation} a join {nation} b on b.n_nationkey = a.n_nationkey + 3"
+#: A graph that grows with the customers: the node of a quarter of one's number is above it, and some are linked sideways.
+EDGES = "select concat('g', cast(c_custkey as {text})) as src, concat('g', cast(cast(floor(c_custkey / 4.0) as bigint) as {text})) as dst, 'subgenre' as rel from {customer} where c_custkey >= 4 union all select concat('g', cast(c_custkey as {text})), concat('g', cast(c_custkey + 3 as {text})), case when c_custkey % 10 = 0 then 'fusion' else 'influence' end from {customer} where c_custkey % 5 = 0"
+EDGES_SQL, EDGES = EDGES.format(text="varchar", customer="customer"), EDGES.replace("{text}", "string")
+#: Every tenth node.
+SEEDS = "select concat('g', cast(c_custkey as {text})) as seed from {customer} where c_custkey % 10 = 0"
 
 
-@query(f"""with e as ({EDGES.format(nation='nation', region='region')}), w as (select src, dst, case rel when 'subgenre' then 1.0 when 'fusion' then 0.7 when 'influence' then 0.5 else 0.4 end as w from e),
-b as (select src, dst, max(w) as w from (select * from w union all select dst, src, w from w) group by all), o as (select lower(r_name) as seed, dst as name, w from region join b on src = lower(r_name)),
+@query(f"""with e as ({EDGES_SQL}), w as (select src, dst, case rel when 'subgenre' then 1.0 when 'fusion' then 0.7 when 'influence' then 0.5 else 0.4 end as w from e),
+b as (select src, dst, max(w) as w from (select * from w union all select dst, src, w from w) group by all), o as (select seed, dst as name, w from ({SEEDS.format(text='varchar', customer='customer')}) join b on src = seed),
 t as (select seed, name, w from o union all select o.seed, b.dst, b.w * 0.5 from o join b on b.src = o.name where b.dst <> o.seed), m as (select seed, name, max(w)::double as weight from t group by all),
 r as (select *, row_number() over (partition by seed order by weight desc, name) as rank from m) select * from r where rank <= 25""")
 def related_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = view(spark, sf_dir, "select lower(r_name) as seed from {region}")
+    seeds = view(spark, sf_dir, SEEDS.replace("{text}", "string"))
     return taxonomy.related(seeds, view(spark, sf_dir, EDGES), 25)
 
 
-@query(f"""with recursive e as ({EDGES.format(nation='nation', region='region')}), h as (select dst as parent, src as child from e where rel <> 'influence'), n as (select parent as name from h union select child from h),
+@query(f"""with recursive e as ({EDGES_SQL}), h as (select dst as parent, src as child from e where rel <> 'influence'), n as (select parent as name from h union select child from h),
 t as (select [name] as path, name, 0 as depth from n where name not in (select child from h) union all select list_append(path, child), child, depth + 1 from t join h on parent = name where not list_contains(path, child) and depth < 16)
 select array_to_string(path, ' > ') as path, name, depth, case when depth = 0 then 'genre' else 'subgenre' end as level from t""")
 def taxonomy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crate.operators import metadata, organise, taxonomy
 from crate.plans.library import A, ANALYSIS, ASSIGNMENTS, G, GENRES, S, T, TRACKS, view
-from crate.plans.sound import EDGES
+from crate.plans.sound import EDGES, EDGES_SQL
 from crate.sources import tables, taxonomy_files
 
 QUERIES: dict = {}
@@ -79,20 +79,24 @@ def accepted_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.accepted_proposals(p, known, view(spark, sf_dir, ANALYSIS))
 
 
-@query(f"""with e as ({EDGES.format(nation='nation', region='region')}), c as (select lower(n_name) as src, lower(r_name) as dst, 'fusion' as rel from nation, region where n_nationkey % 5 = r_regionkey and n_nationkey < 20)
-select src, dst, rel from e union all select src, dst, rel from c where (src, dst) not in (select (src, dst) from e) and src in (select lower(n_name) from nation where n_nationkey % 2 = 0)""")
+@query(f"""with e as ({EDGES_SQL}), c as (select concat('g', c_custkey) as src, concat('g', c_custkey % 7) as dst, 'fusion' as rel from customer where c_custkey % 3 = 0)
+select src, dst, rel from e union all select src, dst, rel from c where (src, dst) not in (select (src, dst) from e) and src in (select concat('g', c_custkey) from customer where c_custkey % 2 = 0)""")
 def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curated = view(spark, sf_dir, "select lower(n_name) as src, lower(r_name) as dst, 'fusion' as rel from {nation}, {region} where n_nationkey % 5 = r_regionkey and n_nationkey < 20")
-    words = view(spark, sf_dir, "select n_name as name from {nation} where n_nationkey % 2 = 0")
+    curated = view(spark, sf_dir, "select concat('g', cast(c_custkey as string)) as src, concat('g', cast(c_custkey % 7 as string)) as dst, 'fusion' as rel from {customer} where c_custkey % 3 = 0")
+    words = view(spark, sf_dir, "select concat('g', cast(c_custkey as string)) as name from {customer} where c_custkey % 2 = 0")
     return metadata.merged_edges(view(spark, sf_dir, EDGES), curated, words)
 
 
-@query()
+@query(f"""with recursive e as ({EDGES_SQL}), h as (select dst as parent, src as child from e where rel <> 'influence'), n as (select parent as name from h union select child from h),
+t as (select [name] as path, name, 0 as depth from n where name not in (select child from h) union all select list_append(path, child), child, depth + 1 from t join h on parent = name where not list_contains(path, child) and depth < 16),
+p as (select array_to_string(path, ' > ') as path, array_to_string(path[1:len(path) - 1], ' > ') as above, name, depth from t), f as (select *, 2 + row_number() over (order by depth, path) as genre_id from p where path not in ('g1', 'g2')),
+k as (select path, genre_id from f union all select 'g1', 1 union all select 'g2', 2)
+select f.genre_id, f.name, k.genre_id as parent_id, case when depth = 0 then 'genre' else 'subgenre' end as level, f.path from f left join k on k.path = f.above""")
 def seeded_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids for all paths of the genre graph that aren't seeded yet, parents' ids with them."""
     links = view(spark, sf_dir, EDGES).filter("rel <> 'influence'").select(F.col("dst").alias("parent"), F.col("src").alias("child"))
     nodes = links.select(F.col("parent").alias("name")).union(links.select("child")).distinct()
-    existing = view(spark, sf_dir, "select cast(r_regionkey + 1 as bigint) as genre_id, lower(r_name) as path from {region} where r_regionkey < 2")
+    existing = view(spark, sf_dir, "select c_custkey as genre_id, concat('g', cast(c_custkey as string)) as path from {customer} where c_custkey <= 2")
     return taxonomy_files.seeded(taxonomy.unfold(nodes, links), existing)
 
 

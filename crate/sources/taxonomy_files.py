@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crate.storage import saved
+
 NODE = "name string, description string, parents array<string>, children array<string>"
 
 
@@ -28,6 +30,15 @@ def read_tiers(spark: SparkSession, index: str, main: str, detailed: str) -> tup
     return nodes, edges
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with n, from 1 in the order of the columns: sorted by ranges, each range's numbers go on from the sizes of those before it."""
+    rows = saved(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))  # a row a range
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("n", F.col("_at") % (1 << 33) + F.col("_before") + 1).drop("_at", "_part", "_before")
+
+
 def seeded(paths: DataFrame, existing: DataFrame, limit: int | None = None) -> DataFrame:
     """genre_id, name, parent_id, level, path of the tree's paths (path array, name, depth, level) that existing (path) lacks.
 
@@ -40,11 +51,10 @@ def seeded(paths: DataFrame, existing: DataFrame, limit: int | None = None) -> D
     text = F.array_join("path", " > ")
     fresh = paths.withColumn("path_text", text).join(existing.select(F.col("path").alias("path_text")), "path_text", "left_anti")
     last = existing.agg(F.coalesce(F.max("genre_id"), F.lit(0)).alias("last"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("depth", "path_text"))).crossJoin(F.broadcast(last))
-    numbered = numbered.withColumn("genre_id", F.col("n") + F.col("last"))
-    known = existing.select(F.col("path").alias("parent_text"), F.col("genre_id").alias("parent_id")).unionByName(numbered.select(F.col("path_text").alias("parent_text"), F.col("genre_id").alias("parent_id")))
+    fresh = numbered(fresh, "depth", "path_text").crossJoin(F.broadcast(last)).withColumn("genre_id", F.col("n") + F.col("last"))
+    known = existing.select(F.col("path").alias("parent_text"), F.col("genre_id").alias("parent_id")).unionByName(fresh.select(F.col("path_text").alias("parent_text"), F.col("genre_id").alias("parent_id")))
     parent = F.array_join(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), " > ")
-    return numbered.withColumn("parent_text", parent).join(known, "parent_text", "left").select("genre_id", "name", "parent_id", "level", F.col("path_text").alias("path"))
+    return fresh.withColumn("parent_text", parent).join(known, "parent_text", "left").select("genre_id", "name", "parent_id", "level", F.col("path_text").alias("path"))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
