@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crate.functions.vectors import cosine, doubles, l2_normalize
-from crate.operators.knn import pairs_with_small
+from crate.operators.knn import pairs_with_small, top_k
 
 
 def mean_vectors(rows: DataFrame, key: str, vec: str = "vector", unit: bool = True) -> DataFrame:
@@ -116,3 +116,27 @@ def confirm(confirmed: DataFrame, assignments: DataFrame, exemplars: DataFrame,
     taught = insert_or_ignore(exemplars, confirmed.select("genre_id", "track_id"), ["genre_id", "track_id"])
     touched = taught.join(confirmed.select("genre_id").distinct(), "genre_id", "left_semi").join(vectors, "track_id")
     return upsert(assignments, decided, ["track_id"]), taught, replace_group(centroids, mean_vectors(touched, "genre_id"), ["genre_id"])
+
+
+def persisted(suggestions: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Assignments (track_id, genre_id, confidence, status) after suggestions (track_id, genre_id, confidence, rank, from 0): the first of each
+    track stands as `suggested`, unless it has a confirmed one."""
+    firm = assignments.filter("status = 'confirmed'")
+    top = suggestions.filter("rank = 0").join(firm.select("track_id"), "track_id", "left_anti").select("track_id", "genre_id", "confidence", F.lit("suggested").alias("status"))
+    rest = assignments.join(top.select("track_id"), "track_id", "left_anti")
+    return rest.select("track_id", "genre_id", "confidence", "status").unionByName(top)
+
+
+def layer_pool(states: DataFrame, weights: list[float]) -> DataFrame:
+    """track_id, vector from rows (track_id, layer, vector), one a time step: means over time, then the weighted mean over layers."""
+    spread = states.filter(F.col("vector").isNotNull()).select("track_id", "layer", F.posexplode(doubles(F.col("vector"))).alias("i", "x"))
+    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), F.col("layer").cast("int"))
+    means = spread.groupBy("track_id", "layer", "i").agg(F.avg("x").alias("m")).withColumn("w", w)
+    pooled = means.groupBy("track_id", "i").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("x"))
+    return pooled.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("track_id", F.transform("v", lambda s: s["x"]).alias("vector"))
+
+
+def identified(windows: DataFrame, tracks: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, item_id, score, rank: tracks (item_id, vector) nearest to clips given by their windows (query_id, vector), pooled by the mean."""
+    clips = mean_vectors(windows, "query_id")
+    return top_k(clips, tracks, k)

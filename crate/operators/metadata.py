@@ -138,3 +138,9 @@ def family_share(genres: DataFrame, families: list[str]) -> DataFrame:
     rows = genres.select(F.explode("genres").alias("g"))
     hit = F.exists(F.array(*[F.lit(f) for f in families]), lambda f: F.contains(F.lower("g"), f))
     return rows.agg(F.avg(hit.cast("double")).alias("share")).select("share", (F.col("share") >= 0.6).alias("is_family"))
+
+
+def artist_region(begin_area: Column, area: Column) -> Column:
+    """The region of an artist: where they began, else where they are; empty names don't count."""
+    named = lambda c: F.when(F.length(F.trim(c)) > 0, c)
+    return F.coalesce(named(begin_area), named(area))

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crate.functions import music
+from crate.storage import saved
 
 
-def unique_destinations(df: DataFrame, dest: str = "dest", order: str = "track_id") -> DataFrame:
-    """Namesakes but the first get ' (1)', ' (2)' before the extension; a second pass settles clashes with names that had one."""
-    for _ in range(2):
+def unique_destinations(df: DataFrame, dest: str = "dest", order: str = "track_id", most_rounds: int = 20) -> DataFrame:
+    """Namesakes but the first get ' (1)', ' (2)' before the extension, again until no destination is there twice."""
+    for turn in range(most_rounds):
         n = F.row_number().over(Window.partitionBy(dest).orderBy(order)) - 1
         parts = F.regexp_extract(F.col(dest), r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(F.col(dest), r"^(.*?)(\.[^./]*)?$", 2)
-        df = df.withColumn("_n", n).withColumn(dest, F.when(F.col("_n") == 0, F.col(dest)).otherwise(F.concat(parts[0], F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), parts[1]))).drop("_n")
-    return df
+        df = df.withColumn("_n", n).withColumn(dest, F.when(F.col("_n") == 0, F.col(dest)).otherwise(F.concat(parts[0], F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), parts[1])))
+        df = saved(df, "destinations")
+        if turn and df.filter("_n > 0").isEmpty():
+            break
+        df = df.drop("_n")
+    return df.drop("_n")
 
 
 def plan(tracks: DataFrame, assignments: DataFrame, genres: DataFrame, root: str) -> DataFrame:
@@ -32,11 +37,35 @@ def tag_plan(assignments: DataFrame, genres: DataFrame, existing: DataFrame) ->
     return rows.select("track_id", F.col("genre").alias("from_value"), F.col("name").alias("to_value"), F.coalesce("_major", "name").alias("grouping"), F.concat(F.lit("confidence "), F.format_number("confidence", 2)).alias("comment"))
 
 
-def playlist_plan(ordered: DataFrame, name: str, root: str) -> DataFrame:
-    """track_id, dest: numbered copies in a folder, from rows (track_id, path, position) of one playlist."""
-    folder = music.sanitized(F.regexp_replace(F.lit(name), r"[^\w\- ]+", ""))
-    n = F.row_number().over(Window.orderBy("position"))  # a playlist is short
-    return ordered.select("track_id", F.concat_ws("/", F.lit(root), F.when(folder == "_", "Playlist").otherwise(folder), F.concat(F.lpad(n.cast("string"), 3, "0"), F.lit(" - "), music.base_name(F.col("path")))).alias("dest"))
+def playlist_name(name: Column) -> Column:
+    """A folder name: letters, digits, underscores, hyphens and spaces; `Playlist` if nothing is left."""
+    folder = music.sanitized(F.regexp_replace(name, r"[^\w\- ]+", ""))
+    return F.when(folder == "_", "Playlist").otherwise(folder)
+
+
+def playlist_plan(ordered: DataFrame, root: str) -> DataFrame:
+    """playlist, track_id, dest: numbered copies in a folder for each playlist, from rows (playlist, track_id, path, position)."""
+    n = F.row_number().over(Window.partitionBy("playlist").orderBy("position"))
+    digits = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
+    return ordered.select("playlist", "track_id", F.concat_ws("/", F.lit(root), playlist_name(F.col("playlist")), F.concat(digits, F.lit(" - "), music.base_name(F.col("path")))).alias("dest"))
+
+
+def vote_names(members: DataFrame) -> DataFrame:
+    """cluster, major, genre: the commonest major of a cluster's tracks, then the commonest genre in it that isn't the major itself, or null.
+
+    members: cluster, major, genre. Ties go to the first name.
+    """
+    of = lambda rows, *by: rows.groupBy("cluster", *by).agg(F.count("*").alias("n"))
+    top = lambda rows, name: rows.withColumn("_k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), name))).filter("_k = 1")
+    majors = top(of(members.filter("major is not null"), "major"), "major").select("cluster", "major")
+    inside = members.join(majors, ["cluster", "major"]).filter("genre is not null and genre <> major")
+    return majors.join(top(of(inside, "genre"), "genre").select("cluster", "genre"), "cluster", "left")
+
+
+def running_names(groups: DataFrame) -> DataFrame:
+    """cluster, name: `Major k` for groups (cluster, major, first_track) without a name, k in the order of their first tracks."""
+    k = F.row_number().over(Window.partitionBy("major").orderBy("first_track", "cluster"))
+    return groups.select("cluster", F.concat_ws(" ", "major", k.cast("string")).alias("name"))
 
 
 def state(log: DataFrame) -> DataFrame:

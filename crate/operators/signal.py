@@ -182,3 +182,23 @@ def descriptor(frames: DataFrame, frame: int, sr: int, bands: int = 40) -> DataF
     stat = mel.unionByName(rest).groupBy("track_id", "band").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     got = stat.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("band", "m", "s"))).alias("r"))
     return got.select("track_id", F.concat(F.transform("r", lambda r: r["m"]), F.transform("r", lambda r: r["s"])).alias("vector"))
+
+
+def even_windows(tracks: DataFrame, size: float, most: int = 24) -> DataFrame:
+    """track_id, nth, start, end: windows side by side over a whole track (track_id, duration), the last one flush with its end.
+
+    A track shorter than a window is one window to be padded. Of more than `most` windows as many are taken at even steps, both ends with them.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.col("duration") / size).cast("int"))
+    rows = tracks.filter("duration > 0").withColumn("_n", n)
+    picked = F.when(F.col("_n") <= most, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.round(i * (F.col("_n") - 1) / F.lit(most - 1)).cast("int")))
+    rows = rows.select("track_id", "duration", F.posexplode(picked).alias("nth", "_at"))
+    start = F.greatest(F.lit(0.0), F.least(F.col("_at") * F.lit(float(size)), F.col("duration") - size))
+    return rows.select("track_id", F.col("nth").cast("long").alias("nth"), F.round(start, 6).alias("start"), F.round(start + size, 6).alias("end"))
+
+
+def excerpts(tracks: DataFrame, size: float = 30.0) -> DataFrame:
+    """track_id, nth, start, end of three excerpts that begin at 15, 42.5 and 70 % of a track; ends may lie beyond it and are padded."""
+    at = F.posexplode(F.array(*[F.lit(x) for x in (0.15, 0.425, 0.7)])).alias("nth", "part")
+    rows = tracks.filter("duration > 0").select("track_id", "duration", at)
+    return rows.select("track_id", F.col("nth").cast("long").alias("nth"), F.round(F.col("duration") * F.col("part"), 6).alias("start"), F.round(F.col("duration") * F.col("part") + size, 6).alias("end"))

@@ -90,3 +90,32 @@ def merge_duplicates(genres: DataFrame, weight: DataFrame, max_rounds: int = 16)
             later = found.select(F.col("drop").alias("keep"), F.col("keep").alias("_to"))
             mapping = saved(mapping.join(later, "keep", "left").select("drop", F.coalesce("_to", "keep").alias("keep")).unionByName(found), "merge")
     return mapping if mapping is not None else genres.select(F.col("genre_id").alias("drop"), F.col("genre_id").alias("keep")).limit(0)
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """name, parents, children (sorted arrays) of the nodes of `subgenre` links (src below dst)."""
+    sub = edges.filter("rel = 'subgenre'").select("src", "dst").distinct()
+    up, down = sub.select(F.col("src").alias("name"), F.col("dst").alias("parent")), sub.select(F.col("dst").alias("name"), F.col("src").alias("child"))
+    both = up.withColumn("child", F.lit(None).cast("string")).unionByName(down.withColumn("parent", F.lit(None).cast("string")))
+    return both.groupBy("name").agg(F.array_sort(F.collect_set("parent")).alias("parents"), F.array_sort(F.collect_set("child")).alias("children"))
+
+
+def named_like_parent(genres: DataFrame) -> DataFrame:
+    """genre_id, parent_id of genres (genre_id, name, parent_id) that have their parent's name but for case."""
+    p = genres.select(F.col("genre_id").alias("parent_id"), F.col("name").alias("_parent"))
+    return genres.join(p, "parent_id").filter(F.lower("name") == F.lower("_parent")).select("genre_id", "parent_id")
+
+
+def canonical_ids(uses: DataFrame) -> DataFrame:
+    """name (normalised), genre_id: of the ids that rows (name, genre_id) give a name the most frequent one, then the smallest."""
+    n = uses.groupBy(F.lower(F.trim("name")).alias("name"), "genre_id").agg(F.count("*").alias("n"))
+    order = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "genre_id"))
+    return n.withColumn("_k", order).filter("_k = 1").select("name", "genre_id")
+
+
+def listing(genres: DataFrame, centroids: DataFrame, level: str | None = None, like: str | None = None) -> DataFrame:
+    """genre_id, name, level, has_centroid; of one level and with a part of the name only, if asked for."""
+    rows = genres.join(centroids.select("genre_id", F.lit(True).alias("has_centroid")).distinct(), "genre_id", "left")
+    rows = rows.filter(F.col("level") == level) if level else rows
+    rows = rows.filter(F.lower("name").contains(like.lower())) if like else rows
+    return rows.select("genre_id", "name", "level", F.coalesce("has_centroid", F.lit(False)).alias("has_centroid"))

@@ -91,13 +91,13 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 t as (select [name] as path, name, 0 as depth from n where name not in (select child from h) union all select list_append(path, child), child, depth + 1 from t join h on parent = name where not list_contains(path, child) and depth < 16),
 p as (select array_to_string(path, ' > ') as path, array_to_string(path[1:len(path) - 1], ' > ') as above, name, depth from t), f as (select *, 2 + row_number() over (order by depth, path) as genre_id from p where path not in ('g1', 'g2')),
 k as (select path, genre_id from f union all select 'g1', 1 union all select 'g2', 2)
-select f.genre_id, f.name, k.genre_id as parent_id, case when depth = 0 then 'genre' else 'subgenre' end as level, f.path from f left join k on k.path = f.above""")
+select f.genre_id, f.name, coalesce(k.genre_id, -1) as parent_id, case when depth = 0 then 'genre' else 'subgenre' end as level, f.path from f left join k on k.path = f.above""")
 def seeded_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids for all paths of the genre graph that aren't seeded yet, parents' ids with them."""
     links = view(spark, sf_dir, EDGES).filter("rel <> 'influence'").select(F.col("dst").alias("parent"), F.col("src").alias("child"))
     nodes = links.select(F.col("parent").alias("name")).union(links.select("child")).distinct()
     existing = view(spark, sf_dir, "select c_custkey as genre_id, concat('g', cast(c_custkey as string)) as path from {customer} where c_custkey <= 2")
-    return taxonomy_files.seeded(taxonomy.unfold(nodes, links), existing)
+    return taxonomy_files.seeded(taxonomy.unfold(nodes, links), existing).withColumn("parent_id", F.coalesce("parent_id", F.lit(-1)))
 
 
 @query(f"""with m as (select g.name, count(*) filter (a.status = 'confirmed') as confirmed, count(*) as n from {S} a join {G} g using (genre_id) group by 1) select name, n, confirmed, confirmed >= 5 as ready from m""")

@@ -33,6 +33,24 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
+def append(log: DataFrame, new: DataFrame, id_col: str = "event") -> DataFrame:
+    """An append-only log with new events: what stands in it never changes; an event that it has already is not added again."""
+    return log.unionByName(new.join(log.select(id_col), id_col, "left_anti").select(*log.columns))
+
+
+def import_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
+    """path, content_hash, state of listed files: `added` the first of a content that the library lacks, `seen` otherwise."""
+    have = known.select("content_hash", F.lit(True).alias("_have")).distinct()
+    nth = F.row_number().over(Window.partitionBy("content_hash").orderBy("path"))
+    rows = paths.select("path", "content_hash", nth.alias("_n")).join(have, "content_hash", "left")
+    return rows.select("path", "content_hash", F.when(F.col("_have").isNull() & (F.col("_n") == 1), "added").otherwise("seen").alias("state"))
+
+
+def counts(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: n, and for each name how many rows its condition holds for."""
+    return df.agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in conditions.items()])
+
+
 def replace_group(old: DataFrame, new: DataFrame, group: list[str]) -> DataFrame:
     """All rows of the groups that new has are replaced."""
     return old.join(new.select(*group).distinct(), group, "left_anti").unionByName(new)
