@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from crate.llm import near_dedup
 
@@ -70,3 +71,64 @@ def test_dropping(spark):
     assert [i for i in ids if 100 <= i < 180] == [100] and [i for i in ids if 200 <= i < 230] == [200]
     assert 300 in ids and 301 not in ids and 302 in ids and 303 not in ids
     assert near_dedup.drop_near_copies(df.limit(0)).count() == 0
+
+
+def pair(rng, n, similarity, kind):
+    """Two vectors of about n shingles at the given weighted Jaccard similarity: other shingles, or the same at other counts."""
+    found = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    n = len(found)
+    if kind == "shingles":
+        own = round(n * (1 - similarity) / 2)
+        return (found[own:], np.ones(n - own)), (found[: n - own], np.ones(n - own))
+    counts = np.ones(n)
+    counts[rng.choice(n, round(n * (1 - similarity) / similarity), replace=False)] = 2
+    return (found, np.ones(n)), (found, counts)
+
+
+def test_signatures_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(7)
+    limit, lost, shared, pairs = near_dedup.bits_apart(0.8), 0, 0, 0
+    for n, turns in ((300, 120), (3_000, 30), (20_000, 6)):
+        for kind in ("shingles", "weights"):
+            for _ in range(turns):
+                a, b = pair(rng, n, 0.8, kind)
+                if abs(near_dedup.weighted_jaccard(a, b) - 0.8) > 0.01:
+                    continue
+                x, y = near_dedup.bands(*a), near_dedup.bands(*b)
+                apart = sum(int(p ^ q).bit_count() for p, q in zip(x[-2:].view(np.uint64).tolist(), y[-2:].view(np.uint64).tolist(), strict=True))
+                lost += apart > limit
+                shared += bool((x[:-2] == y[:-2]).any())
+                pairs += 1
+    assert pairs > 250 and lost == 0 and shared >= pairs - 2
+
+
+def test_blocks_multiply_to_the_same_similarities():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = [" ".join(rng.choice(words) if rng.random() < p else w for w in base) for p in (0, 0.01, 0.03, 0.05, 0.1, 0.3) for _ in range(4)] + ["x " * 900, "x " * 700, "", "one two"]
+    idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
+    of, vectors = [near_dedup.shingles(t, idf) for t in texts], [near_dedup.vector(t, idf) for t in texts]
+    got = near_dedup.similarities(of[:9], of)
+    want = np.array([[near_dedup.weighted_jaccard(a, b) for b in vectors] for a in vectors[:9]])
+    assert np.abs(got - want).max() < 1e-5
+    rows = pd.DataFrame({"text": texts * 2, "label": list(range(len(texts))) * 2, "out": [True] * len(texts) + [False] * len(texts)})
+    tree = near_dedup._block(rows, idf, 0.8)
+    root = {i: i for i in range(len(texts))}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a, b in zip(tree["a"], tree["b"], strict=True):
+        assert find(a) != find(b)
+        root[find(a)] = find(b)
+    whole = np.array([[near_dedup.weighted_jaccard(a, b) for b in vectors] for a in vectors])
+    linked = {i: i for i in range(len(texts))}
+    up = lambda i: i if linked[i] == i else up(linked[i])
+    for i, j in np.argwhere(whole >= 0.8):
+        linked[up(int(i))] = up(int(j))
+    assert all((find(i) == find(j)) == (up(i) == up(j)) for i in range(len(texts)) for j in range(i))
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "OUT_NODES", 5)
+    monkeypatch.setattr(near_dedup, "MET_NODES", 7)
+    test_classes_against_all_pairs(spark)
