@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crate.plans import library, records, sound, store, tables, vectors
+from crate.plans import choices, library, records, sound, store, tables, vectors
 
-MODULES = (vectors, library, sound, records, tables, store)
+MODULES = (vectors, library, sound, records, tables, store, choices)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

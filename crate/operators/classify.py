@@ -118,6 +118,29 @@ def confirm(confirmed: DataFrame, assignments: DataFrame, exemplars: DataFrame,
     return upsert(assignments, decided, ["track_id"]), taught, replace_group(centroids, mean_vectors(touched, "genre_id"), ["genre_id"])
 
 
+def by_example(wanted: DataFrame, genres: DataFrame, exemplars: DataFrame, centroids: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Genres, exemplars and centroids with genres made of examples (name, parent_id, level, track_id; a row an example).
+
+    A name that its parent (null: none) already has goes on as that genre, the least id of several; new ones get ids after the greatest, by name.
+    Only the centroids of the genres named are made anew. genres: genre_id, name, parent_id, level; vectors: track_id, vector.
+    """
+    from crate.sources.tables import insert_or_ignore, replace_group
+    from crate.sources.taxonomy_files import numbered
+
+    said = wanted.groupBy("name", "parent_id").agg(F.min("level").alias("level"))
+    have = genres.groupBy(F.col("name").alias("_n"), F.col("parent_id").alias("_p")).agg(F.min("genre_id").alias("genre_id"))
+    known = said.join(have, (F.col("name") == F.col("_n")) & F.col("parent_id").eqNullSafe(F.col("_p")), "left").drop("_n", "_p")
+    top = genres.agg(F.coalesce(F.max("genre_id"), F.lit(0)).alias("_top"))  # one row
+    fresh = numbered(known.filter("genre_id is null").drop("genre_id"), "name", "parent_id").crossJoin(F.broadcast(top))
+    fresh = fresh.select((F.col("_top") + F.col("n")).cast("long").alias("genre_id"), "name", "parent_id", "level")
+    ids = known.filter("genre_id is not null").select("genre_id", "name", "parent_id").unionByName(fresh.select("genre_id", "name", "parent_id"))
+    ids = ids.select("genre_id", F.col("name").alias("_n"), F.col("parent_id").alias("_p"))
+    examples = wanted.join(ids, (F.col("name") == F.col("_n")) & F.col("parent_id").eqNullSafe(F.col("_p"))).select("genre_id", "track_id").distinct()
+    taught = insert_or_ignore(exemplars.select("genre_id", "track_id"), examples, ["genre_id", "track_id"])
+    touched = taught.join(examples.select("genre_id").distinct(), "genre_id", "left_semi").join(vectors, "track_id")
+    return genres.select("genre_id", "name", "parent_id", "level").unionByName(fresh), taught, replace_group(centroids, mean_vectors(touched, "genre_id"), ["genre_id"])
+
+
 def persisted(suggestions: DataFrame, assignments: DataFrame) -> DataFrame:
     """Assignments (track_id, genre_id, confidence, status) after suggestions (track_id, genre_id, confidence, rank, from 0): the first of each
     track stands as `suggested`, unless it has a confirmed one."""

@@ -85,27 +85,50 @@ UMBRELLAS = ["electronic", "electronica", "edm", "dance", "club", "pop", "instru
 
 
 def own_genres(own: DataFrame, analysis: DataFrame) -> DataFrame:
-    """track_id, genre, major: the first genre of each track (track_id, genres) that is specific and of a plausible tempo."""
+    """track_id, genre, major, confidence: of each track's genres (track_id, genres) the first one of a plausible tempo that is more specific
+    than its family, at 0.85; else the family of the first plausible one, with a null genre, at 0.6.
+
+    Umbrella names count only where a track has no others. Where at least 60 % of all names are of electronic families, others are taken
+    for namesakes and dropped. Null or empty lists give no row.
+    """
     listed = F.transform("genres", lambda g: F.lower(g))
     specific = F.filter(listed, lambda g: ~g.isin(*UMBRELLAS))
-    rows = own.select("track_id", F.posexplode(F.when(F.size(specific) > 0, specific).otherwise(listed)).alias("i", "genre")).join(analysis.select("track_id", "bpm"), "track_id", "left")
-    rows = rows.filter(music.tempo_plausible(F.col("genre"), F.col("bpm")))
-    best = rows.groupBy("track_id").agg(F.min_by("genre", "i").alias("genre"))
-    return best.select("track_id", "genre", music.major_of(F.col("genre")).alias("major"))
+    said = own.select("track_id", F.posexplode(F.when(F.size(specific) > 0, specific).otherwise(listed)).alias("i", "name")).filter("name is not null")
+    said = said.withColumn("major", music.major_of(F.col("name"))).withColumn("style", music.clean_genre(F.col("name")))
+    electronic = F.col("major").isin(*music.ELECTRONIC)
+    share = said.agg((F.avg(electronic.cast("double")) >= 0.6).alias("_gate"))  # one row
+    rows = said.crossJoin(F.broadcast(share)).filter(~F.col("_gate") | electronic).join(analysis.select("track_id", "bpm"), "track_id", "left")
+    rows = rows.filter(music.tempo_plausible(F.col("name"), F.col("bpm"), music.GROUPING_TEMPO)).withColumn("broad", F.col("style") == F.col("major"))
+    best = rows.groupBy("track_id").agg(F.min_by(F.struct("style", "major", "broad"), F.struct("broad", "i")).alias("b"))
+    return best.select("track_id", F.when(~F.col("b.broad"), F.col("b.style")).alias("genre"), "b.major", F.when(F.col("b.broad"), 0.6).otherwise(0.85).alias("confidence"))
+
+
+def labelled(own: DataFrame, labels: DataFrame, genres: DataFrame) -> DataFrame:
+    """own_genres() with the tracks that were given as examples (labels: genre_id, track_id) under the genre they stand for, at 1.0.
+
+    genres: genre_id, name, parent_id. The family is the parent's name, else that of the name; of several genres the greatest id counts.
+    """
+    parents = genres.select(F.col("genre_id").alias("parent_id"), F.col("name").alias("_parent"))
+    named = genres.select("genre_id", "name", "parent_id").join(parents, "parent_id", "left")
+    rows = labels.join(named, "genre_id").groupBy("track_id").agg(F.max_by(F.struct("name", "_parent"), "genre_id").alias("g"))
+    given = rows.select("track_id", F.col("g.name").alias("genre"), F.coalesce("g._parent", music.major_of(F.col("g.name"))).alias("major"), F.lit(1.0).alias("confidence"))
+    return own.join(given.select("track_id"), "track_id", "left_anti").unionByName(given)
 
 
 def organised(own: DataFrame, vectors: DataFrame, analysis: DataFrame, least: float = 0.5, tempo: float = 14.0) -> DataFrame:
     """track_id, genre, major, confidence, via: every track of vectors and own, by its own genre or that of an anchor.
 
+    own: track_id, genre (null: the family only), major, and confidence (1.0 where there is no such column).
     Anchors are tracks whose own genre is more specific than its major. Of all anchors that are at least so similar and close in tempo
     (unknown passes), a track without such a genre takes the most similar, those of its own major before others. Where none
     qualifies it is unsorted: genre is null, and the major its own or else that of the nearest anchor. vectors: track_id, vector.
     """
     from crate.operators.knn import top_k
 
-    broad = F.lower("genre").isin(*UMBRELLAS) | (F.lower("genre") == F.lower("major"))
-    kept = own.select("track_id", F.when(~broad, F.col("genre")).alias("genre"), "major", broad.alias("broad"))
-    v = vectors.join(analysis.select("track_id", "bpm"), "track_id", "left").join(kept, "track_id", "left")
+    broad = F.col("genre").isNull() | F.lower("genre").isin(*UMBRELLAS) | (F.lower("genre") == F.lower("major"))
+    sure = F.col("confidence") if "confidence" in own.columns else F.lit(1.0)
+    kept = own.select("track_id", F.when(~broad, F.col("genre")).alias("genre"), "major", broad.alias("broad"), sure.alias("sure"))
+    v = vectors.join(analysis.select("track_id", "bpm"), "track_id", "left").join(kept.drop("sure"), "track_id", "left")
     todo = saved(v.filter("genre is null").select(F.col("track_id").alias("query_id"), "vector", "bpm", "major"), "unplaced")
     anchors = saved(v.filter("genre is not null").select(F.col("track_id").alias("item_id"), "vector", "bpm", "major", "genre"), "anchors")
     found = saved(top_k(todo, anchors, 1, floor=least, apart=("bpm", tempo), prefer="major"), "filled")
@@ -115,10 +138,10 @@ def organised(own: DataFrame, vectors: DataFrame, analysis: DataFrame, least: fl
     none = F.lit(None).cast("string")
     rest = nearest.join(of, "item_id").join(todo.select("query_id", "major"), "query_id")
     unsorted = rest.select(F.col("query_id").alias("track_id"), none.alias("genre"), F.coalesce("major", "anchor_major").alias("major"), F.col("score").alias("confidence"), F.lit("unsorted").alias("via"))
-    have = kept.filter("not broad").select("track_id", "genre", "major", F.lit(1.0).alias("confidence"), F.lit("own").alias("via"))
+    have = kept.filter("not broad").select("track_id", "genre", "major", F.col("sure").alias("confidence"), F.lit("own").alias("via"))
     # A broad genre that no anchor was compared with (no vector, or no anchors at all) still gives the major.
     alone = kept.filter("broad").join(similar.select("track_id"), "track_id", "left_anti").join(unsorted.select("track_id"), "track_id", "left_anti")
-    alone = alone.select("track_id", none.alias("genre"), "major", F.lit(1.0).alias("confidence"), F.lit("unsorted").alias("via"))
+    alone = alone.select("track_id", none.alias("genre"), "major", F.col("sure").alias("confidence"), F.lit("unsorted").alias("via"))
     return have.unionByName(similar).unionByName(unsorted).unionByName(alone)
 
 
@@ -144,3 +167,14 @@ def artist_region(begin_area: Column, area: Column) -> Column:
     """The region of an artist: where they began, else where they are; empty names don't count."""
     named = lambda c: F.when(F.length(F.trim(c)) > 0, c)
     return F.coalesce(named(begin_area), named(area))
+
+
+def with_artists(recordings: DataFrame, artists: DataFrame) -> DataFrame:
+    """Recordings (track_id, artist_id, genres, area) with their artist's genres where they have none, and area where theirs is null.
+
+    artists: artist_id, genres, area. Genres keep their order, each once; a recording without any has an empty list.
+    """
+    of = artists.select("artist_id", F.col("genres").alias("_genres"), F.col("area").alias("_area"))
+    own = F.when(F.size("genres") > 0, F.col("genres"))
+    found = F.array_distinct(F.coalesce(own, "_genres", F.array().cast("array<string>")))
+    return recordings.join(of, "artist_id", "left").select("track_id", "artist_id", found.alias("genres"), F.coalesce("area", "_area").alias("area"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crate.functions import music
-from crate.functions.vectors import band_breakdown, cosine_or_null, doubles
+from crate.functions.vectors import band_breakdown, cosine, cosine_or_null, doubles
+from crate.operators.classify import mean_vectors
+from crate.operators.knn import pairs_with_small
+from crate.storage import saved
 
 #: Names of the classes that are instruments, and that are singing or voices by gender.
 INSTRUMENTS = (
@@ -129,3 +132,33 @@ def matched_label(queries: DataFrame, names: list[str]) -> DataFrame:
     rows = queries.withColumn("_b", best)
     ok = F.col("_b.n") > 0
     return rows.select(*queries.columns, F.when(ok, F.col("_b.label")).alias("label"), F.when(ok, F.col("_b.idx")).alias("class_idx"))
+
+
+def search(queries: DataFrame, tags: DataFrame, names: list[str], prompts: DataFrame, vectors: DataFrame, n: int = 50, threshold: float | None = None) -> DataFrame:
+    """query_id, method, label, track_id, score, rank: the best n tracks of each query (query_id, text), or all from a threshold on.
+
+    A query that names a class ranks tracks (track_id, probs) by its probability, method `tags`; any other ranks vectors (track_id, vector) by the
+    cosine to the mean of its prompts (query_id, vector), as a z-score over all tracks, method `text`. A query with neither gives no rows. Ties go to
+    the smaller track_id.
+    """
+    m = saved(matched_label(queries, names).select("query_id", "label", "class_idx"), "queries")
+    by_class = pairs_with_small(tags.select("track_id", "probs"), m.filter("class_idx is not null"), F.round(F.coalesce(F.get("probs", F.col("class_idx")).cast("double"), F.lit(0.0)), 6))
+    asked = mean_vectors(prompts.join(m.filter("class_idx is null").select("query_id"), "query_id", "left_semi"), "query_id").select("query_id", F.col("vector").alias("_q"))
+    rows = vectors.filter("vector is not null").select("track_id", doubles(F.col("vector")).alias("_v"))
+    near = saved(pairs_with_small(rows, saved(asked, "asked"), cosine(F.col("_q"), F.col("_v"))).select("query_id", "track_id", "score"), "cosines")
+    stat = near.groupBy("query_id").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("d"))  # a row a query
+    z = F.round((F.col("score") - F.col("m")) / F.when(F.col("d") == 0, 1.0).otherwise(F.col("d")), 6)
+    by_text = near.join(stat, "query_id").select("query_id", F.lit("text").alias("method"), F.lit(None).cast("string").alias("label"), "track_id", z.alias("score"))
+    out = by_class.select("query_id", F.lit("tags").alias("method"), "label", "track_id", "score").unionByName(by_text)
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "track_id"))
+    if threshold is not None:
+        return out.filter(F.col("score") >= threshold).withColumn("rank", order)
+    return out.withColumn("rank", order).filter(F.col("rank") <= n)
+
+
+def view_of(tags: DataFrame, analysis: DataFrame, names: list[str], stored: DataFrame) -> DataFrame:
+    """records() with top_tags, and from stored (track_id, language, language_conf, deep_done) what a deeper pass has found; a row a track of tags."""
+    labels = F.array(*[F.lit(x) for x in names])
+    top = tags.filter("probs is not null").select("track_id", music.top_tags(doubles(F.col("probs")), labels).alias("top_tags"))
+    out = records(tags.filter("probs is not null"), analysis, names).join(top, "track_id").join(stored.select("track_id", "language", "language_conf", "deep_done"), "track_id", "left")
+    return out.withColumn("deep_done", F.coalesce("deep_done", F.lit(False))).withColumn("language_conf", F.when(F.length("language") > 0, F.col("language_conf"))).withColumn("language", F.when(F.length("language") > 0, F.col("language")))

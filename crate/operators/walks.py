@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crate.functions import music, requests
 from crate.operators.knn import top_k
+from crate.sources.taxonomy_files import numbered
 from crate.storage import discard, saved
 
 
@@ -32,15 +33,32 @@ def radio(seeds: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
 
 
 def even_sample(df: DataFrame, order: str, n: int, group: str) -> DataFrame:
-    """n rows of each group, evenly along an order (halves to even); all rows of a smaller group."""
-    w = Window.partitionBy(group)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(order, *[c for c in df.columns if c not in (order, group)][:1])) - 1).withColumn("_m", F.count("*").over(w))
+    """n rows of each group, evenly along an order (halves to even); all rows of a smaller group.
+
+    Rows are numbered by ranges of (group, order), so that a group of any size is dealt to many tasks.
+    """
+    rows = numbered(df, group, order, *[c for c in df.columns if c not in (order, group)][:1])
+    size = rows.groupBy(group).agg(F.min("n").alias("_from"), F.count("*").alias("_m"))
+    rows = rows.join(size, group).withColumn("_i", F.col("n") - F.col("_from")).drop("n", "_from")
     # Row i is taken if some k of 0 .. n-1 rounds to it.
     step = (F.col("_m") - 1) / F.lit(max(n - 1, 1))
     k = F.round(F.col("_i") / step)
     hit = F.array(k - 1, k, k + 1)
     chosen = F.exists(hit, lambda j: (j >= 0) & (j <= n - 1) & (F.bround(j * step) == F.col("_i")))
-    return rows.filter((F.col("_m") <= n) | chosen).drop("_i", "_m")
+    return rows.filter((F.col("_m") <= n) | chosen).select(*df.columns)
+
+
+def set_pool(candidates: DataFrame, wishes: DataFrame, most: int = 80) -> DataFrame:
+    """Candidates (request_id, track_id, genre, energy) of each wish (request_id, genres, want), at most `most`, evenly along energy (null: 0.5).
+
+    Only those of a wished genre, where at least max(2 want, 16) are; a wish without genres, or with too few, keeps all.
+    """
+    w = wishes.select("request_id", "genres", "want")
+    genre = F.lower("genre")
+    rows = candidates.join(w, "request_id").withColumn("_in", F.coalesce(F.exists("genres", lambda g: genre.contains(F.lower(g))), F.lit(False)))
+    enough = rows.groupBy("request_id").agg((F.count_if("_in") >= F.greatest(F.first("want") * 2, F.lit(16))).alias("_enough"))
+    kept = rows.join(enough, "request_id").filter("_in or not _enough").withColumn("_e", F.coalesce("energy", F.lit(0.5)))
+    return even_sample(kept.select("request_id", "_e", "track_id", "genre", "energy"), "_e", most, "request_id").select("request_id", "track_id", "genre", "energy")
 
 
 def build_sets(wishes: DataFrame, tracks: DataFrame, default_length: int = 12) -> DataFrame:

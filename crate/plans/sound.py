@@ -138,7 +138,10 @@ def propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("item_id", (-F.col("b.o")).alias("genre_id"), "b.confidence")
 
 
-@query()
+@query("""with recursive x as (select vec_id, embedding::DOUBLE[] as e from embeddings where embedding is not null), p as (select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as score from x a, x b where a.vec_id <> b.vec_id),
+w as (select vec_id as seed, 0 as position, vec_id as item_id, [vec_id] as played from x where vec_id % 100 = 0
+union all select seed, position + 1, arg_min(b, [-score, b::double]), list_append(any_value(played), arg_min(b, [-score, b::double])) from w join p on a = item_id where position < 5 and not list_contains(played, b) group by seed, position)
+select seed, position, item_id from w""")
 def radio_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir).filter("vector is not null")
     return walks.radio(t.filter("item_id % 100 = 0").select(F.col("item_id").alias("seed")), t, 6)
