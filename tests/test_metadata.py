@@ -204,3 +204,6 @@ def test_dumps_graphs_and_spaces(spark, tmp_path):
     tables.write_space(spark.createDataFrame([(3, "muq", [3.0])], v.schema), str(tmp_path / "space"))
     assert [r.track_id for r in tables.read_space(spark, str(tmp_path / "space"), "muq").collect()] == [3]
     assert [r.track_id for r in tables.read_space(spark, str(tmp_path / "space"), "clap").collect()] == [1]
+    nodes, edges = v.select("track_id"), v.select("track_id", "model")
+    taxonomy_files.write_graph(nodes, edges, str(tmp_path / "graph"))
+    assert [x.count() for x in taxonomy_files.read_graph(spark, str(tmp_path / "graph"))] == [2, 2]
