@@ -141,6 +141,18 @@ def by_example(wanted: DataFrame, genres: DataFrame, exemplars: DataFrame, centr
     return genres.select("genre_id", "name", "parent_id", "level").unionByName(fresh), taught, replace_group(centroids, mean_vectors(touched, "genre_id"), ["genre_id"])
 
 
+def by_segment(segments: DataFrame, windows: DataFrame, genres: DataFrame, exemplars: DataFrame, centroids: DataFrame, vectors: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """by_example() with a sound as the example: the track of each segment and the k tracks whose best window is most like it.
+
+    segments: track_id, name, parent_id, level, vector of the stretch that was marked; windows: window_id, track_id, vector.
+    """
+    asked = segments.select(F.xxhash64("track_id", "name", "parent_id").alias("query_id"), "*")
+    near = top_k(asked, windows, k, item_id="window_id", skip_same_id=False, group="track_id")
+    found = near.join(asked.select("query_id", "name", "parent_id", "level"), "query_id").select("name", "parent_id", "level", F.col("grp").alias("track_id"))
+    wanted = segments.select("name", "parent_id", "level", "track_id").unionByName(found).distinct()
+    return by_example(wanted, genres, exemplars, centroids, vectors)
+
+
 def persisted(suggestions: DataFrame, assignments: DataFrame) -> DataFrame:
     """Assignments (track_id, genre_id, confidence, status) after suggestions (track_id, genre_id, confidence, rank, from 0): the first of each
     track stands as `suggested`, unless it has a confirmed one."""

@@ -108,6 +108,11 @@ def manifest(spark: SparkSession, root: str, extensions: tuple[str, ...] = AUDIO
     return files.withColumn("fmt", fmt).filter(F.col("fmt").isin(*extensions)).select("path", F.sha1("content").alias("content_hash"), "fmt", "length")
 
 
+def write_dump(df: DataFrame, path: str) -> None:
+    """The columns in their order, tab-separated, without a header or quotes: what read_dump() reads."""
+    df.write.csv(path, sep="\t", nullValue="\\N", quote="", escapeQuotes=False)
+
+
 def read_dump(spark: SparkSession, path: str, columns: str) -> DataFrame:
     """Tab-separated dump without a header; \\N is null."""
     return spark.read.csv(path, sep="\t", schema=columns, nullValue="\\N", quote="")

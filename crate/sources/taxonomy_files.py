@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crate.storage import saved
@@ -30,6 +30,12 @@ def read_tiers(spark: SparkSession, index: str, main: str, detailed: str) -> tup
     return nodes, edges
 
 
+def write_tier(genres: DataFrame, path: str, key: Column, width: int = 100) -> None:
+    """Genres (name, description, parents, children) as JSON files of at most `width` each, dealt by the long column key (0, 1, 2, ..)."""
+    rows = genres.groupBy(F.floor(key / width).alias("_file")).agg(F.collect_list(F.struct("name", "description", "parents", "children")).alias("genres"))
+    rows.select("genres").write.option("maxRecordsPerFile", 1).json(path)
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with n, from 1 in the order of the columns: sorted by ranges, each range's numbers go on from the sizes of those before it."""
     rows = saved(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")

@@ -52,6 +52,13 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder for files of other formats; release() deletes what stands there."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A saved table for one side of a join: broadcast if it has few rows, else merged by a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df.hint("merge")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from crate.functions.vectors import l2_normalize
+
 
 def ingest(stream: DataFrame, key: str = "content_hash", time: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Rows of which no earlier row within the watermark has the key."""
@@ -65,3 +68,29 @@ def centroid_sums(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     new = batch.select("genre_id", F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x")).groupBy("genre_id", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     both = new if old is None else old.unionByName(new)
     return both.groupBy("genre_id", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+SUMS = "genre_id long, i int, s double, n long, batch long"
+
+
+def keep_centroids(stream: DataFrame, store: str) -> DataStreamWriter:
+    """A writer that keeps the running sums of a stream of confirmations (genre_id, vector) below store, a folder a batch.
+
+    Batch k is made of the folder of batch k - 1 and replaces its own, so a batch that runs again after a failure comes to the same.
+    The caller sets trigger and checkpoint and starts it.
+    """
+
+    def step(batch: DataFrame, k: int) -> None:
+        old = batch.sparkSession.read.schema(SUMS).parquet(store).filter(F.col("batch") == k - 1).drop("batch") if k else None
+        centroid_sums(old, batch).write.mode("overwrite").parquet(f"{store}/batch={k}")
+
+    return stream.writeStream.foreachBatch(step)
+
+
+def kept_centroids(spark: SparkSession, store: str) -> DataFrame:
+    """genre_id, vector: unit centroids of the last batch below store."""
+    sums = spark.read.schema(SUMS).parquet(store)
+    last = sums.agg(F.max("batch").alias("batch"))  # one row
+    means = sums.join(F.broadcast(last), "batch").select("genre_id", F.struct("i", (F.col("s") / F.col("n")).alias("m")).alias("c"))
+    gathered = means.groupBy("genre_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return gathered.select("genre_id", l2_normalize(F.transform("c", lambda c: c["m"])).alias("vector"))

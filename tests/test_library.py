@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from crate.functions import music, names, requests
 from crate.operators import mixes, organise, signal, taxonomy, walks
-from crate.sources import tables
+from crate.sources import tables, taxonomy_files
 
 
 def one(spark, column, **values):
@@ -158,3 +158,20 @@ def test_pulse_tempo(spark):
     env = spark.createDataFrame([(1, i, (1.0 if i % 20 == 0 else 0.0) - 0.05) for i in range(400)], "track_id long, frame_idx long, env double")
     got = signal.tempo(env, frames_per_sec=40.0).first()
     assert got.bpm == 120.0 and got.strength > 0.8 and got.regularity > 0.8
+
+
+def test_a_dump_is_read_as_it_was_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a \"b\" c"), (2, None), (3, "x\\y")], "id long, name string")
+    tables.write_dump(rows, str(tmp_path / "d"))
+    assert sorted(map(tuple, tables.read_dump(spark, str(tmp_path / "d"), "id long, name string").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_tiers_are_read_as_they_were_written(spark, tmp_path):
+    kind = "k long, name string, description string, parents array<string>, children array<string>"
+    tier = spark.createDataFrame([(k, f"g{k}", None if k % 2 else "d", [f"g{k // 2}"], []) for k in range(1, 250)], kind)
+    empty = tier.limit(0)
+    for name, df in (("a", empty), ("b", tier), ("c", empty)):
+        taxonomy_files.write_tier(df, str(tmp_path / name), F.col("k"))
+    nodes, edges = taxonomy_files.read_tiers(spark, *[str(tmp_path / n) for n in "abc"])
+    assert {(r.name, r.description) for r in nodes.collect()} == {(f"g{k}", None if k % 2 else "d") for k in range(1, 250)}
+    assert edges.count() == 249

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from crate.operators import classify
 from crate.streaming import streams
 
 
@@ -17,3 +18,20 @@ def test_running_sums_equal_the_batch(spark):
     b = spark.createDataFrame([(1, [3.0, 0.0])], "genre_id long, vector array<double>")
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(streams.centroid_sums(streams.centroid_sums(None, a), b)) == key(streams.centroid_sums(None, a.union(b)))
+
+
+def test_centroids_of_a_stream_survive_a_batch_that_runs_again(spark, tmp_path):
+    base, store, state = str(tmp_path / "in"), str(tmp_path / "sums"), str(tmp_path / "state")
+    kind = "genre_id long, vector array<double>"
+    batches = [[(1, [1.0, 2.0]), (2, [0.0, 1.0])], [(1, [3.0, 0.0])], [(3, None), (2, [0.0, 5.0])]]
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(base)
+        stream = spark.readStream.schema(kind).parquet(base)
+        streams.keep_centroids(stream, store).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    expected = classify.mean_vectors(spark.createDataFrame(sum(batches, []), kind), "genre_id")
+    key = lambda df: sorted((r.genre_id, [round(x, 9) for x in r.vector]) for r in df.collect())
+    assert key(streams.kept_centroids(spark, store)) == key(expected)
+    old = spark.read.schema(streams.SUMS).parquet(store).filter("batch = 1").drop("batch")
+    again = spark.createDataFrame(batches[2], kind)
+    streams.centroid_sums(old, again).write.mode("overwrite").parquet(f"{store}/batch=2")
+    assert key(streams.kept_centroids(spark, store)) == key(expected)

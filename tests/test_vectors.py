@@ -131,3 +131,12 @@ def test_confirming(spark):
     done, taught, means = classify.confirm(spark.createDataFrame([(1, 7), (2, 7)], "track_id long, genre_id long"), a, e, c, v)
     assert sorted((r.track_id, r.confidence, r.status) for r in done.collect()) == [(1, 1.0, "confirmed"), (2, 1.0, "confirmed")]
     assert taught.count() == 2 and {r.genre_id: [round(x, 3) for x in r.vector] for r in means.collect()} == {7: [0.707, 0.707], 9: [0.0, 1.0]}
+
+
+def test_a_genre_by_segment_takes_the_tracks_with_the_most_similar_windows(spark):
+    windows = spark.createDataFrame([(i, i // 2, [1.0, i / 10.0] if i % 2 else [0.0, 1.0]) for i in range(10)], "window_id long, track_id long, vector array<double>")
+    segments = spark.createDataFrame([(4, "new", None, "subgenre", [1.0, 0.0])], "track_id long, name string, parent_id long, level string, vector array<double>")
+    none = spark.createDataFrame([], "genre_id long, name string, parent_id long, level string, track_id long, vector array<double>")
+    genres, taught, centroids = classify.by_segment(segments, windows, none.select("genre_id", "name", "parent_id", "level"), none.select("genre_id", "track_id"), none.select("genre_id", "vector"), windows.select("track_id", "vector"), k=2)
+    assert [(r.genre_id, r.name) for r in genres.collect()] == [(1, "new")]
+    assert sorted(r.track_id for r in taught.collect()) == [0, 1, 4] and centroids.count() == 1
