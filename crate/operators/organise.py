@@ -68,6 +68,23 @@ def running_names(groups: DataFrame) -> DataFrame:
     return groups.select("cluster", F.concat_ws(" ", "major", k.cast("string")).alias("name"))
 
 
+def by_sound(vectors: DataFrame, tags: DataFrame, groups: int = 14) -> DataFrame:
+    """track_id, major, genre of a library in which no track has a genre of its own: groups by sound, named by the votes of their tracks' tags.
+
+    vectors: track_id, vector; tags: track_id, genre, some a track. Groups without any vote are Electronic; those without a genre inside
+    their major have the major and a number.
+    """
+    from crate.operators.groups import kmeans, reduced
+
+    space = reduced(vectors.withColumnRenamed("track_id", "item_id"))
+    found = saved(kmeans(space, groups).withColumnRenamed("item_id", "track_id"), "sound")
+    votes = found.join(tags, "track_id").select("cluster", music.major_of(F.col("genre")).alias("major"), music.clean_genre(F.col("genre")).alias("genre"))
+    firsts = found.groupBy("cluster").agg(F.min("track_id").alias("first_track"))
+    named = saved(firsts.join(vote_names(votes), "cluster", "left").withColumn("major", F.coalesce("major", F.lit("Electronic"))), "names")  # a row a group
+    numbered = running_names(named.filter("genre is null").select("cluster", "major", "first_track"))
+    return found.join(F.broadcast(named.select("cluster", "major", "genre")), "cluster").join(F.broadcast(numbered), "cluster", "left").select("track_id", "major", F.coalesce("genre", "name").alias("genre"))
+
+
 def state(log: DataFrame) -> DataFrame:
     """The latest event of each action id: the log is append-only, a status change is a new row."""
     n = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("event")))

@@ -74,10 +74,10 @@ def keepers(genres: DataFrame, weight: DataFrame) -> DataFrame:
     return ranked.filter("keep <> genre_id").select(F.col("genre_id").alias("drop"), "keep")
 
 
-def merge_duplicates(genres: DataFrame, weight: DataFrame, max_rounds: int = 16) -> DataFrame:
+def merge_duplicates(genres: DataFrame, weight: DataFrame) -> DataFrame:
     """drop, keep for all genres that merge: merged parents make their children namesakes, so it goes on until nothing is left."""
     mapping, tree = None, genres
-    for _ in range(max_rounds):
+    while True:  # each round takes a genre away
         found = saved(keepers(tree, weight), "merge")
         if found.isEmpty():
             break

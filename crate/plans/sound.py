@@ -109,9 +109,29 @@ def project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.pca(tracks(spark, sf_dir), 2).select("item_id", F.round(F.col("vector")[0], 6).alias("x"), F.round(F.col("vector")[1], 6).alias("y"))
 
 
-@query()
+@query("""with recursive u as (select vec_id, list_transform(embedding::DOUBLE[], lambda y: y / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda z: z * z)))) as v from embeddings where embedding is not null),
+d as (select a.vec_id as q, b.vec_id as i, round(list_sum(list_transform(range(1, 65), lambda j: a.v[j] * b.v[j])), 6) as score from u a, u b where a.vec_id <> b.vec_id),
+r as materialized (select * from (select *, row_number() over (partition by q order by score desc, i) as rank from d) where rank <= 10), core as (select q, 1 - score as core from r where rank = 5), eps as (select quantile_disc(core, 0.75) as eps from core),
+e as materialized (select r.q as a, r.i as b from r join core x on x.q = r.q join core y on y.q = r.i, eps where greatest(1 - score, x.core, y.core) <= eps), s as materialized (select a, b from e union select b, a from e),
+c as (select distinct a as item, a as other from s union select c.item, s.b from c join s on s.a = c.other), l as (select item, min(other) as label from c group by 1), n as (select label from l group by 1 having count(*) >= 5)
+select u.vec_id as item_id, coalesce(n.label, -1) as cluster from u left join l on l.item = u.vec_id left join n using (label)""")
 def density_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.density_groups(tracks(spark, sf_dir).filter("vector is not null"), min_size=5)
+    """The group of each track, named by its least track; -1 is noise."""
+    found = groups.density_groups(tracks(spark, sf_dir).filter("vector is not null"), min_size=5)
+    return found.select("item_id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
+
+
+@query()
+def clustered_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the collection with the genre whose centroid is nearest to most of their tracks."""
+    from crate.operators import classify
+
+    t = tracks(spark, sf_dir).filter("vector is not null")
+    found = saved(groups.clustered(t, min_size=5), "clusters").filter("cluster is not null")
+    scores = classify.centroid_scores(t, classify.mean_vectors(t.filter("genre_id is not null"), "genre_id"))
+    nearest = scores.groupBy("item_id").agg(F.max(F.struct("score", (-F.col("genre_id")).alias("o"))).alias("b")).select("item_id", (-F.col("b.o")).alias("genre_id"))
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("n"), F.min("item_id").alias("first_track"))
+    return sizes.join(classify.vote(found.join(nearest, "item_id"), "cluster", "genre_id"), "cluster").select("first_track", "n", "genre_id", "votes")
 
 
 @query()
@@ -227,7 +247,8 @@ def taxonomy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.unfold(nodes, links).withColumn("path", F.array_join("path", " > "))
 
 
-@query()
+@query("""with g as (select c_custkey as genre_id, nullif(c_custkey % 7, 0) as parent_id, c_custkey % 40 as name, c_custkey < 8 as top, c_nationkey as uses from customer),
+r as (select genre_id, first_value(genre_id) over (partition by parent_id, name order by top desc, uses desc, genre_id) as keep from g) select genre_id as "drop", keep from r where keep <> genre_id""")
 def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "select cast(c_custkey as bigint) as genre_id, concat(' Name ', cast(c_custkey % 40 as string)) as name, cast(nullif(c_custkey % 7, 0) as bigint) as parent_id, case when c_custkey < 8 then 'genre' else 'subgenre' end as level, c_nationkey as uses from {customer}"
     g = view(spark, sf_dir, text)

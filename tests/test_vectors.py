@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crate.functions import vectors as fv
-from crate.operators import classify, groups, knn
+from crate.operators import classify, groups, knn, organise
 
 
 def frame(spark, rows, schema="item_id long, vector array<double>"):
@@ -140,3 +140,28 @@ def test_a_genre_by_segment_takes_the_tracks_with_the_most_similar_windows(spark
     genres, taught, centroids = classify.by_segment(segments, windows, none.select("genre_id", "name", "parent_id", "level"), none.select("genre_id", "track_id"), none.select("genre_id", "vector"), windows.select("track_id", "vector"), k=2)
     assert [(r.genre_id, r.name) for r in genres.collect()] == [(1, "new")]
     assert sorted(r.track_id for r in taught.collect()) == [0, 1, 4] and centroids.count() == 1
+
+
+def test_clusters_by_method_and_with_too_few_items(spark):
+    t = blobs(spark)
+    want = {frozenset(range(10)), frozenset(range(10, 20))}
+
+    def sets(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r.cluster, set()).add(r.item_id)
+        return {frozenset(v) for v in out.values()}
+
+    assert sets(groups.clustered(t, min_size=3, k=2)) == want
+    assert sets(groups.clustered(t, min_size=5, method="kmeans", most=3)) == want
+    assert sets(groups.clustered(t.filter("item_id < 3"), min_size=3, method="kmeans")) == {frozenset(range(3))}
+    assert groups.clustered(t.limit(0), method="kmeans").count() == 0
+
+
+def test_groups_by_sound_are_named_by_their_tracks_tags(spark):
+    t = blobs(spark).withColumnRenamed("item_id", "track_id")
+    tags = spark.createDataFrame([(0, "deep house"), (1, "deep house"), (2, "house"), (3, "minimal techno")], "track_id long, genre string")
+    got = organise.by_sound(t, tags, 2).collect()
+    assert len(got) == 20
+    assert {(r.major, r.genre) for r in got if r.track_id < 10} == {("House", "Deep House")}
+    assert {(r.major, r.genre) for r in got if r.track_id >= 10} == {("Electronic", "Electronic 1")}
