@@ -95,6 +95,9 @@ def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "do
     Only the keys of what goes are joined back, so that texts stay where they are while these are few. Rows repeated with id and text
     are one; null, empty and clashing cases are those of exact_dedup().
     """
+    names = docs.columns
+    text_col, id_col = f"c{names.index(text_col)}", f"c{names.index(id_col)}"
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # own helpers can't meet a column of the same name
     keys = exact_dedup(docs, text_col, id_col).groupBy("doc_id", "h_text").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
     keys = saved(keys.filter("not stays or n > 1").toDF("_id", "_h", "_stays", "_n"), "dropped")
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
@@ -102,6 +105,6 @@ def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "do
     single = keyed.join(bounded(keys.select("_id", "_h")), on, "left_anti").select(*docs.columns)
     repeated = saved(keys.filter("_stays").select("_id", "_h"), "repeated")
     if repeated.isEmpty():
-        return single
+        return single.toDF(*names)
     first = F.row_number().over(Window.partitionBy(id_col, "_key").orderBy(*[F.col(c) for c in docs.columns if c != text_col]))
-    return single.unionByName(keyed.join(bounded(repeated), on, "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns))
+    return single.unionByName(keyed.join(bounded(repeated), on, "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)).toDF(*names)

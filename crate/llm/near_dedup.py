@@ -432,6 +432,9 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
     Only the keys of what goes are joined back, so that texts stay where they are while these are few.
     """
+    names = docs.columns
+    text_col, id_col = f"c{names.index(text_col)}", f"c{names.index(id_col)}"
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # own helpers can't meet a column of the same name
     keys = near_groups(docs, text_col, id_col, threshold).groupBy("doc_id", "h1", "h2").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("copies"))
     keys = saved(keys.filter("not stays or copies > 1").toDF("_id", "_h1", "_h2", "_stays", "_copies"), "dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -440,6 +443,6 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     gone, repeated = keys.select("_id", "_h1", "_h2"), saved(keys.filter("_stays").select("_id", "_h1", "_h2"), "repeated")
     single = keyed.join(bounded(gone), on, "left_anti").select(*docs.columns)
     if repeated.isEmpty():
-        return single
+        return single.toDF(*names)
     nth = F.row_number().over(Window.partitionBy(id_col, "_k1", "_k2").orderBy(*[F.col(c) for c in docs.columns if c != text_col]))
-    return single.unionByName(keyed.join(bounded(repeated), on, "left_semi").withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns))
+    return single.unionByName(keyed.join(bounded(repeated), on, "left_semi").withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)).toDF(*names)

@@ -102,7 +102,27 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(documents(spark, sf_dir))
-    return found.select("doc_id", "n_chars", "n_removed", "n_spans", "spans", F.sha2("text", 256).alias("kept_sha256"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), " ")
+    return found.select("doc_id", "n_chars", "n_removed", "n_spans", spans.alias("spans"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL["op10_substring_dedup"] = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as l from documents
+), lines as (
+  select doc_id, text, unnest(l) as line, unnest(range(len(l))) as k from t
+), placed as (
+  select *, sum(length(line) + 1) over (partition by doc_id order by k) - length(line) - 1 as start,
+         trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) as norm
+  from lines
+), marked as (
+  select *, norm <> '' and row_number() over (partition by norm order by doc_id, k) > 1 as gone from placed
+)
+select doc_id, length(any_value(text)) as n_chars, coalesce(sum(length(line)) filter (gone), 0)::bigint as n_removed, count(*) filter (gone) as n_spans,
+       coalesce(string_agg(start::bigint || '-' || (start + length(line))::bigint, ' ' order by k) filter (gone), '') as spans,
+       sha256(string_agg(case when gone then '' else line end, chr(10) order by k)) as kept_sha256
+from marked group by doc_id
+"""
 
 
 @query
@@ -196,7 +216,8 @@ def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Every pair of documents that share a shingle is counted, so each link is seen; components by the least id that is reachable.
 SQL["op13_ngram_join"] = r"""
 with recursive words as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents
 ), sets as materialized (
   select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [hash(w)]
                       else list_distinct(list_transform(range(1, len(w) - 2), lambda i: hash(w[i:i + 3]))) end as s

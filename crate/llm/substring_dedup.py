@@ -1,4 +1,4 @@
-"""Substring deduplication by hashing lines and the sentences in them."""
+"""Substring deduplication by hashing lines or paragraphs."""
 
 from __future__ import annotations
 
@@ -6,15 +6,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crate.llm.workers import releasing
-from crate.storage import saved
+from crate.storage import bounded, saved
 
-#: A stretch of repeated units goes if it has so many words: shorter ones are repeated by chance.
-MIN_WORDS = 20
 _BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
 #: White space after an end of a sentence; the ends of scripts that set none need none, and take closing quotes and brackets along.
 _ENDS = re.compile(r"(?<=[.!?।॥۔؟።၊။])\s+|(?<=[。！？｡])(?![。！？｡」』”’）】])\s*|(?<=[。！？｡][」』”’）】])\s*")
@@ -40,21 +39,22 @@ def _size(words: list[str]) -> int:
     return n
 
 
-def units(text: str, unit: str = "line", sentences: bool = True) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit in reading order: lines (or paragraphs), after each the sentences in it.
+def units(text: str, unit: str = "line", sentences: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest) of each unit in reading order: lines (or paragraphs), and with `sentences` after each the sentences in it.
 
-    A digest is of the lower-case words joined by single spaces, alike for lines and sentences. A line of one sentence is a
+    A digest is of the lower-case words between ASCII white space, alike for lines and sentences. A line of one sentence is a
     unit once. Where a line goes, its sentences are earlier in the place that has the line, so no last copy is lost.
     """
 
-    def digest(words: list[str]) -> bytes:
-        return hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
+    def digest(words: list[bytes]) -> bytes:
+        return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
+    words_of = lambda a, b: text[a:b].lower().encode("utf-8", "replace").split()
     for a, b in _spans(_BREAK[unit], text, 0, len(text)):
-        if not (words := text[a:b].lower().split()):
+        if not (words := words_of(a, b)):
             continue
         yield a, b, digest(words)
-        inner = [(c, d, w) for c, d in _spans(_ENDS, text, a, b) if (w := text[c:d].lower().split())] if sentences else []
+        inner = [(c, d, w) for c, d in _spans(_ENDS, text, a, b) if (w := words_of(c, d))] if sentences else []
         if len(inner) > 1:
             yield from ((c, d, digest(w)) for c, d, w in inner)
 
@@ -78,37 +78,43 @@ def repeated_spans(text: str, found: Iterator[tuple[int, int, bytes]], gone: set
     return out
 
 
-def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", unit: str = "line", sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", unit: str = "line", sentences: bool = False, min_words: int = 0) -> DataFrame:
     """doc_id, text (what stays), spans (removed, array of start and end in the original), n_chars, n_removed, n_spans.
 
-    Of the units with equal normalised words the one in the smallest doc_id, then the earliest place, stays; the others are
-    repeated. Repeated units that follow each other go if they have min_words together; in scripts without spaces letters count.
-    Offsets count code points of the original text; the line break after a removed line stays where it was. A null or
-    empty text has no units. A null id ranks after all others. Rows that repeat an id count as one document: each
-    gets the result of its own text against smaller ids. Other columns are ignored; an empty input gives an empty result.
+    Of the units with equal normalised words the one in the first document, then the earliest place, stays; all others go. Documents
+    rank by doc_id, null last; rows that repeat an id, or have none, are documents of their own and rank by a hash of their text, rows
+    that are equal in all by their place in the table. Offsets count code points of the original text; the line break after a removed
+    line stays where it was. A null or empty text has no units. Other columns are ignored; an empty input gives an empty result.
+
+    Options that are off: `sentences` in lines are units too; of repeated units that follow each other only those go that have
+    `min_words` together (in scripts without spaces letters count).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), order[0].alias("key"), F.col(id_col).isNull().alias("last"), order[1].alias("h"))
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "documents")  # row names a row from here on
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, found = [], []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                if text:
-                    own = list({d: None for _, _, d in units(text, unit, sentences)})
-                    ids += [key] * len(own)
-                    found += own
-            yield pd.DataFrame({"key": pd.Series(ids, dtype="int64"), "high": [int.from_bytes(d[:8], "big", signed=True) for d in found], "low": [int.from_bytes(d[8:], "big", signed=True) for d in found]}).astype("int64")
-
-    key = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key")
-    seen = saved(rows.select(key, "text").mapInPandas(releasing(emit), "key long, high long, low long"), "units")
-    first = seen.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1").select("high", "low", "first")
-    later = seen.join(saved(first, "repeated"), ["high", "low"]).filter("key > first").select("key", "high", "low")
-    gone = later.groupBy("key").agg(F.collect_list(F.struct("high", "low")).alias("gone"))  # as many as the document has units
+            names, found = [], []
+            for row, text in zip(batch["row"], batch["text"], strict=True):
+                own = list({d: None for _, _, d in units(text, unit, sentences)})
+                names += [row] * len(own)
+                found += own
+            both = np.frombuffer(b"".join(found), ">i8").reshape(-1, 2).astype("int64")
+            yield pd.DataFrame({"row": np.array(names, "int64"), "high": both[:, 0], "low": both[:, 1]})
+
+    seen = saved(rows.filter("text <> ''").select("row", "text").mapInPandas(releasing(emit), "row long, high long, low long"), "units")
+    repeated = saved(seen.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").select("high", "low"), "repeated")
+    hits = seen.join(bounded(repeated), ["high", "low"]).join(rows.select("row", "last", "key", "h"), "row")
+    hits = saved(hits, "hits")
+    first = hits.groupBy("high", "low").agg(F.min(F.struct("last", "key", "h", "row")).alias("first")).select("high", "low", F.col("first.row").alias("first"))
+    later = hits.select("row", "high", "low").join(first, ["high", "low"]).filter("row <> first")
+    gone = later.groupBy("row").agg(F.collect_list(F.struct("high", "low")).alias("gone"))  # as many as the document has units
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, gone in zip(batch["doc_id"], batch["text"], batch["gone"], strict=True):
+            for text, gone in zip(batch["text"], batch["gone"], strict=True):
                 text = text or ""
                 drop = {x["high"].to_bytes(8, "big", signed=True) + x["low"].to_bytes(8, "big", signed=True) for x in gone} if gone is not None else set()
                 spans = repeated_spans(text, units(text, unit, sentences), drop, min_words)
@@ -117,10 +123,10 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                     kept.append(text[at:a])
                     at = b
                 kept.append(text[at:])
-                out.append((doc_id, "".join(kept), [{"start": a, "end": b} for a, b in spans], len(text), sum(b - a for a, b in spans), len(spans)))
-            frame = pd.DataFrame(out, columns=["doc_id", "text", "spans", "n_chars", "n_removed", "n_spans"])
-            frame["doc_id"] = batch["doc_id"].astype("Int64").values
+                out.append(("".join(kept), [{"start": a, "end": b} for a, b in spans], len(text), sum(b - a for a, b in spans), len(spans)))
+            frame = pd.DataFrame(out, columns=["text", "spans", "n_chars", "n_removed", "n_spans"])
+            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
             yield frame
 
-    both = rows.withColumn("key", key).join(gone, "key", "left").drop("key")
+    both = rows.select("row", F.col("doc_id").cast("string").alias("doc_id"), "text").join(gone, "row", "left").drop("row")
     return both.mapInPandas(releasing(cut), "doc_id long, text string, spans array<struct<start:int,end:int>>, n_chars long, n_removed long, n_spans long")

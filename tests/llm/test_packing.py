@@ -1,17 +1,14 @@
-import os
 import random
 
 import numpy as np
-import pytest
+import public_tokenizers
 from tokenizers import Tokenizer
 
 from crate.llm import packing
 
-PATH = "/opt/tokenizers/word_bpe_49k.json"
-needs_files = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
+PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-@needs_files
 def test_same_ids_as_the_library():
     rng = random.Random(2)
     texts = ["", "A'S don't I'LL x_y __ 1/2 ½ ² <|endoftext|> İΣΣ", "naïve ÀÉ ñ  \t", "ﬁ é", " x y"]
@@ -60,7 +57,6 @@ def test_bounds_never_exceed_the_optimum_and_packing_is_valid():
                 at += x
 
 
-@needs_files
 def test_operator(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choice(["sun", "moon", "xyzzy"]) for _ in range(rng.randint(0, 90)))) for i in range(400)]
