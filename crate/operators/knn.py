@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crate.functions.vectors import EPS, doubles
+from crate.storage import bounded, saved
 
 #: Rows of either side that one task holds; the number of tasks grows with both.
 BLOCK_ITEMS, BLOCK_QUERIES = 8_192, 2_048
+#: From so many items on they are kept in cells, and a query opens only those that may hold one of its k best. Same results.
+CELLS_FROM = 50_000
+#: Cells at most: the root of the number of items, up to this.
+CELLS = 1_024
+#: What rounding of scores and of angles may hide.
+SLACK = 4e-6
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -24,11 +35,110 @@ def _unit(raw: pd.Series) -> np.ndarray:
     return np.where(n < EPS, 0.0, x / np.maximum(n, EPS))
 
 
-def _blocks(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-df.count() // rows))
+def _blocks(df: DataFrame, key: str, rows: int, n: int) -> tuple[DataFrame, int]:
+    n = max(1, -(-n // rows))
     return df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
 
+@dataclass
+class Cells:
+    """Unit vectors that items are nearest to, with how many items each has and the widest angle to one of them.
+
+    Items of another length than these vectors, and those without length, are in a last cell that every query opens.
+    """
+
+    centres: np.ndarray
+    sizes: np.ndarray
+    radii: np.ndarray
+
+    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = unit @ self.centres.T
+        at = s.argmax(axis=1)
+        return at, np.arccos(np.clip(s[np.arange(len(at)), at], -1, 1))
+
+    def bounds(self, unit: np.ndarray) -> np.ndarray:
+        """The highest score that an item of each cell can have: by the triangle inequality on angles."""
+        apart = np.arccos(np.clip(unit @ self.centres.T, -1, 1)) - self.radii
+        return np.cos(np.maximum(apart - 1e-7, 0)) + SLACK
+
+    def blocks(self) -> list[list[int]]:
+        """Blocks of BLOCK_ITEMS for each cell: large cells have several, small ones share one."""
+        out, block, room = [], 0, BLOCK_ITEMS
+        for n in self.sizes.tolist():
+            if n > room:
+                block, room = block + 1, BLOCK_ITEMS
+            parts = max(1, -(-n // BLOCK_ITEMS))
+            out.append([block + k for k in range(parts)])
+            block, room = (block, room - n) if parts == 1 else (block + parts, BLOCK_ITEMS)
+        return out
+
+
+def _units(raw: pd.Series, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of vectors of that length that have one, and their unit vectors."""
+    at = np.flatnonzero(raw.map(len).to_numpy() == dims)
+    if not len(at):
+        return at, np.zeros((0, dims))
+    unit = _unit(raw.iloc[at])
+    some = (unit != 0).any(axis=1)
+    return at[some], unit[some]
+
+
+def celled(items: DataFrame, n: int) -> tuple[DataFrame, Cells]:
+    """items (v and others) with their cell, saved, and the cells. Centres are items drawn by hash: any centres give the same results."""
+    share = min(CELLS, int(np.ceil(np.sqrt(n)))) / max(n, 1)
+    drawn = items.filter(F.pmod(F.xxhash64(F.lit("centre"), "item_id"), F.lit(1 << 30)) < int(2 * share * (1 << 30)) + 1).select("v")
+    drawn = [r["v"] for r in drawn.limit(2 * CELLS).collect()]  # at most 2 * CELLS vectors
+    dims = Counter(map(len, drawn)).most_common(1)[0][0] if drawn else 0
+    centres = np.unique(_units(pd.Series([v for v in drawn if len(v) == dims], dtype=object), dims)[1], axis=0)[:CELLS] if dims else np.zeros((0, 0))
+    cells = Cells(centres, np.zeros(len(centres)), np.zeros(len(centres)))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell, angle = np.full(len(batch), len(cells.centres)), np.zeros(len(batch))
+            if len(batch) and len(cells.centres):
+                at, unit = _units(batch["v"], cells.centres.shape[1])
+                if len(at):
+                    cell[at], angle[at] = cells.nearest(unit)
+            yield batch.assign(cell=cell.astype("int32"), angle=angle)
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in items.dtypes) + ", cell int, angle double"
+    rows = saved(items.mapInPandas(place, schema), "cells")
+    sizes, radii = np.zeros(len(centres) + 1), np.zeros(len(centres))
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect():  # a row a cell
+        sizes[r["cell"]] = r["n"]
+        if r["cell"] < len(centres):
+            radii[r["cell"]] = r["angle"]
+    return rows.drop("angle"), Cells(centres, sizes, radii)
+
+
+def opened(queries: DataFrame, cells: Cells, k: int, kth: str | None) -> DataFrame:
+    """queries with `cells`, those to open: without kth the likeliest ones that have k items together, with kth (a column) the others that can beat it."""
+    wanted = k + 1  # the query itself may be one of them
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, dims = len(cells.centres), cells.centres.shape[1] if len(cells.centres) else -1
+        sizes = np.append(cells.sizes[:-1], 0)  # the last cell's items are nobody's nearest
+        for batch in batches:
+            bounds = np.full((len(batch), last + 1), np.inf)
+            at, unit = _units(batch["q"], dims) if len(batch) and last else ([], None)
+            if len(at):
+                bounds[at, :last] = cells.bounds(unit)
+            out = []
+            for i, b in enumerate(bounds):
+                order = np.argsort(-b, kind="stable")
+                first = int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1
+                if kth is None:
+                    out.append(order[:first])
+                else:
+                    at_least = batch[kth].iat[i]
+                    rest = order[first:]
+                    out.append(rest if pd.isna(at_least) else rest[b[rest] >= at_least])
+            yield batch.assign(cells=[x.astype("int32") for x in out])
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in queries.dtypes) + ", cells array<int>"
+    return queries.mapInPandas(choose, schema)
+
+
 def top_k(
     queries: DataFrame,
     items: DataFrame,
@@ -46,7 +156,8 @@ def top_k(
     """query_id, item_id, score, rank: the k items most like each query, by rounded cosine, ties to the smaller id.
 
     Both sides are dealt to blocks; a task scores one block against another with a matrix product and keeps its k best of each
-    query, a window keeps the k best of all. Null vectors take no part; vectors of another length than the query's
+    query, a window keeps the k best of all. From CELLS_FROM items on these are kept in cells around some of them: a query first opens
+    the likeliest cells that have k items, then all others that its k-th score doesn't rule out. Null vectors take no part; vectors of another length than the query's
     score 0, as those without length do. floor drops lower scores. With `group`, a column of items, only the best
     item of each group counts (the smaller id on ties). apart, a column of both sides and a limit: pairs whose values differ by
     more don't count, null passes. prefer, a column of both sides: items with the query's value come before all others.
@@ -55,19 +166,56 @@ def top_k(
     near, limit = apart or (None, 0.0)
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), doubles(F.col(query_vec)).alias("q"), extra(near, "double", "at"), extra(prefer, "string", "kind")).filter("q is not null")
     items = items.select(F.col(item_id).cast("long").alias("item_id"), doubles(F.col(item_vec)).alias("v"), (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("grp"), extra(near, "double", "at"), extra(prefer, "string", "kind")).filter("v is not null")
-    q, nq = _blocks(q, "query_id", BLOCK_QUERIES)
-    items, ni = _blocks(items, "item_id", BLOCK_ITEMS)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select("query_id", "q", "at", "kind", F.col("_block").alias("qb"), each(ni).alias("ib"))
-    right = items.select("item_id", "v", "grp", "at", "kind", F.col("_block").alias("ib"), each(nq).alias("qb"))
+    n = items.count()
+    q, nq = _blocks(q, "query_id", BLOCK_QUERIES, q.count())
+    ranked = lambda part: _ranked(part, k, group)
+    options = (k, skip_same_id, floor, near, limit, prefer, group)
+    if n < CELLS_FROM:
+        items, ni = _blocks(items, "item_id", BLOCK_ITEMS, n)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = q.select("query_id", "q", "at", "kind", F.col("_block").alias("qb"), each(ni).alias("ib"), F.lit(None).cast("array<int>").alias("cells"))
+        right = items.select("item_id", "v", "grp", "at", "kind", F.lit(0).alias("cell"), F.col("_block").alias("ib"), each(nq).alias("qb"))
+        out = ranked(_scored(left, right, options))
+    else:
+        rows, cells = celled(items, n)
+        places = F.array(*[F.array(*[F.lit(b) for b in own]) for own in cells.blocks()])
+        own = F.get(places, F.col("cell"))
+        rows = rows.withColumn("ib", F.get(own, F.pmod(F.xxhash64("item_id"), F.size(own)).cast("int")))
 
-    def score(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        def asked(chosen: DataFrame) -> DataFrame:
+            blocks = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.get(places, c))))
+            left = saved(chosen.select("query_id", "q", "at", "kind", F.col("_block").alias("qb"), "cells", F.explode(blocks).alias("ib")), "asked")
+            met = saved(left.select("qb", "ib").distinct(), "met")
+            return _scored(left, rows.join(bounded(met), "ib"), options)
+
+        first = saved(asked(opened(q, cells, k, None)), "first")
+        least = ranked(first).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        more = q.join(least, "query_id", "left")
+        if floor is not None:
+            more = more.withColumn("kth", F.greatest("kth", F.lit(float(floor))))
+        if prefer:
+            more = more.withColumn("kth", F.lit(None).cast("double"))  # an item of the query's kind comes before better ones
+        out = ranked(first.unionByName(asked(opened(more, cells, k, "kth"))))
+    return out.select("query_id", "item_id", "score", "rank", *(["grp"] if group else []))
+
+
+def _ranked(part: DataFrame, k: int, group: str | None) -> DataFrame:
+    best = [F.desc("same"), F.desc("score"), F.col("item_id")]
+    if group:
+        part = part.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "grp").orderBy(*best))).filter("n = 1").drop("n")
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("rank") <= k)
+
+
+def _scored(left: DataFrame, right: DataFrame, options: tuple) -> DataFrame:
+    """query_id, item_id, score, grp, same: the k best of each query in each block, of the cells that it opens (null: all)."""
+    k, skip_same_id, floor, near, limit, prefer, group = options
+
+    def best(qs: pd.DataFrame, vs: pd.DataFrame) -> list[tuple]:
+        """Of each query its k best among vs: query, ids, scores, groups, of its kind."""
         out = []
-        vs = vs.sort_values("item_id", kind="stable")
         sizes = vs["v"].map(len)
         for d, part in qs.groupby(qs["q"].map(len)):
-            held = vs[sizes == d]
-            other = vs[sizes != d]
+            held, other = vs[sizes == d], vs[sizes != d]
             ids, groups = np.concatenate([held["item_id"], other["item_id"]]), np.concatenate([held["grp"], other["grp"]])
             places, kinds = np.concatenate([held["at"], other["at"]]).astype(float), np.concatenate([held["kind"], other["kind"]])
             s = _unit(part["q"]) @ _unit(held["v"]).T if len(held) else np.zeros((len(part), 0))
@@ -82,23 +230,44 @@ def top_k(
                     ok &= ~(np.abs(places - place) > limit)
                 same = kinds == kind if prefer and kind is not None else np.zeros(len(ids), bool)
                 at = np.flatnonzero(ok)
+                if len(at) > k and not group:  # the k best and all that tie with the last of them
+                    value = s[i, at] + 4.0 * same[at]
+                    at = at[value >= np.partition(value, len(at) - k)[len(at) - k]]
                 at = at[np.lexsort((ids[at], -s[i, at], ~same[at]))]
                 if group:
                     at = at[np.sort(np.unique(groups[at], return_index=True)[1])]
                 at = at[:k]
-                out.append(pd.DataFrame({"query_id": query, "item_id": ids[at], "score": s[i, at], "grp": groups[at], "same": same[at]}))
-        frame = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query_id", "item_id", "score", "grp", "same"])
+                out.append((np.full(len(at), query), ids[at], s[i, at], groups[at], same[at]))
+        return out
+
+    def score(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(qs) and qs["cells"].iat[0] is not None:
+            opens = [set(map(int, c)) for c in qs["cells"]]
+            for cell, held in vs.groupby("cell"):
+                own = qs[[cell in c for c in opens]]
+                if len(own):
+                    found += best(own, held)
+        elif len(qs) and len(vs):
+            found = best(qs, vs)
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[]] * 5
+        frame = pd.DataFrame(dict(zip(["query_id", "item_id", "score", "grp", "same"], columns, strict=True)))
         return frame.astype({"query_id": "int64", "item_id": "int64", "score": float, "grp": "int64", "same": bool})
 
-    part = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(score, "query_id long, item_id long, score double, grp long, same boolean")
-    best = [F.desc("same"), F.desc("score"), F.col("item_id")]
-    if group:
-        part = part.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "grp").orderBy(*best))).filter("n = 1").drop("n")
-    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "item_id", "score", "rank", *(["grp"] if group else []))
+    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(score, "query_id long, item_id long, score double, grp long, same boolean")
+
+
+def pairs_scored(queries: DataFrame, items: DataFrame, k: int) -> tuple[int, int]:
+    """How many pairs top_k() scores in cells, and how many there are: queries (query_id, vector), items (item_id, vector)."""
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), doubles(F.col("vector")).alias("q")).filter("q is not null")
+    rows, n = items.select(F.col("item_id").cast("long").alias("item_id"), doubles(F.col("vector")).alias("v")).filter("v is not null"), items.count()
+    _, cells = celled(rows, n)
+    least = top_k(queries, items, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    sizes = F.array(*[F.lit(int(x)) for x in cells.sizes])
+    load = lambda chosen: chosen.select(F.explode("cells").alias("c")).agg(F.sum(F.get(sizes, F.col("c")))).first()[0] or 0
+    return int(load(opened(q, cells, k, None)) + load(opened(q.join(least, "query_id", "left"), cells, k, "kth"))), q.count() * n
 
 
 def pairs_with_small(items: DataFrame, small: DataFrame, score: Column, most: int = 20_000) -> DataFrame:
     """All pairs of items with a small table, with `score`: broadcast while it has at most `most` rows, else left to Spark."""
-    few = len(small.limit(most + 1).take(most + 1)) <= most
-    return items.crossJoin(F.broadcast(small) if few else small).withColumn("score", score)
+    return items.crossJoin(F.broadcast(small) if small.count() <= most else small).withColumn("score", score)

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,23 @@ def test_groups_by_sound_are_named_by_their_tracks_tags(spark):
     assert len(got) == 20
     assert {(r.major, r.genre) for r in got if r.track_id < 10} == {("House", "Deep House")}
     assert {(r.major, r.genre) for r in got if r.track_id >= 10} == {("Electronic", "Electronic 1")}
+
+
+def test_cells_find_the_same_and_score_fewer_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.05 * rng.normal(size=16)).tolist(), i % 7, float(i % 50), "ab"[i % 2]) for i in range(600)]
+    rows += [(700, [0.0] * 16, 1, 1.0, "a"), (701, [1.0, 2.0], 2, None, None), (702, None, 3, 3.0, "b"), (703, rows[0][1], 0, 5.0, "a"), (704, rows[0][1], 0, 5.0, "b")]
+    t = spark.createDataFrame(rows, "item_id long, vector array<double>, g long, bpm double, major string")
+    q = t.filter("item_id % 9 = 0 or item_id >= 700").withColumnRenamed("item_id", "query_id")
+    asked = [{}, {"floor": 0.9}, {"group": "g"}, {"apart": ("bpm", 10.0)}, {"prefer": "major"}, {"skip_same_id": False}]
+    plain = [{tuple(r) for r in knn.top_k(q, t, 5, **a).collect()} for a in asked]
+    monkeypatch.setattr(knn, "CELLS_FROM", 1)
+    monkeypatch.setattr(knn, "BLOCK_ITEMS", 100)
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 40)
+    assert [{tuple(r) for r in knn.top_k(q, t, 5, **a).collect()} for a in asked] == plain
+    some, every = knn.pairs_scored(q, t, 5)
+    assert some < 0.35 * every
+    noise = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(300)], "item_id long, vector array<double>")
+    some, every = knn.pairs_scored(noise.withColumnRenamed("item_id", "query_id"), noise, 5)
+    assert some <= every
