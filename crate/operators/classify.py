@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +13,62 @@ from crate.functions.vectors import cosine, doubles, l2_normalize
 from crate.operators.knn import pairs_with_small, top_k
 
 
+#: Entries of sums that a task holds before it hands them on.
+HELD = 4_000_000
+
+
+def _sums(rows: DataFrame, key: str, vec: str) -> DataFrame:
+    """key, i, s, n: sum and count of each position of the vectors of a group.
+
+    Tasks add up whole vectors, a batch at a time, and hand on a row a key and position: what is shuffled doesn't grow with the rows.
+    """
+    rows = rows.filter(F.col(vec).isNotNull()).select(F.col(key).alias("key"), doubles(F.col(vec)).alias("v"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out(kind: pa.DataType) -> pa.RecordBatch:
+            names, sums, counts = list(held), [s for s, _ in held.values()], [n for _, n in held.values()]
+            sizes = [len(s) for s in sums]
+            keys = pa.array(names, kind).take(pa.array(np.repeat(np.arange(len(names)), sizes)))
+            places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            return pa.RecordBatch.from_arrays([keys, pa.array(places), pa.array(np.concatenate(sums)), pa.array(np.concatenate(counts))], ["key", "i", "s", "n"])
+
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            values, sizes = lists.flatten(), np.asarray(lists.value_lengths().fill_null(0))
+            there, x = np.asarray(values.is_valid()), np.asarray(values.fill_null(0.0), dtype=float)
+            starts = np.cumsum(sizes) - sizes
+            names = keys.dictionary_encode(null_encoding="encode")
+            codes = np.asarray(names.indices)
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                for d in np.unique(sizes[codes == code]).tolist():
+                    at = starts[(codes == code) & (sizes == d)][:, None] + np.arange(d)
+                    s, n = held.get(name, (np.zeros(0), np.zeros(0, np.int64)))
+                    if len(s) < d:
+                        s, n = np.pad(s, (0, d - len(s))), np.pad(n, (0, d - len(n)))
+                    s[:d] += x[at].sum(axis=0)
+                    n[:d] += there[at].sum(axis=0)
+                    held[name] = s, n
+            if sum(len(s) for s, _ in held.values()) > HELD:
+                yield out(keys.type)
+                held.clear()
+        if held and any(len(s) for s, _ in held.values()):
+            yield out(keys.type)
+
+    parts = rows.mapInArrow(add, f"key {rows.schema['key'].dataType.simpleString()}, i int, s double, n long")
+    return parts.groupBy("key", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def mean_vectors(rows: DataFrame, key: str, vec: str = "vector", unit: bool = True) -> DataFrame:
     """key, vector: the element-wise mean over a group, of unit length unless unit is False; no row for a group without vectors.
 
-    Sums are partial per task and position, so a group of any size costs each task one row a position.
+    A null entry counts for nothing; vectors of several lengths are averaged position by position.
     """
-    spread = rows.filter(F.col(vec).isNotNull()).select(key, F.posexplode(doubles(F.col(vec))).alias("i", "x"))
-    means = spread.groupBy(key, "i").agg(F.avg("x").alias("m"))
-    gathered = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("ms"))
+    means = _sums(rows, key, vec).select("key", "i", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("m"))
+    gathered = means.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("ms"))
     v = F.transform("ms", lambda s: s["m"])
-    return gathered.select(key, (l2_normalize(v) if unit else v).alias("vector"))
+    return gathered.select(F.col("key").alias(key), (l2_normalize(v) if unit else v).alias("vector"))
 
 
 def elementwise_max(rows: DataFrame, key: str, vec: str = "vector") -> DataFrame:

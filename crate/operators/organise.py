@@ -9,17 +9,20 @@ from crate.functions import music
 from crate.storage import saved
 
 
-def unique_destinations(df: DataFrame, dest: str = "dest", order: str = "track_id", most_rounds: int = 20) -> DataFrame:
-    """Namesakes but the first get ' (1)', ' (2)' before the extension, again until no destination is there twice."""
-    for turn in range(most_rounds):
+def unique_destinations(df: DataFrame, dest: str = "dest", order: str = "track_id") -> DataFrame:
+    """Namesakes but the first get ' (1)', ' (2)' before the extension, again until no destination is there twice.
+
+    That ends: a changed destination is longer, so the shortest that clash are settled for good in each round.
+    """
+    clash = True
+    while clash:
         n = F.row_number().over(Window.partitionBy(dest).orderBy(order)) - 1
         parts = F.regexp_extract(F.col(dest), r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(F.col(dest), r"^(.*?)(\.[^./]*)?$", 2)
         df = df.withColumn("_n", n).withColumn(dest, F.when(F.col("_n") == 0, F.col(dest)).otherwise(F.concat(parts[0], F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), parts[1])))
         df = saved(df, "destinations")
-        if turn and df.filter("_n > 0").isEmpty():
-            break
+        clash = not df.filter("_n > 0").isEmpty()
         df = df.drop("_n")
-    return df.drop("_n")
+    return df
 
 
 def plan(tracks: DataFrame, assignments: DataFrame, genres: DataFrame, root: str) -> DataFrame:

@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crate.storage import saved
+from crate.storage import discard, saved
 
 
-def ancestors(genres: DataFrame, max_depth: int = 16) -> DataFrame:
-    """genre_id, ancestor_id, name, depth (1: the parent) of genres (genre_id, name, parent_id); a cycle ends the chain."""
-    up = genres.select(F.col("genre_id").alias("ancestor_id"), "name", F.col("parent_id").alias("next"))
-    step = genres.filter("parent_id is not null").select("genre_id", F.col("parent_id").alias("ancestor_id"), F.array("genre_id").alias("seen"), F.lit(1).alias("depth"))
-    found = []
-    for _ in range(max_depth):
-        at = saved(step.join(up, "ancestor_id"), "ancestors")
-        if at.isEmpty():
+def ancestors(genres: DataFrame) -> DataFrame:
+    """genre_id, ancestor_id, name, depth (1: the parent) of genres (genre_id, name, parent_id), however deep; a cycle ends the chain.
+
+    A round joins what is known up to some depth with the jump of that depth, so a chain of n takes log2(n) rounds. A parent that isn't
+    there ends the chain, too. Each ancestor comes once, at its least depth, and no genre is its own.
+    """
+    there = genres.select(F.col("genre_id").alias("y")).distinct()
+    jump = saved(genres.select(F.col("genre_id").alias("x"), F.col("parent_id").alias("y")).join(there, "y").select("x", "y").distinct(), "jump")
+    known = saved(jump.filter("x <> y").select("x", F.col("y").alias("a"), F.lit(1).cast("long").alias("d")), "ancestors")
+    reach, n = 1, known.count()
+    while n:
+        above = known.select(F.col("x").alias("y"), "a", (F.col("d") + reach).alias("d"))
+        more = jump.join(above, "y").filter("x <> a").select("x", "a", "d")
+        grown = saved(known.unionByName(more).groupBy("x", "a").agg(F.min("d").alias("d")), "ancestors")
+        found = grown.count()
+        discard(known)
+        known, before, n = grown, n, found
+        if found == before:
             break
-        found.append(at.select("genre_id", "ancestor_id", "name", "depth"))
-        on = at.filter(F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next")))
-        step = on.select("genre_id", F.col("next").alias("ancestor_id"), F.concat("seen", F.array("ancestor_id")).alias("seen"), (F.col("depth") + 1).alias("depth"))
-    if not found:
-        return genres.select("genre_id", F.col("genre_id").alias("ancestor_id"), "name", F.lit(0).alias("depth")).limit(0)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+        jump = saved(jump.join(jump.toDF("y", "z"), "y").select("x", F.col("z").alias("y")), "jump")
+        reach *= 2
+    names = genres.select(F.col("genre_id").alias("ancestor_id"), "name")
+    return known.select(F.col("x").alias("genre_id"), F.col("a").alias("ancestor_id"), F.col("d").cast("int").alias("depth")).join(names, "ancestor_id").select("genre_id", "ancestor_id", "name", "depth")
 
 
 def unfold(nodes: DataFrame, edges: DataFrame, max_depth: int = 16) -> DataFrame:

@@ -160,3 +160,39 @@ def stream_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.keep_centroids(stream, f"{out}/sums").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     kept = streams.kept_centroids(spark, f"{out}/sums")
     return kept.select("genre_id", F.posexplode("vector").alias("i", "x")).select("genre_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+def _loudness():
+    """A model as a job loads it: mean, root of the mean square and peak of a window."""
+    import numpy as np
+
+    def run(samples, rate):
+        if rate <= 0:
+            raise ValueError(f"rate {rate}")
+        return np.array([samples.mean(), np.sqrt((samples * samples).mean()), np.abs(samples).max()])
+
+    return run
+
+
+_JOB_SQL = """with w as (select vec_id // 4 as track_id, vec_id as window_id, embedding::DOUBLE[] as x, case when vec_id % 50 = 7 then 0 else 8000 end as rate from embeddings where embedding is not null),
+bad as (select track_id, arg_min('rate ' || rate, window_id) as error from w where rate <= 0 group by 1),
+v as (select track_id, avg(list_avg(x)) as a, avg(sqrt(list_avg(list_transform(x, lambda z: z * z)))) as b, avg(list_max(list_transform(x, lambda z: abs(z)))) as c from w where track_id not in (select track_id from bad) group by 1)
+select track_id, error, null as a, null as b, null as c, 0 as again from bad
+union all select track_id, null, round(a / sqrt(a * a + b * b + c * c), 6), round(b / sqrt(a * a + b * b + c * c), 6), round(c / sqrt(a * a + b * b + c * c), 6), 0 from v"""
+
+
+@query(_JOB_SQL)
+def embedding_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of tracks of four windows each by a job in two runs, even tracks first: what each track has come to, and how many tracks a third run finds to do."""
+    from crate.operators import embed
+
+    rate = F.when(F.col("vec_id") % 50 == 7, 0).otherwise(8000)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("embedding is not null")
+    w = rows.select(F.floor(F.col("vec_id") / 4).alias("track_id"), F.col("vec_id").alias("window_id"), F.col("embedding").alias("samples"), rate.alias("rate"))
+    path, model = scratch(spark, "space"), embed.register("loudness", _loudness)
+    runs = [saved(embed.embed_job(rows, path, model), "run") for rows in (w.filter("track_id % 2 = 0"), w)]
+    again = embed.embed_job(w, path, model).count()
+    found = embed.stored(spark, f"{path}/vectors", embed.VECTORS, model.name).select("track_id", "vector")
+    entry = lambda k: F.round(F.get("vector", F.lit(k)), 6)
+    both = runs[0].unionByName(runs[1]).join(found, "track_id", "left")
+    return both.select("track_id", "error", entry(0).alias("a"), entry(1).alias("b"), entry(2).alias("c"), F.lit(again).alias("again"))

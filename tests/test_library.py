@@ -126,6 +126,12 @@ def test_trees(spark):
     g = spark.createDataFrame([(1, "Electronic", None, "genre"), (2, "House", 1, "subgenre"), (3, "Acid", 2, "subgenre"), (4, " house", 1, "subgenre"), (5, "Acid", 4, "subgenre")], "genre_id long, name string, parent_id long, level string")
     up = sorted((r.genre_id, r.depth, r.ancestor_id) for r in taxonomy.ancestors(g).filter("genre_id = 3").collect())
     assert up == [(3, 1, 2), (3, 2, 1)]
+    deep = spark.createDataFrame([(i, f"g{i}", i - 1 if i else None) for i in range(301)] + [(1001, "a", 1002), (1002, "b", 1003), (1003, "c", 1001), (1004, "d", 1001), (1005, "e", 1005), (1006, "f", 77_777)], "genre_id long, name string, parent_id long")
+    got = {(r.genre_id, r.ancestor_id): r.depth for r in taxonomy.ancestors(deep).collect()}
+    want = {(i, j): i - j for i in range(301) for j in range(i)}
+    want |= {(1001, 1002): 1, (1001, 1003): 2, (1002, 1003): 1, (1002, 1001): 2, (1003, 1001): 1, (1003, 1002): 2, (1004, 1001): 1, (1004, 1002): 2, (1004, 1003): 3}
+    assert got == want
+    assert taxonomy.ancestors(deep.limit(0)).count() == 0
     uses = spark.createDataFrame([(4, 9), (3, 1)], "genre_id long, uses long")
     assert sorted(map(tuple, taxonomy.merge_duplicates(g, uses).collect())) == [(2, 4), (5, 3)]
     nodes = spark.createDataFrame([("e",), ("h",), ("t",), ("a",)], "name string")

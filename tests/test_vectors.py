@@ -186,3 +186,16 @@ def test_cells_find_the_same_and_score_fewer_pairs(spark, monkeypatch):
     noise = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(300)], "item_id long, vector array<double>")
     some, every = knn.pairs_scored(noise.withColumnRenamed("item_id", "query_id"), noise, 5)
     assert some <= every
+
+
+def test_means_of_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=5).tolist()) for k in ("a", "b", None) for _ in range(40)] + [("c", [1.0, None]), ("c", [3.0, 4.0, 5.0]), ("d", None), ("e", [])]
+    df = spark.createDataFrame(rows, "k string, vector array<double>").repartition(5)
+    got = {r.k: r.vector for r in classify.mean_vectors(df, "k", unit=False).collect()}
+    for k in ("a", "b", None):
+        assert np.allclose(got.pop(k), np.mean([v for name, v in rows if name == k], axis=0))
+    assert got == {"c": [2.0, 4.0, 5.0]}
+    assert classify.mean_vectors(df.limit(0), "k").count() == 0
+    x = rng.normal(size=(50, 4))
+    assert np.allclose(groups.second_moments(spark.createDataFrame([(v.tolist(),) for v in x], "vector array<double>"), 4), x.T @ x)
