@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crate.functions import vectors as fv
-from crate.operators import classify, groups, knn, organise
+from crate.operators import classify, groups, knn, organise, silhouette
 
 
 def frame(spark, rows, schema="item_id long, vector array<double>"):
@@ -199,3 +199,31 @@ def test_means_of_groups(spark):
     assert classify.mean_vectors(df.limit(0), "k").count() == 0
     x = rng.normal(size=(50, 4))
     assert np.allclose(groups.second_moments(spark.createDataFrame([(v.tolist(),) for v in x], "vector array<double>"), 4), x.T @ x)
+
+
+def test_silhouettes_of_many_k_equal_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = 6 * rng.normal(size=(14, 5))
+    x = np.concatenate([centres[i % 14] + 0.2 * rng.normal(size=5) for i in range(140)]).reshape(-1, 5)
+    t = frame(spark, [*[(i, v.tolist()) for i, v in enumerate(x)], (900, None)])
+    rows, found = silhouette.silhouettes(t, range(2, 21))
+    assert list(found) == list(range(2, 21))
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for k, (score, own) in found.items():
+        at = ((x[:, None] - own[None]) ** 2).sum(axis=2).argmin(axis=1)
+        each = []
+        for i in range(len(x)):
+            mates = (at == at[i]).sum()
+            inner = d[i, at == at[i]].sum() / max(mates - 1, 1)
+            outer = min(d[i, at == c].mean() for c in set(at) - {at[i]})
+            each.append((outer - inner) / max(inner, outer) if mates > 1 else 0.0)
+        assert score == pytest.approx(np.mean(each), abs=1e-9)
+        means = np.stack([x[at == c].mean(axis=0) for c in sorted(set(at))])
+        assert np.allclose(means, own[sorted(set(at))], atol=0.2)
+    k, clusters = silhouette.silhouette_k(t, range(2, 21))
+    assert k > 12 and clusters.count() == 140  # 14 blobs: beyond the bound of 12 that stood here
+    monkeypatch.setattr(silhouette, "CENTRES", 30)  # several passes
+    assert silhouette.silhouettes(t, range(2, 21))[1].keys() == found.keys()
+    assert silhouette.silhouette_k(t.limit(0), range(2, 5))[1].count() == 0
+    same = frame(spark, [(i, [1.0, 2.0]) for i in range(6)])
+    assert silhouette.silhouette_k(same, range(2, 4))[0] == 1
