@@ -108,7 +108,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     hits = seen.join(bounded(repeated), ["high", "low"]).join(rows.select("row", "last", "key", "h"), "row")
     hits = saved(hits, "hits")
     first = hits.groupBy("high", "low").agg(F.min(F.struct("last", "key", "h", "row")).alias("first")).select("high", "low", F.col("first.row").alias("first"))
-    later = hits.select("row", "high", "low").join(first, ["high", "low"]).filter("row <> first")
+    first = saved(first, "first")  # a row a digest: a digest that is everywhere is summed up before it moves, and joined where its rows are or split
+    later = hits.select("row", "high", "low").join(bounded(first), ["high", "low"]).filter("row <> first")
     gone = later.groupBy("row").agg(F.collect_list(F.struct("high", "low")).alias("gone"))  # as many as the document has units
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
