@@ -14,8 +14,11 @@ REWRITES = (
     r"\[[^\]]*\]",
     r"(?i)\([^)]*\b(?:mix|edit|remix|version|bootleg|rework|dub|vip|remaster|master)\b[^)]*\)",
 )
+#: What an artist that is a label looks like, and a country or code in brackets behind a name.
 LABELISH = r"(?i)records?|recordings|premiere|mixmag|promo|\bfree\b|\bvinyl\b|music|\bvol\b"
 COUNTRY = r"\s*\((?:[A-Z]{2,3}|[A-Z][a-z]+)\)\s*$"
+#: Signs that are stripped from both ends of a name, and the dash between artist and title.
+ENDS, DASH = r"^[ \-–—|:_\t]+|[ \-–—|:_\t]+$", r"\s[-–—]\s"
 
 
 def artist_title(title: Column, artist: Column, path: Column) -> Column:
@@ -23,8 +26,8 @@ def artist_title(title: Column, artist: Column, path: Column) -> Column:
     s = F.coalesce(F.nullif(title, F.lit("")), F.element_at(F.split(path, "/"), -1), F.lit(""))
     for pattern in REWRITES:
         s = F.regexp_replace(s, pattern, "")
-    s = F.regexp_replace(s, r"^[ \-–—|:_\t]+|[ \-–—|:_\t]+$", "")
-    parts = F.filter(F.transform(F.split(s, r"\s[-–—]\s"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+    s = F.regexp_replace(s, ENDS, "")
+    parts = F.filter(F.transform(F.split(s, DASH), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     name = lambda a: F.trim(F.regexp_replace(a, COUNTRY, ""))
     given = F.trim(F.coalesce(artist, F.lit("")))
     one = F.struct(F.when((F.length(given) > 0) & ~given.rlike(LABELISH), name(given)).alias("artist"), F.get(parts, F.lit(0)).alias("title"))

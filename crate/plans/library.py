@@ -44,12 +44,9 @@ A, G, S, T = (f"({duck(x)})" for x in (ANALYSIS, GENRES, ASSIGNMENTS, TRACKS))
 
 
 def _wheel_sql(key: str) -> str:
-    """Number on the wheel, looked up among the twelve fifths from B major and A flat minor."""
-    note, tail = f"lower(split_part({key}, ' ', 1))", f"lower(split_part({key}, ' ', 2))"
-    major, minor = "b f# c# g# d# a# f c g d a e".split(), "g# d# a# f c g d a e b f# c#".split()
-    flat = {"gb": "f#", "db": "c#", "ab": "g#", "eb": "d#", "bb": "a#"}
-    cases = lambda ring: " ".join(f"when '{x}' then {ring.index(flat.get(x, x)) + 1}" for x in [*major, *flat])
-    return f"case when {tail} = 'maj' then case {note} {cases(major)} end else case {note} {cases(minor)} end end"
+    """Number on the wheel: seven steps of twelve for each semitone of the key, or of the relative major of a minor one."""
+    notes = " ".join(f"when '{note}' then {semitone}" for note, semitone in music.SEMITONES.items())
+    return f"(7 * (case lower(split_part({key}, ' ', 1)) {notes} end + case lower(split_part({key}, ' ', 2)) when 'maj' then 0 else 3 end) + 7) % 12 + 1"
 
 
 @query(f"""with k as (select track_id, {_wheel_sql('music_key')} as n, case when music_key like '%maj' then 'B' else 'A' end as ring from {A}),

@@ -262,6 +262,6 @@ def artist_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, text).select("artist_id", F.coalesce(metadata.artist_region(F.col("begin_area"), F.col("area")), F.lit("")).alias("region"))
 
 
-@query(f"""select track_id, case when title like '%.%' then title else title end as stem from {T}""")
+@query(f"""select track_id, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') as stem from {T}""")
 def path_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, TRACKS).select("track_id", music.stem(F.col("path")).alias("stem"))
