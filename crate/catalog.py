@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crate.plans import choices, feeds, library, records, sound, store, tables, vectors
+from crate.plans import choices, feeds, library, records, sound, store, structure, tables, vectors
 
-MODULES = (vectors, library, sound, records, tables, store, choices, feeds)
+MODULES = (vectors, library, sound, records, tables, store, choices, feeds, structure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
