@@ -93,3 +93,8 @@ def band_breakdown(a: Column, b: Column) -> Column:
         parts.append(F.struct(F.lit(name).alias("name"), F.round(ea, 3).alias("a"), F.round(eb, 3).alias("b"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), match)), 3).alias("match")))
     full = (F.size(a) == 16) & (F.size(b) == 16)
     return F.when(full, F.array(*parts)).otherwise(F.array().cast("array<struct<name:string,a:double,b:double,match:double>>"))
+
+
+def band_overall(a: Column, b: Column) -> Column:
+    """The cosine of two 16-band profiles, 3 decimals; null for a null, any other size, or a side without energy."""
+    return F.when((F.size(a) == 16) & (F.size(b) == 16), F.round(cosine_or_null(a, b), 3))

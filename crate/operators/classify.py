@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crate.functions.vectors import cosine, doubles, l2_normalize
 from crate.operators.knn import pairs_with_small, top_k
-
+from crate.storage import saved
 
 #: Entries of sums that a task holds before it hands them on.
 HELD = 4_000_000
@@ -138,12 +138,37 @@ def accuracy_report(suggestions: DataFrame, truth: DataFrame, threshold: float =
     return by.crossJoin(F.broadcast(total)).select("genre_id", rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), rate(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), rate(F.col("h1"), F.col("n")).alias("top1"), rate(F.col("h3"), F.col("n")).alias("top3"))
 
 
-def cross_validated(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """fold, n, accuracy of the prototype classifier on rows (item_id, genre_id, vector); folds are dealt within each genre."""
-    numbered = rows.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("genre_id").orderBy("item_id")) - 1, F.lit(folds)))
+#: Parts of a class that are numbered by themselves, so that no task numbers a whole class.
+DEALS = 256
+
+
+def grouped_folds(members: DataFrame, folds: int = 5) -> DataFrame:
+    """group_id, fold of the groups of members (group_id, label): dealt in turn within each class, so that folds differ by a group of it at most.
+
+    A group's class is its commonest label (the smaller on ties); groups without a label are left out. Classes begin at different folds.
+    """
+    own = saved(vote(members, "group_id", "label").select("group_id", "label", F.pmod(F.xxhash64("group_id"), F.lit(DEALS)).alias("deal")), "classes")
+    sizes = own.groupBy("label", "deal").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("deal")) - F.col("n")  # at most DEALS rows a class
+    nth = F.row_number().over(Window.partitionBy("label", "deal").orderBy("group_id")) - 1
+    placed = own.withColumn("nth", nth).join(sizes.select("label", "deal", before.alias("before")), ["label", "deal"])
+    return placed.select("group_id", F.pmod(F.col("nth") + F.col("before") + F.pmod(F.xxhash64("label"), F.lit(folds)), F.lit(folds)).cast("int").alias("fold"))
+
+
+def cross_validated(rows: DataFrame, folds: int = 5, group: str | None = None) -> DataFrame:
+    """fold, n, accuracy of the prototype classifier on rows (item_id, genre_id, vector); folds are dealt within each genre.
+
+    With group, a column of rows, all rows of a group are in one fold, as windows of a track must be.
+    """
+    if group:
+        dealt = grouped_folds(rows.select(F.col(group).alias("group_id"), F.col("genre_id").alias("label")), folds)
+        numbered = rows.join(dealt.withColumnRenamed("group_id", group), group)
+    else:
+        numbered = rows.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("genre_id").orderBy("item_id")) - 1, F.lit(folds)))
     copies = numbered.withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter(F.col("fold") != F.col("test"))
-    copies = copies.withColumn("key", F.struct("test", "genre_id"))
-    protos = mean_vectors(copies, "key").select(F.col("key.test").alias("fold"), F.col("key.genre_id").alias("said"), F.col("vector").alias("_c"))
+    copies = copies.filter("genre_id is not null").withColumn("key", F.concat_ws(":", "test", "genre_id"))
+    part = lambda i: F.element_at(F.split("key", ":", 2), i)
+    protos = mean_vectors(copies, "key").select(part(1).cast("int").alias("fold"), part(2).cast(rows.schema["genre_id"].dataType).alias("said"), F.col("vector").alias("_c"))
     scored = numbered.join(F.broadcast(protos), "fold").withColumn("score", F.round(cosine(doubles(F.col("vector")), F.col("_c")), 6))
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "said"))).filter("n = 1")
     return best.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("said") == F.col("genre_id")).cast("double")).alias("accuracy"))
@@ -212,6 +237,14 @@ def persisted(suggestions: DataFrame, assignments: DataFrame) -> DataFrame:
     return rest.select("track_id", "genre_id", "confidence", "status").unionByName(top)
 
 
+def kept_suggestions(suggestions: DataFrame, kept: DataFrame) -> DataFrame:
+    """All suggestions, to choose from later (track_id, genre_id, confidence, rank): those of a track replace its earlier ones."""
+    from crate.sources.tables import replace_group
+
+    columns = ["track_id", "genre_id", "confidence", "rank"]
+    return replace_group(kept.select(*columns), suggestions.select(*columns), ["track_id"])
+
+
 def layer_pool(states: DataFrame, weights: list[float]) -> DataFrame:
     """track_id, vector from rows (track_id, layer, vector), one a time step: means over time, then the weighted mean over layers."""
     spread = states.filter(F.col("vector").isNotNull()).select("track_id", "layer", F.posexplode(doubles(F.col("vector"))).alias("i", "x"))

@@ -66,6 +66,13 @@ def style_agreement(labels: DataFrame, styles: DataFrame, accept: DataFrame, top
     return rows.select("track_id", "genre", hit.alias("hit"))
 
 
+def agreement(rows: DataFrame) -> DataFrame:
+    """genre (null: all), n, hits, rate of style_agreement()."""
+    said = rows.groupBy("genre").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    both = said.unionByName(said.agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).filter("n is not null").withColumn("genre", F.lit(None).cast("string")))
+    return both.withColumn("rate", F.col("hits") / F.col("n"))
+
+
 def accepted_proposals(proposals: DataFrame, identified: DataFrame, analysis: DataFrame, least: float = 0.6) -> DataFrame:
     """Proposals (track_id, genre, confidence) for tracks without genres that are named, sure and of a plausible tempo."""
     rows = proposals.join(identified.filter("size(genres) > 0").select("track_id"), "track_id", "left_anti").join(analysis.select("track_id", "bpm"), "track_id", "left")

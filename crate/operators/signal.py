@@ -133,10 +133,23 @@ def band_profile(bands: DataFrame) -> DataFrame:
     return means.select("track_id", "band", F.round(F.when(total > 0, F.col("r") / total).otherwise(0.0), 4).alias("level"))
 
 
-def timeline(bands: DataFrame, bins: int = 100) -> DataFrame:
-    """track_id, bin, band, level: mean energy over even stretches of a track, against its greatest, square-rooted."""
-    last = F.max("frame_idx").over(Window.partitionBy("track_id")) + 1
-    rows = bands.withColumn("bin", F.floor(F.col("frame_idx") * bins / last)).groupBy("track_id", "bin", "band").agg(F.avg("e").alias("x"))
+def timeline(bands: DataFrame, bins: int = 100, start: float | None = None, end: float | None = None, rate: float = 1.0) -> DataFrame:
+    """track_id, bin, band, level: mean energy over even stretches of a track, against its greatest, square-rooted.
+
+    With start or end (seconds; rate: frames a second) only frames from one to the other count, the span being 0.05 seconds at least. Bin b begins
+    at frame floor(b * frames / bins); a span of no more frames than bins has a bin for each frame.
+    """
+    track = Window.partitionBy("track_id")
+    rows = bands
+    if start is not None or end is not None:
+        first = max(0.0, start or 0.0)
+        rows = rows.filter(F.col("frame_idx") >= F.lit(int(first * rate)))
+        if end is not None:
+            rows = rows.filter(F.col("frame_idx") < F.lit(int(max(end, first + 0.05) * rate)))
+        rows = rows.withColumn("frame_idx", F.col("frame_idx") - F.lit(int(first * rate)))
+    n = F.max("frame_idx").over(track) + 1
+    at = F.when(n <= bins, F.col("frame_idx")).otherwise(F.floor(((F.col("frame_idx") + 1) * bins - 1) / n))
+    rows = rows.withColumn("bin", at.cast("long")).groupBy("track_id", "bin", "band").agg(F.avg("e").alias("x"))
     top = F.max("x").over(Window.partitionBy("track_id"))
     return rows.select("track_id", "bin", "band", F.round(F.sqrt(F.when(top > 0, F.col("x") / top).otherwise(0.0)), 4).alias("level"))
 

@@ -79,7 +79,7 @@ def band_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.band_profile(signal.band_sums(frames(spark, sf_dir), _BANDS)).withColumn("band", F.col("band").cast("long"))
 
 
-@query(f"""with {_BAND_SQL}, l as (select *, max(frame_idx) over (partition by track_id) + 1 as last from e), b as (select track_id, floor(frame_idx * 10 / last)::bigint as bin, band, avg(e) as x from l group by all)
+@query(f"""with {_BAND_SQL}, l as (select *, max(frame_idx) over (partition by track_id) + 1 as last from e), b as (select track_id, case when last <= 10 then frame_idx else floor(((frame_idx + 1) * 10 - 1) / last) end::bigint as bin, band, avg(e) as x from l group by all)
 select track_id, bin, band, round(sqrt(x / max(x) over (partition by track_id)), 4) as level from b""")
 def waveform_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = signal.timeline(signal.band_sums(frames(spark, sf_dir), _BANDS), 10)

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crate.operators import hierarchy, mixes
+from crate.functions import vectors as fv
+from crate.operators import classify, hierarchy, metadata, mixes, signal
+from crate.plans import tables as records
+from crate.plans.library import view
+from crate.plans.sound import _BAND_SQL, _BANDS, frames
 from crate.plans.vectors import tracks
+from crate.sources import stored
 from crate.storage import saved, scratch
 from crate.streaming import live
 
@@ -94,3 +99,69 @@ def live_from_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         live.keep_matches(spark.readStream.schema(part.schema).parquet(base), items, found, floor=0.05 if part is not last else -1.0).option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
         runs = live.written(live.matches(spark, found), out, delay="5 minutes")
     return _seconds(runs.filter("mix_id >= 0"))
+
+
+@query("""with o as (select p_partkey::bigint as track_id, p_size::bigint as n, p_name as name from part), u as (select track_id, case when track_id % 7 = 0 then n + 100 else n end as n, case when track_id % 7 <> 0 then name end as name from o),
+p as (select coalesce(track_id, c_custkey)::bigint as track_id, coalesce(case when c_custkey % 2 = 0 then c_custkey end, n)::bigint as n, name from u full join customer on c_custkey = track_id),
+i as (select p_partkey + 5 as track_id, -1 as n, 'new' as name from part), k as (select * from p union all select * from i where track_id not in (select track_id from p))
+select track_id, n, name from k where track_id % 50 <> 1 union all select p_partkey, g, 'group' from part, range(0, 2) t(g) where p_partkey % 50 = 1
+union all select track_id, n, name from k where track_id % 50 = 1 and track_id not in (select p_partkey from part)""")
+def bucket_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the parts stored in buckets, then an upsert, a patch, an insert of new keys only and groups replaced, each rewriting its buckets."""
+    path, kind = scratch(spark, "stored"), "track_id bigint, n bigint, name string"
+    shaped = lambda text: view(spark, sf_dir, text).to(spark.createDataFrame([], kind).schema)
+    stored.create(shaped("select p_partkey as track_id, cast(p_size as bigint) as n, p_name as name from {part}"), path, ["track_id"], 16)
+    stored.upsert(spark, path, shaped("select p_partkey as track_id, cast(p_size + 100 as bigint) as n, cast(null as string) as name from {part} where p_partkey % 7 = 0"))
+    stored.patch(spark, path, shaped("select c_custkey as track_id, case when c_custkey % 2 = 0 then cast(c_custkey as bigint) end as n, cast(null as string) as name from {customer}"))
+    stored.insert_or_ignore(spark, path, shaped("select p_partkey + 5 as track_id, cast(-1 as bigint) as n, 'new' as name from {part}"))
+    stored.replace_group(spark, path, shaped("select p_partkey as track_id, cast(g as bigint) as n, 'group' as name from {part} lateral view explode(array(0, 1)) as g where p_partkey % 50 = 1"))
+    return stored.read(spark, path)
+
+
+@query("""with c as (select vec_id // 7 as group_id, label, count(*) as n from embeddings where label is not null group by all),
+t as (select group_id, first(label order by n desc, label) as label from c group by 1)
+select label::bigint as label, count(*) as tracks, (case when count(*) % 5 = 0 then 0 else 1 end)::bigint as apart, 0::bigint as split from t group by 1""")
+def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of seven windows dealt to five folds: of each class how many, how far the largest and the smallest fold are apart, tracks in two folds."""
+    rows = tracks(spark, sf_dir).filter("genre_id is not null").select(F.expr("item_id div 7").alias("group_id"), F.col("genre_id").alias("label"))
+    folds = saved(classify.grouped_folds(rows, 5), "folds")
+    each = F.expr("explode(sequence(0, 4))")
+    labels = classify.vote(rows, "group_id", "label").select("group_id", "label")
+    seen = labels.join(folds, "group_id").groupBy("label", "fold").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("tracks"))
+    every = labels.select("label").distinct().select("label", each.alias("fold")).join(seen, ["label", "fold"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return every.groupBy("label").agg(F.sum(F.coalesce("tracks", F.lit(0))).alias("tracks"), (F.max(n) - F.min(n)).alias("apart"), F.sum(n - F.coalesce("tracks", F.lit(0))).alias("split"))
+
+
+@query("""with p as (select vec_id, list_transform(embedding[1:16]::DOUBLE[], lambda y: abs(y)) as e from embeddings where embedding is not null)
+select a.vec_id as a_id, b.vec_id as b_id, round(list_cosine_similarity(a.e, b.e), 3) as overall from p a join p b on b.vec_id = a.vec_id + 1""")
+def band_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike the whole band profiles of neighbouring tracks are."""
+    p = tracks(spark, sf_dir).filter("vector is not null").select("item_id", F.transform(F.slice("vector", 1, 16), F.abs).alias("p"))
+    other = p.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b_id"), F.col("p").alias("q"))
+    return p.join(other, "item_id").select(F.col("item_id").alias("a_id"), "b_id", fv.band_overall(F.col("p"), F.col("q")).alias("overall"))
+
+
+@query(f"""with {_BAND_SQL}, s as (select track_id, frame_idx - 8 as frame_idx, band, e from e where frame_idx >= 8 and frame_idx < 41), l as (select *, max(frame_idx) over (partition by track_id) + 1 as last from s),
+b as (select track_id, case when last <= 9 then frame_idx else floor(((frame_idx + 1) * 9 - 1) / last) end::bigint as bin, band, avg(e) as x from l group by all)
+select track_id, bin, band, round(sqrt(x / max(x) over (partition by track_id)), 4) as level from b""")
+def timeline_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline of a stretch of each track, from second 2 to 10.25 at four frames a second, in nine bins."""
+    found = signal.timeline(signal.band_sums(frames(spark, sf_dir), _BANDS), 9, 2.0, 10.25, 4.0)
+    return found.withColumn("band", F.col("band").cast("long"))
+
+
+@query(f"""with h as ({records.SQL["style_agreement"]}), s as (select genre, count(*) as n, count(*) filter (hit) as hits from h group by 1), b as (select * from s union all select null, sum(n), sum(hits) from s having count(*) > 0)
+select genre, n::bigint as n, hits::bigint as hits, (hits / n)::double as rate from b""")
+def agreement_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the styles of tracks agree with their genre, by genre and in all."""
+    return metadata.agreement(records.style_agreement(spark, sf_dir))
+
+
+@query("""with s as (select p_partkey as track_id, 100 + p_partkey % 25 + r as genre_id, (p_partkey % 100) / 100.0 - r as confidence, r as rank from part, range(0, 2) t(r)), k as (select c_custkey as track_id, 7 as genre_id, 0.5 as confidence, 0 as rank from customer)
+select track_id::bigint as track_id, genre_id::bigint as genre_id, confidence::double as confidence, rank::bigint as rank from s union all select track_id, genre_id, confidence, rank from k where track_id not in (select track_id from s)""")
+def suggestions_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suggestions of a run beside those that tracks without new ones had."""
+    new = "select p_partkey as track_id, cast(100 + p_partkey % 25 + r as bigint) as genre_id, cast(p_partkey % 100 as double) / 100 - r as confidence, cast(r as bigint) as rank from {part} lateral view explode(array(0, 1)) as r"
+    old = "select c_custkey as track_id, cast(7 as bigint) as genre_id, cast(0.5 as double) as confidence, cast(0 as bigint) as rank from {customer}"
+    return classify.kept_suggestions(view(spark, sf_dir, new), view(spark, sf_dir, old))

@@ -227,3 +227,22 @@ def test_silhouettes_of_many_k_equal_those_of_all_pairs(spark, monkeypatch):
     assert silhouette.silhouette_k(t.limit(0), range(2, 5))[1].count() == 0
     same = frame(spark, [(i, [1.0, 2.0]) for i in range(6)])
     assert silhouette.silhouette_k(same, range(2, 4))[0] == 1
+
+
+def test_folds_keep_groups_together_and_classes_even(spark):
+    rows = [(w, w // 4, "a" if w // 4 % 3 else "b", [1.0, 0.1 * (w % 4)] if w // 4 % 3 else [0.1, 1.0]) for w in range(240)] + [(900, 900, None, [1.0, 1.0])]
+    t = spark.createDataFrame(rows, "item_id long, track long, genre_id string, vector array<double>")
+    folds = {r.group_id: r.fold for r in classify.grouped_folds(t.select(t.track.alias("group_id"), t.genre_id.alias("label"))).collect()}
+    assert set(folds) == set(range(60))
+    for kind, n in (("a", 40), ("b", 20)):
+        each = [sum(f == k and ("a" if g % 3 else "b") == kind for g, f in folds.items()) for k in range(5)]
+        assert sum(each) == n and max(each) - min(each) <= 1
+    got = classify.cross_validated(t, group="track").collect()
+    assert sum(r.n for r in got) == 240 and all(r.accuracy == 1.0 for r in got)
+    assert sum(r.n for r in classify.cross_validated(t.filter("genre_id is not null")).collect()) == 240
+
+
+def test_whole_profiles_are_compared(spark):
+    a, flat = [1.0] * 16, [0.0] * 16
+    rows = spark.createDataFrame([(1, a, a), (2, a, flat), (3, a, a[:4]), (4, None, a)], "k long, a array<double>, b array<double>")
+    assert {r.k: r.o for r in rows.select("k", fv.band_overall(rows.a, rows.b).alias("o")).collect()} == {1: 1.0, 2: None, 3: None, 4: None}
