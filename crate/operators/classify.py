@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crate.functions.music import top_tags
 from crate.functions.vectors import cosine, doubles, l2_normalize
 from crate.operators.knn import pairs_with_small, top_k
 from crate.storage import saved
@@ -254,6 +255,13 @@ def layer_pool(states: DataFrame, weights: list[float]) -> DataFrame:
     return pooled.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("track_id", F.transform("v", lambda s: s["x"]).alias("vector"))
 
 
+def excerpt_styles(predictions: DataFrame, names: Column, k: int = 10) -> DataFrame:
+    """track_id, styles: the k likeliest of names (a column of all classes) by the mean of a track's excerpts (track_id, probs), as array of (style, p)."""
+    means = mean_vectors(predictions, "track_id", "probs", unit=False)
+    best = top_tags(F.col("vector"), names, k, 0.0)
+    return means.select("track_id", F.transform(best, lambda t: F.struct(t["tag"].alias("style"), t["p"].alias("p"))).alias("styles"))
+
+
 def identified(windows: DataFrame, tracks: DataFrame, k: int = 5) -> DataFrame:
     """query_id, item_id, score, rank: tracks (item_id, vector) nearest to clips given by their windows (query_id, vector), pooled by the mean."""
     clips = mean_vectors(windows, "query_id")

@@ -66,9 +66,16 @@ def vote_names(members: DataFrame) -> DataFrame:
 
 
 def running_names(groups: DataFrame) -> DataFrame:
-    """cluster, name: `Major k` for groups (cluster, major, first_track) without a name, k in the order of their first tracks."""
-    k = F.row_number().over(Window.partitionBy("major").orderBy("first_track", "cluster"))
-    return groups.select("cluster", F.concat_ws(" ", "major", k.cast("string")).alias("name"))
+    """cluster, name: `Major k` for groups (cluster, major, first_track; genre, if there is such a column) without a genre.
+
+    k is one more than the names that the major has had before, in the order of first tracks: its numbered groups and its different genres.
+    """
+    rows = groups if "genre" in groups.columns else groups.withColumn("genre", F.lit(None).cast("string"))
+    order = Window.partitionBy("major").orderBy("first_track", "cluster")
+    again = F.row_number().over(Window.partitionBy("major", "genre").orderBy("first_track", "cluster")) > 1
+    rows = rows.withColumn("new", (F.col("genre").isNull() | ~again).cast("long"))
+    rows = rows.withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.filter("genre is null").select("cluster", F.concat_ws(" ", "major", F.col("k").cast("string")).alias("name"))
 
 
 def by_sound(vectors: DataFrame, tags: DataFrame, groups: int = 14) -> DataFrame:
@@ -84,7 +91,7 @@ def by_sound(vectors: DataFrame, tags: DataFrame, groups: int = 14) -> DataFrame
     votes = found.join(tags, "track_id").select("cluster", music.major_of(F.col("genre")).alias("major"), music.clean_genre(F.col("genre")).alias("genre"))
     firsts = found.groupBy("cluster").agg(F.min("track_id").alias("first_track"))
     named = saved(firsts.join(vote_names(votes), "cluster", "left").withColumn("major", F.coalesce("major", F.lit("Electronic"))), "names")  # a row a group
-    numbered = running_names(named.filter("genre is null").select("cluster", "major", "first_track"))
+    numbered = running_names(named.select("cluster", "major", "genre", "first_track"))
     return found.join(F.broadcast(named.select("cluster", "major", "genre")), "cluster").join(F.broadcast(numbered), "cluster", "left").select("track_id", "major", F.coalesce("genre", "name").alias("genre"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crate.functions import vectors as fv
-from crate.operators import classify, hierarchy, metadata, mixes, signal
+from crate.operators import classify, hierarchy, metadata, mixes, organise, signal
 from crate.plans import tables as records
 from crate.plans.library import view
 from crate.plans.sound import _BAND_SQL, _BANDS, frames
@@ -165,3 +165,21 @@ def suggestions_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = "select p_partkey as track_id, cast(100 + p_partkey % 25 + r as bigint) as genre_id, cast(p_partkey % 100 as double) / 100 - r as confidence, cast(r as bigint) as rank from {part} lateral view explode(array(0, 1)) as r"
     old = "select c_custkey as track_id, cast(7 as bigint) as genre_id, cast(0.5 as double) as confidence, cast(0 as bigint) as rank from {customer}"
     return classify.kept_suggestions(view(spark, sf_dir, new), view(spark, sf_dir, old))
+
+
+@query("""with c as (select c_custkey as cluster, c_mktsegment as major, case when c_custkey % 3 = 0 then concat('genre ', c_custkey % 12) end as genre, c_custkey * 7919 % 10007 as t from customer),
+r as (select *, (genre is null or row_number() over (partition by major, genre order by t, cluster) = 1)::int as new from c), k as (select *, sum(new) over (partition by major order by t, cluster rows unbounded preceding) as k from r)
+select cluster::bigint as cluster, concat(major, ' ', k) as name from k where genre is null""")
+def numbered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of groups without a genre beside those that have one."""
+    text = "select cast(c_custkey as bigint) as cluster, c_mktsegment as major, case when c_custkey % 3 = 0 then concat('genre ', c_custkey % 12) end as genre, c_custkey * 7919 % 10007 as first_track from {customer}"
+    return organise.running_names(view(spark, sf_dir, text))
+
+
+@query("""with m as (select vec_id // 3 as track_id, i, avg(abs(embedding[i]::double)) as p from embeddings, range(1, 65) r(i) where embedding is not null group by all), r as (select *, row_number() over (partition by track_id order by p desc, i) as n from m)
+select track_id, n as nth, concat('style ', i - 1) as style, round(p, 3) as p from r where n <= 10""")
+def excerpt_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten likeliest styles of tracks of three excerpts, from the mean of their probabilities."""
+    t = tracks(spark, sf_dir).filter("vector is not null").select(F.expr("item_id div 3").alias("track_id"), F.transform("vector", F.abs).alias("probs"))
+    found = classify.excerpt_styles(t, F.array(*[F.lit(f"style {i}") for i in range(64)]))
+    return found.select("track_id", F.posexplode("styles").alias("nth", "s")).select("track_id", (F.col("nth") + 1).cast("long").alias("nth"), "s.style", "s.p")

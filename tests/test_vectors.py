@@ -246,3 +246,16 @@ def test_whole_profiles_are_compared(spark):
     a, flat = [1.0] * 16, [0.0] * 16
     rows = spark.createDataFrame([(1, a, a), (2, a, flat), (3, a, a[:4]), (4, None, a)], "k long, a array<double>, b array<double>")
     assert {r.k: r.o for r in rows.select("k", fv.band_overall(rows.a, rows.b).alias("o")).collect()} == {1: 1.0, 2: None, 3: None, 4: None}
+
+
+def test_running_numbers_count_the_names_before(spark):
+    rows = [(1, "Rock", "punk", 10), (2, "Rock", None, 20), (3, "Rock", "punk", 30), (4, "Rock", None, 40), (5, "Jazz", None, 1), (6, "Rock", "indie", 35)]
+    g = spark.createDataFrame(rows, "cluster long, major string, genre string, first_track long")
+    assert {r.cluster: r.name for r in organise.running_names(g).collect()} == {2: "Rock 2", 4: "Rock 4", 5: "Jazz 1"}
+    assert organise.running_names(g.drop("genre")).count() == 6
+
+
+def test_styles_of_excerpts_are_those_of_their_mean(spark):
+    p = spark.createDataFrame([(1, [0.9, 0.1, 0.2]), (1, [0.1, 0.3, 0.8]), (2, None), (3, [0.5, 0.5, 0.0])], "track_id long, probs array<double>")
+    got = {r.track_id: [tuple(s) for s in r.styles] for r in classify.excerpt_styles(p, F.array(*[F.lit(x) for x in "abc"]), 2).collect()}
+    assert got == {1: [("a", 0.5), ("c", 0.5)], 3: [("a", 0.5), ("b", 0.5)]}
