@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crate.functions import music, requests
+from crate.functions.vectors import once
 from crate.operators.knn import top_k
 from crate.sources.taxonomy_files import numbered
-from crate.storage import discard, saved
+from crate.storage import bounded, discard, saved
+
+#: Parts of an energy of 1 by which tracks are posted, and the most tracks of a class and cell in a part.
+CELLS, PART_ROWS = 1000, 100_000
+#: The word and the voice that every track meets.
+ANY = "*"
 
 
 def radio(seeds: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
@@ -64,53 +70,92 @@ def set_pool(candidates: DataFrame, wishes: DataFrame, most: int = 80) -> DataFr
 def build_sets(wishes: DataFrame, tracks: DataFrame, default_length: int = 12) -> DataFrame:
     """request_id, position, track_id, target: for each wish (request_id, text) the tracks along its arc.
 
-    tracks: track_id, energy, bpm, music_key, genre, vocal, gender, moods, instruments (the last five may be null). A filter that
-    would leave nothing is ignored. Each step takes, of all tracks that the filters leave, the unused one with the least (energy gap,
-    missing attributes, harmonic distance, tempo step, id). What a request has come to is a row, sent to all tasks; tracks stay where they are.
+    tracks: track_id (a key; null takes no part), energy (null or NaN: 0.5), bpm, music_key, genre, vocal, gender, moods, instruments
+    (all may be null). A filter that would leave nothing is ignored. Each step takes, of all tracks that the filters leave, the unused
+    one with the least (energy gap, missing attributes, harmonic distance, tempo step, id); without tracks there are no rows.
+
+    Wishes that ask for the same are worked out once. Tracks are posted by class (what of a wish's filters they satisfy) and cell (a
+    thousandth of energy). A step opens the cells around its target in which, by the counts of postings, an unused track may be
+    nearest, so that it meets the tracks of a few cells instead of all; the result is that of all. State is a row for each different wish.
+    """
+    parsed = requests.parsed(wishes).withColumn("want", F.coalesce("length", F.lit(default_length)))
+    parsed = parsed.withColumn("plan", F.sha2(F.to_json(F.struct("genres", "vocal", "gender", "moods", "instruments", "energies", "want")), 256))
+    parsed = saved(parsed.select("request_id", "plan", "genres", F.coalesce("gender", "vocal", F.lit(ANY)).alias("voice"), "moods", "instruments", "energies", "want"), "wishes")
+    t, posted = _posted(tracks)
+    plans = parsed.dropDuplicates(["plan"]).withColumn("filter", F.to_json(F.struct("genres", "voice")))
+    places = saved(_allowed(plans.select("filter", "genres", "voice").dropDuplicates(["filter"]), posted), "places")
+    counts = places.groupBy("filter", "cell").agg(F.sum("n").alias("n")).groupBy("filter").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+    counts = saved(counts.withColumn("size", F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + c["n"])), "counts")
+    want = F.greatest(F.lit(1), F.least("want", "size")).cast("int").alias("want")
+    state = plans.join(counts, "filter").select("plan", "filter", "moods", "instruments", "energies", want).withColumn("targets", requests.resampled(F.col("energies"), F.col("want")))
+    state = state.select("plan", "filter", "want", "targets", "moods", "instruments", F.array().cast("array<struct<track_id:bigint,cell:bigint>>").alias("used"), F.lit(None).cast("double").alias("prev_bpm"), F.lit(None).cast("struct<n:int,ring:string>").alias("prev_place"))
+    state = saved(state, "state")
+    for i in range(state.agg(F.max("want")).first()[0] or 0):
+        now = state.filter(F.col("want") > i).withColumn("target", F.get("targets", F.lit(i)))
+        probes = now.join(counts.select("filter", "cells"), "filter").withColumn("cell", F.explode(_nearest_cells(F.col("cells"), F.col("used"), F.col("target"))))
+        probes = probes.join(places.select("filter", "cell", "class", "parts"), ["filter", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        asked = probes.select("plan", "class", "cell", "part", "target", "prev_bpm", "prev_place", F.col("moods").alias("want_moods"), F.col("instruments").alias("want_instruments"), F.transform("used", lambda u: u["track_id"]).alias("gone"))
+        rows = t.join(bounded(asked), ["class", "cell", "part"]).filter(~F.array_contains("gone", F.col("track_id")))
+        best = rows.groupBy("plan").agg(F.min_by(F.struct("track_id", "cell", "bpm", "place"), _step_key()).alias("b"))
+        found = F.when(F.col("b").isNull(), F.col("used")).otherwise(F.concat("used", F.array(F.struct("b.track_id", "b.cell"))))
+        kept = ["plan", "filter", "want", "targets", "moods", "instruments"]
+        after = saved(state.join(best, "plan", "left").select(*kept, found.alias("used"), F.coalesce("b.bpm", "prev_bpm").alias("prev_bpm"), F.coalesce("b.place", "prev_place").alias("prev_place")), "state")
+        discard(state)
+        state = after
+    sets = state.select("plan", "targets", F.posexplode("used").alias("position", "u")).select("plan", "position", F.col("u.track_id").alias("track_id"), F.get("targets", F.col("position")).alias("target"))
+    return parsed.select("request_id", "plan").join(sets, "plan").select("request_id", "position", "track_id", "target")
+
+
+def _posted(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tracks with class, cell and part, and the postings: class, cell, n tracks in so many parts, with the words and voices of the class.
+
+    A class is the set of genre words that meet the track's genre (either contains the other) with its voice and gender, so there are
+    few, however many genres there are. A class and cell of many tracks is dealt to parts of PART_ROWS.
     """
-    plans = requests.parsed(wishes).withColumn("want", F.coalesce("length", F.lit(default_length)))
-    t = tracks.withColumn("energy", F.coalesce("energy", F.lit(0.5))).withColumn("place", music.wheel_position(F.col("music_key")))
-    left = saved(_candidates(plans, t), "candidates")
-    size = left.groupBy("request_id").agg(F.count("*").alias("n"))
-    plans = saved(plans.join(size, "request_id").withColumn("want", F.greatest(F.lit(1), F.least("want", "n")).cast("int")).withColumn("targets", requests.resampled(F.col("energies"), F.col("want"))).select("request_id", "want", "targets"), "plans")
-    state = plans.select("request_id", F.lit(None).cast("double").alias("prev_bpm"), F.lit(None).cast("struct<n:int,ring:string>").alias("prev_place"))
-    chosen, steps = None, plans.agg(F.max("want")).first()[0] or 0
-    for i in range(steps):
-        now = plans.filter(F.col("want") > i).select("request_id", F.get("targets", F.lit(i)).alias("target")).join(state, "request_id")
-        rows = left.join(F.broadcast(now), "request_id")
-        if chosen is not None:
-            rows = rows.join(chosen.select("request_id", "track_id"), ["request_id", "track_id"], "left_anti")
-        far = F.when(F.col("prev_place").isNull(), 0.0).otherwise(music.harmonic_distance(F.col("prev_place"), F.col("place")))
-        key = F.struct(F.round(F.abs(F.col("energy") - F.col("target")), 3), F.round(-F.col("hits"), 3), F.round(far, 3), F.coalesce(F.abs(F.col("bpm") - F.col("prev_bpm")), F.lit(0.0)), F.col("track_id"))
-        best = rows.groupBy("request_id").agg(F.min_by(F.struct("track_id", "bpm", "place", "target", "prev_bpm", "prev_place"), key).alias("b"))
-        best = best.select("request_id", F.lit(i).alias("position"), F.col("b.track_id").alias("track_id"), F.col("b.target").alias("target"), F.coalesce("b.bpm", "b.prev_bpm").alias("prev_bpm"), F.coalesce("b.place", "b.prev_place").alias("prev_place"))
-        before, chosen = chosen, saved(best if chosen is None else chosen.unionByName(best), "set")
-        if before is not None:
-            discard(before)
-        state = chosen.filter(F.col("position") == i).select("request_id", "prev_bpm", "prev_place")
-    if chosen is None:
-        return plans.select("request_id", F.lit(0).alias("position"), F.lit(0).cast("long").alias("track_id"), F.lit(0.0).alias("target")).limit(0)
-    return chosen.select("request_id", "position", "track_id", "target")
-
-
-def _candidates(plans: DataFrame, t: DataFrame) -> DataFrame:
-    """Tracks of each wish after the filters that leave something, with the share of its moods and instruments that a track has."""
-    p = F.broadcast(plans.select("request_id", "genres", "vocal", "gender", F.col("moods").alias("want_moods"), F.col("instruments").alias("want_instruments"), "want"))
-    named = t.withColumnRenamed("vocal", "has_vocal").withColumnRenamed("gender", "has_gender")
-    rows = named.crossJoin(p).drop("want")
     genre = F.lower("genre")
-    in_genre = F.coalesce(F.exists("genres", lambda g: genre.contains(g) | g.contains(genre)), F.lit(False))
-    rows = _unless_empty(rows, in_genre, F.size("genres") > 0)
-    voice = F.when(F.col("gender").isNotNull(), F.col("has_gender") == F.col("gender")).otherwise(F.col("has_vocal").isin("uncertain") | (F.col("has_vocal") == F.col("vocal")))
-    rows = _unless_empty(rows, F.coalesce(voice, F.lit(False)), F.col("gender").isNotNull() | F.col("vocal").isNotNull())
+    words = F.filter(F.array(*[F.lit(w) for w in requests.GENRE_WORDS]), lambda w: F.coalesce(genre.contains(w) | w.contains(genre), F.lit(False)))
+    sung = F.when(F.col("vocal") == "uncertain", F.array(F.lit("vocal"), F.lit("instrumental"))).when(F.col("vocal").isin("vocal", "instrumental"), F.array("vocal")).otherwise(F.array().cast("array<string>"))
+    voices = F.concat(F.array(F.lit(ANY)), sung, F.when(F.col("gender").isin("female", "male"), F.array("gender")).otherwise(F.array().cast("array<string>")))
+    energy = F.nanvl(F.coalesce("energy", F.lit(0.5)), F.lit(0.5))
+    t = tracks.filter("track_id is not null").select(F.col("track_id").cast("long").alias("track_id"), energy.alias("energy"), "bpm", music.wheel_position(F.col("music_key")).alias("place"), "moods", "instruments", F.struct(words.alias("words"), voices.alias("voices")).alias("kind"))
+    t = saved(t.withColumn("class", F.to_json("kind")).withColumn("cell", F.floor(F.col("energy") * CELLS)), "tracks")
+    posted = t.groupBy("class", "cell").agg(F.first("kind").alias("kind"), F.count("*").alias("n"))
+    posted = saved(posted.select("class", "cell", "n", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"), "kind.words", "kind.voices"), "postings")
+    if posted.filter("parts > 1").isEmpty():
+        return t.drop("kind").withColumn("part", F.lit(0)), posted
+    dealt = t.drop("kind").join(bounded(posted.select("class", "cell", "parts")), ["class", "cell"])
+    return saved(dealt.withColumn("part", F.pmod(F.xxhash64("track_id"), F.col("parts")).cast("int")).drop("parts"), "tracks"), posted
+
+
+def _allowed(filters: DataFrame, posted: DataFrame) -> DataFrame:
+    """filter, class, cell, n, parts: the postings that each filter (filter, genres, voice) leaves. Wishes meet classes by genre word."""
+    classes = posted.groupBy("class").agg(F.first("words").alias("words"), F.first("voices").alias("voices"))
+    by_word = classes.select("class", "voices", F.explode(F.concat("words", F.array(F.lit(ANY)))).alias("word"))
+    asked = filters.select("filter", "voice", F.explode(F.concat("genres", F.array(F.lit(ANY)))).alias("word"))
+    met = asked.join(by_word, "word").groupBy("filter", "voice", "class").agg(F.first("voices").alias("voices"), F.max(F.col("word") != ANY).alias("named"))
+    own = Window.partitionBy("filter")
+    met = met.withColumn("some", F.max("named").over(own)).filter("named or not some")
+    met = met.withColumn("sings", F.expr("array_contains(voices, voice)")).withColumn("some", F.max("sings").over(own)).filter("sings or not some")
+    return met.select("filter", "class").join(posted.select("class", "cell", "n", "parts"), "class")
+
+
+def _nearest_cells(cells: Column, used: Column, target: Column) -> Column:
+    """Cells that may hold the unused track nearest to a target: no farther off than the far end of the best cell with one left.
+
+    Gaps are compared in thousandths, so cells up to one more than that are opened.
+    """
+    low, high = (lambda c: c["cell"] / CELLS), (lambda c: (c["cell"] + 1) / CELLS)
+    left = F.filter(cells, lambda c: c["n"] > F.size(F.filter(used, lambda u: u["cell"] == c["cell"])))
+    reach = F.array_min(F.transform(left, lambda c: F.greatest(F.abs(low(c) - target), F.abs(high(c) - target)))) + 1.1 / CELLS
+    near = once(reach, lambda r: F.filter(cells, lambda c: F.greatest(low(c) - target, target - high(c)) <= r))
+    return F.transform(near, lambda c: c["cell"])
+
+
+def _step_key() -> Column:
+    """What a step prefers in a track for a plan, least first."""
     wanted = F.size("want_moods") + F.size("want_instruments")
     empty = F.array().cast("array<string>")
     hit = F.size(F.array_intersect("want_moods", F.coalesce("moods", empty))) + F.size(F.array_intersect("want_instruments", F.coalesce("instruments", empty)))
-    return rows.select("request_id", "energy", "track_id", "bpm", "place", F.when(wanted > 0, hit / wanted).otherwise(0.0).alias("hits"))
-
-
-def _unless_empty(rows: DataFrame, ok, asked) -> DataFrame:
-    """Rows that satisfy ok, for the requests that ask for it and have any such row."""
-    some = rows.filter(asked & ok).select("request_id").distinct().withColumn("_some", F.lit(True))
-    marked = rows.join(F.broadcast(some), "request_id", "left")
-    return marked.filter(F.col("_some").isNull() | ok).drop("_some")
+    share = F.when(wanted > 0, hit / wanted).otherwise(0.0)
+    far = F.when(F.col("prev_place").isNull(), 0.0).otherwise(music.harmonic_distance(F.col("prev_place"), F.col("place")))
+    return F.struct(F.round(F.abs(F.col("energy") - F.col("target")), 3), F.round(-share, 3), F.round(far, 3), F.coalesce(F.abs(F.col("bpm") - F.col("prev_bpm")), F.lit(0.0)), F.col("track_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crate.functions import music, names, requests
 from crate.functions import vectors as fv
 from crate.operators import groups, signal, taxonomy, walks
-from crate.plans.library import A, ANALYSIS, G, GENRES, T, TRACKS, view
+from crate.plans.library import A, ANALYSIS, G, GENRES, T, TRACKS, _wheel_sql, view
 from crate.plans.vectors import tracks
 from crate.storage import saved, shared_dir
 from crate.streaming import streams
@@ -202,6 +202,33 @@ def set_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.build_sets(view(spark, sf_dir, WISHES), a, default_length=8)
 
 
+#: A wish for each customer, of five kinds and some lengths, and what tracks are like beside their analysis.
+ASKED = "select c_custkey as request_id, concat(case c_custkey % 5 when 0 then 'start slow and deep, build up to peak, then wind down' when 1 then 'warm chilled sunset trance session' when 2 then 'build to 124-128 bpm tech house, 6 tracks' when 3 then 'punchy energetic female vocal' else 'steady groovy instrumental with piano' end, ', ', 3 + c_custkey % 4, ' tracks') as text from {customer}"
+LIKE = """select p_partkey as track_id, case p_partkey % 7 when 0 then 'Deep House' when 1 then 'Tech House' when 2 then 'Techno' when 3 then 'Ambient' when 4 then 'House' end as genre,
+case p_partkey % 4 when 0 then 'vocal' when 1 then 'instrumental' when 2 then 'uncertain' end as vocal, case p_partkey % 8 when 0 then 'female' when 4 then 'male' end as gender,
+case p_partkey % 3 when 0 then 'warm' when 1 then 'deep' else 'groovy' end as mood, case p_partkey % 5 when 0 then 'energetic' else 'dark' end as mood2, case when p_partkey % 6 = 0 then 'Piano' end as instrument from {part}"""
+
+
+@query(f"""with recursive t as (select track_id, energy, bpm, {_wheel_sql('music_key')} as n, music_key like '%maj' as ring, lower(genre) as genre, vocal, gender, [mood, mood2, instrument] as has from {A} join ({LIKE.format(part='part')}) using (track_id)),
+k(kind, wanted, arc) as (values (0, ['deep'], [0.2, 0.46, 0.72, 0.72, 0.46, 0.2]::double[]), (1, ['warm'], [0.2, 0.2, 0.2, 0.2, 0.2, 0.2]), (2, []::varchar[], [0.5, 0.57, 0.64, 0.71, 0.78, 0.85]), (3, ['energetic'], [0.5, 0.57, 0.64, 0.71, 0.78, 0.85]), (4, ['groovy', 'Piano'], [0.5, 0.5, 0.5, 0.5, 0.5, 0.5])),
+c as (select kind, track_id, energy, bpm, n, ring, case when len(wanted) = 0 then 0.0 else round(-len(list_intersect(wanted, has))::double / len(wanted), 3) end as hits from k, t where case kind when 2 then genre like '%house%' when 3 then gender = 'female' when 4 then vocal in ('instrumental', 'uncertain') else true end),
+w as (select c_custkey as request_id, c_custkey % 5 as kind, case c_custkey % 5 when 2 then 6 else 3 + c_custkey % 4 end as want from customer),
+p as (select distinct kind, want from w), m as (select kind, want, i, i * 5.0::double / (want - 1) as pos from p, range(0, 6) r(i) where i < want),
+g as (select kind, want, i, round(arc[floor(pos)::int + 1] * (1 - (pos - floor(pos))) + arc[least(floor(pos)::int + 1, 5) + 1] * (pos - floor(pos)), 4) as target from m join k using (kind)),
+s as (select kind, want, -1::bigint as position, null::bigint as track_id, null::double as target, []::bigint[] as used, null::double as bpm, null::bigint as n, null::boolean as ring from p
+union all select kind, want, position, track_id, target, list_append(used, track_id), bpm, n, ring from (
+select s.kind, s.want, g.i as position, c.track_id, g.target, s.used, c.bpm, c.n, c.ring, row_number() over (partition by s.kind, s.want order by round(abs(c.energy - g.target), 3), c.hits,
+case when s.n is null then 0.0 when s.n = c.n or (s.ring = c.ring and least((s.n - c.n + 12) % 12, (c.n - s.n + 12) % 12) = 1) then 0.0 else round(least(1.0::double, least((s.n - c.n + 12) % 12, (c.n - s.n + 12) % 12) / 6.0::double + case when s.ring = c.ring then 0.0 else 0.25 end), 3) end, coalesce(abs(c.bpm - s.bpm), 0.0), c.track_id) as nth
+from s join g on g.kind = s.kind and g.want = s.want and g.i = s.position + 1 join c on c.kind = s.kind where not list_contains(s.used, c.track_id)) where nth = 1)
+select request_id, position, track_id, target from w join s using (kind, want) where position >= 0""")
+def set_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set for each customer's wish, from all parts as tracks; a wish for a genre that no track has is free of it."""
+    like = view(spark, sf_dir, LIKE)
+    like = like.select("track_id", "genre", "vocal", "gender", F.array("mood", "mood2").alias("moods"), F.array_compact(F.array("instrument")).alias("instruments"))
+    t = view(spark, sf_dir, ANALYSIS).select("track_id", "energy", "bpm", "music_key").join(like, "track_id")
+    return walks.build_sets(view(spark, sf_dir, ASKED), t).withColumn("position", F.col("position").cast("long"))
+
+
 @query(r"""with p as (select page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1) as cells from pages),
 c as (select page_id, i, left(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(cells[i], '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), 200) as t from p, range(1, 400) r(i) where i <= len(cells)),
 d as (select page_id, t, min(i) as i from c where length(t) >= 12 group by all), n as (select *, row_number() over (partition by page_id order by i) as nth from d) select page_id, nth, t as snippet from n where nth <= 6""")

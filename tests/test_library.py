@@ -83,6 +83,30 @@ def test_sets_look_at_every_candidate(spark):
         assert got[p.request_id] == used, p.text
 
 
+def test_sets_open_few_cells(spark, monkeypatch):
+    """A third of all tracks in one cell, dealt to parts; the cells that a step opens hold the nearest track left; what is no track; no tracks."""
+    monkeypatch.setattr(walks, "PART_ROWS", 7)
+    rng = random.Random(5)
+    rows = [(i, None if i % 3 == 0 else float("nan") if i % 50 == 1 else rng.choice([-0.4, 0.0, 1.0, 3.25, rng.random(), rng.randrange(40) / 40]), 120.0 + i % 5, rng.choice(["A min", "D maj"])) for i in range(400)]
+    rows += [(None, 0.5, 120.0, "A min")]
+    t = spark.createDataFrame(rows, "track_id long, energy double, bpm double, music_key string")
+    t = t.selectExpr("*", "cast(null as string) as genre", "cast(null as string) as vocal", "cast(null as string) as gender", "cast(null as array<string>) as moods", "cast(null as array<string>) as instruments")
+    wishes = spark.createDataFrame([(1, "steady, 30 tracks"), (2, "start slow, build up to peak, then wind down, 40 tracks"), (3, "steady, 30 tracks"), (4, "techno, 500 tracks")], "request_id long, text string")
+    energy = {r[0]: 0.5 if r[1] is None or r[1] != r[1] else r[1] for r in rows if r[0] is not None}
+    got = {}
+    for r in walks.build_sets(wishes.filter("request_id < 4"), t).orderBy("request_id", "position").collect():
+        got.setdefault(r.request_id, []).append((r.track_id, r.target))
+    assert got[1] == got[3] and [len(got[k]) for k in (1, 2)] == [30, 40]
+    for took in got.values():
+        left = dict(energy)
+        for track, target in took:
+            assert round(abs(left[track] - target) + 1e-9, 3) == min(round(abs(e - target) + 1e-9, 3) for e in left.values())
+            del left[track]
+    few = walks.build_sets(wishes, t.limit(0))
+    assert few.count() == 0 and few.columns == ["request_id", "position", "track_id", "target"]
+    assert walks.build_sets(wishes.filter("request_id = 4"), t.filter("track_id < 9")).count() == 9
+
+
 def test_radio(spark):
     rows = [(i, [1.0, 0.02 * i, 0.0, 0.0]) for i in range(3)] + [(3 + i, [0.0, 0.0, 1.0, 0.02 * i]) for i in range(3)]
     items = spark.createDataFrame(rows, "item_id long, vector array<double>")
