@@ -163,40 +163,18 @@ def windows(tracks: DataFrame, size: float, hop: float, least_fill: float = 0.4,
 
 
 def mel_filters(bands: int, frame: int, sr: int) -> list[tuple[int, int, float]]:
-    """(band, bin, weight) of triangles that are even on the mel scale, from 0 Hz to half the rate."""
+    """(band, bin, weight) of triangles between bins that are even on the mel scale, from 0 Hz to half the rate."""
     mel, hz = (lambda f: 2595 * np.log10(1 + f / 700)), (lambda m: 700 * (10 ** (m / 2595) - 1))
-    edges = hz(np.linspace(0, mel(sr / 2), bands + 2))
-    freqs = np.arange(frame // 2 + 1) * sr / frame
-    out = []
+    last = frame // 2
+    edges = np.minimum(np.floor((frame + 1) * hz(np.linspace(0, mel(sr / 2), bands + 2)) / sr), last)
+    bins, out = np.arange(last + 1), []
     for b in range(bands):
         lo, mid, hi = edges[b : b + 3]
-        w = np.minimum((freqs - lo) / max(mid - lo, 1e-9), (hi - freqs) / max(hi - mid, 1e-9))
+        w = np.minimum((bins - lo) / max(mid - lo, 1e-9), (hi - bins) / max(hi - mid, 1e-9))
         out += [(b, int(i), float(w[i])) for i in np.flatnonzero(w > 0)]
     return out
 
 
-def descriptor(frames: DataFrame, frame: int, sr: int, bands: int = 40) -> DataFrame:
-    """track_id, vector: mean and spread of log-mel bands, centroid, bandwidth and 85 % roll-off over a track's frames."""
-    spark = frames.sparkSession
-    filters = spark.createDataFrame(mel_filters(bands, frame, sr), "band int, i int, w double")
-    bins = frames.select("track_id", "frame_idx", F.posexplode("mag").alias("i", "x"))
-    mel = bins.join(F.broadcast(filters), "i").groupBy("track_id", "frame_idx", "band").agg(F.log1p(F.sum(F.col("x") * F.col("w"))).alias("v"))
-    f = F.col("i") * F.lit(sr / frame)
-    each = Window.partitionBy("track_id", "frame_idx")
-    total, upto = F.sum("x").over(each), F.sum("x").over(each.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    shape = bins.withColumn("f", f).withColumn("total", total).withColumn("upto", upto)
-    per = shape.groupBy("track_id", "frame_idx").agg(
-        F.sum(F.col("f") * F.col("x")).alias("fx"), F.sum(F.col("f") * F.col("f") * F.col("x")).alias("ffx"), F.max("total").alias("t"), F.min(F.when(F.col("upto") >= 0.85 * F.col("total"), F.col("f"))).alias("roll")
-    )
-    safe = F.greatest(F.col("t"), F.lit(1e-9))
-    centre = F.col("fx") / safe
-    width = F.sqrt(F.greatest(F.col("ffx") / safe - centre * centre, F.lit(0.0)))
-    rest = per.select("track_id", "frame_idx", F.inline(F.array(*[F.struct(F.lit(bands + k).alias("band"), v.alias("v")) for k, v in enumerate((centre, width, F.coalesce("roll", F.lit(0.0))))])))
-    stat = mel.unionByName(rest).groupBy("track_id", "band").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    got = stat.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("band", "m", "s"))).alias("r"))
-    return got.select("track_id", F.concat(F.transform("r", lambda r: r["m"]), F.transform("r", lambda r: r["s"])).alias("vector"))
-
-
 def even_windows(tracks: DataFrame, size: float, most: int = 24) -> DataFrame:
     """track_id, nth, start, end: windows side by side over a whole track (track_id, duration), the last one flush with its end.
 

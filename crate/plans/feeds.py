@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crate.operators import classify, metadata, signal
+from crate.operators import classify, metadata, pcm, signal
 from crate.plans.library import view
 from crate.plans.sound import EDGES, EDGES_SQL, _streamed
 from crate.plans.vectors import tracks
@@ -142,6 +142,45 @@ def stft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("track_id", "frame_idx", F.posexplode("mag").alias("bin", "mag")).select("track_id", "frame_idx", F.col("bin").cast("long").alias("bin"), F.round("mag", 5).alias("mag"))
 
 
+#: Tracks of five vectors' values each, with silence where one is missing, in frames of 32 values, 16 apart.
+PIECED = """p as (select vec_id // 5 as track_id, (vec_id % 5) * 64 as start, embedding::DOUBLE[] as e from embeddings where embedding is not null), l as (select track_id, max(start) + 64 as size from p group by all),
+x as (select track_id, start + i as pos, e[i + 1] as v from p, range(0, 64) r(i)), f as (select track_id, f, f * 16 + n as pos, n from l, range(0, 19) f(f), range(0, 32) n(n) where f * 16 + 32 <= size),
+y as (select f.track_id, f, n, coalesce(v, 0.0) as v from f left join x on x.track_id = f.track_id and x.pos = f.pos),
+c as (select track_id, f, k, v * (0.5 - 0.5 * cos(2 * pi() * n / 31)) as y, 2 * pi() * k * n / 32 as a from y, range(0, 17) k(k)),
+m as (select track_id, f, k, sqrt(pow(sum(y * cos(a)), 2) + pow(sum(y * sin(a)), 2)) as mag from c group by all)"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pieces of tracks, each cut in two once more."""
+    start = F.expr("(track_id % 5) * 64")
+    v = _vectors(spark, sf_dir).select(F.expr("track_id div 5").alias("track_id"), start.alias("offset"), "vector")
+    halves = F.inline(F.array(*[F.struct((F.col("offset") + a).alias("offset"), F.slice("vector", a + 1, n).alias("samples")) for a, n in ((0, 23), (23, 41))]))
+    return v.select("track_id", halves)
+
+
+@query(f"with {PIECED} select track_id, f as frame_idx, k as bin, round(mag, 5) as mag from m")
+def pieced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames over the borders of pieces."""
+    f = pcm.stft(_pieces(spark, sf_dir), 32, 16, 48)
+    return f.select("track_id", "frame_idx", F.posexplode("mag").alias("bin", "mag")).select("track_id", "frame_idx", F.col("bin").cast("long").alias("bin"), F.round("mag", 5).alias("mag"))
+
+
+@query(f"""with {PIECED}, e as (select b, least(floor(33 * 700 * (pow(10, log10(1 + 500 / 700.0) * b / 7) - 1) / 1000), 16) as edge from range(0, 8) r(b)),
+t as (select a.b as b, k, least((k - a.edge) / greatest(m.edge - a.edge, 1e-9), (z.edge - k) / greatest(z.edge - m.edge, 1e-9)) as w from e a join e m on m.b = a.b + 1 join e z on z.b = a.b + 2, range(0, 17) k(k)),
+mel as (select track_id, f, b, ln(1 + sum(case when w > 0 then mag * w else 0 end)) as v from m join t using (k) group by all),
+q as (select *, mag + 1e-10 as p, k * 1000 / 32.0::double as hz, sum(mag + 1e-10) over (partition by track_id, f order by k) as upto, sum(mag + 1e-10) over (partition by track_id, f) as total from m),
+s as (select track_id, f, sum(p * hz) / sum(p) as centre, min(hz) filter (upto >= 0.85 * total) as roll from q group by all),
+d as (select q.track_id, q.f, any_value(centre) as centre, sqrt(sum(p * (hz - centre) ** 2) / sum(p)) as width, any_value(roll) as roll from q join s on s.track_id = q.track_id and s.f = q.f group by all),
+r as (select track_id, f, avg((sign(v) <> sign(before))::int) filter (n > 0) as cross_rate, sqrt(avg(v * v)) as rms from (select *, lag(v) over (partition by track_id, f order by n) as before from y) group by all),
+u as (select track_id, b as k, v from mel union all select track_id, 6, centre from d union all select track_id, 7, width from d union all select track_id, 8, roll from d union all select track_id, 9, cross_rate from r union all select track_id, 10, rms from r),
+g as (select track_id, k, avg(v) as a, stddev_pop(v) as z from u group by all), h as (select track_id, case when k < 6 then k else 2 * k end as i, a as x from g union all select track_id, case when k < 6 then k + 6 else 2 * k + 1 end, z from g)
+select track_id, i, round(x / sqrt(sum(x * x) over (partition by track_id)), 5) as x from h""")
+def spectral_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors of tracks in pieces, with six bands."""
+    v = pcm.descriptor(_pieces(spark, sf_dir), 1000, 32, 16, 6, 48)
+    return v.select("track_id", F.posexplode("vector").alias("i", "x")).select("track_id", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
+
+
 @query("select distinct concat(user_id, '-', event_type) as content_hash from events")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of imports: one row of each content."""
