@@ -78,16 +78,16 @@ def running_names(groups: DataFrame) -> DataFrame:
     return rows.filter("genre is null").select("cluster", F.concat_ws(" ", "major", F.col("k").cast("string")).alias("name"))
 
 
-def by_sound(vectors: DataFrame, tags: DataFrame, groups: int = 14) -> DataFrame:
+def by_sound(vectors: DataFrame, tags: DataFrame, groups: int = 14, space: DataFrame | None = None) -> DataFrame:
     """track_id, major, genre of a library in which no track has a genre of its own: groups by sound, named by the votes of their tracks' tags.
 
-    vectors: track_id, vector; tags: track_id, genre, some a track. Groups without any vote are Electronic; those without a genre inside
+    vectors: track_id, vector; tags: track_id, genre, some a track; space: track_id, vector, if not the reduced space is to be taken. Groups without any vote are Electronic; those without a genre inside
     their major have the major and a number.
     """
     from crate.operators.groups import kmeans, reduced
 
-    space = reduced(vectors.withColumnRenamed("track_id", "item_id"))
-    found = saved(kmeans(space, groups).withColumnRenamed("item_id", "track_id"), "sound")
+    space = reduced(vectors.withColumnRenamed("track_id", "item_id")) if space is None else space.withColumnRenamed("track_id", "item_id")
+    found = saved((kmeans(space, groups) if groups > 1 else space.select("item_id", F.lit(0).alias("cluster"))).withColumnRenamed("item_id", "track_id"), "sound")
     votes = found.join(tags, "track_id").select("cluster", music.major_of(F.col("genre")).alias("major"), music.clean_genre(F.col("genre")).alias("genre"))
     firsts = found.groupBy("cluster").agg(F.min("track_id").alias("first_track"))
     named = saved(firsts.join(vote_names(votes), "cluster", "left").withColumn("major", F.coalesce("major", F.lit("Electronic"))), "names")  # a row a group

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crate.operators import metadata, understanding
+from crate.operators import autosort, metadata, understanding
 from crate.plans.library import A, ANALYSIS, MOOD_ROWS, T, TRACKS, view
 from crate.plans.vectors import tracks
 
@@ -131,3 +131,55 @@ def auto_organize(spark: SparkSession, sf_dir: str) -> DataFrame:
 select major, sub, count(*) as n from b group by all union all select major, '', count(*) from b group by all""")
 def genre_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.tree_of(_organised(spark, sf_dir)).select("major", F.coalesce("sub", F.lit("")).alias("sub"), "n")
+
+
+#: The same with tags on a third of the tracks, each genre named by its own words.
+_TAGGED = _ORGANISED.replace(_MEANS, _MEANS + ", (10, 'House', 'House', 118, 130, false), (11, 'Techno', 'Techno', 125, 140, false), (12, 'Ambient', 'Ambient', 0, 110, false), (13, 'Disco', 'Disco', 108, 130, false)").replace(
+    "l as (",
+    "l as (select track_id, 0 as i, case track_id % 5 when 0 then 10 when 1 then 11 else 12 end as k from x where track_id % 3 = 1 and track_id % 5 in (0, 1, 3) union all select track_id, 1, 13 from x where track_id % 3 = 1 and track_id % 5 = 3 union all ",
+)
+_SUBS = "b as (select track_id, major, case when genre = '' then concat(major, ' - Unsorted') else genre end as sub, confidence from placed)"
+
+
+def _sorted(spark: SparkSession, sf_dir: str, own_space: bool) -> autosort.Sorted:
+    t = tracks(spark, sf_dir).filter("vector is not null").select(F.col("item_id").alias("track_id"), "vector", "genre_id", F.concat(F.lit("/in/"), F.col("item_id").cast("string"), F.lit("/"), (F.col("item_id") % 50).cast("string"), F.lit(".mp3")).alias("path"))
+    names = F.array(*[F.lit(x) for x in _NAMES])
+    said = lambda k: F.get(names, (F.col("genre_id") + k).cast("int") % 10)
+    identities = t.filter("track_id % 3 = 0 and genre_id is not null").select("track_id", F.array(said(0), said(3)).alias("genres"))
+    k, words = F.col("track_id") % 5, lambda *w: F.array(*[F.lit(x) for x in w])
+    heard = F.when(k == 0, words("Music", "House music", "Electronic music")).when(k == 1, words("Techno")).when(k == 2, words("Dance music")).when(k == 3, words("Ambient music", "Disco")).otherwise(words())
+    tags = t.filter("track_id % 3 < 2").select("track_id", F.when((F.col("track_id") % 3 == 1) | F.col("genre_id").isNotNull(), heard).alias("genres"))
+    genres = spark.sql("select * from values (1L, 'House', null, 'genre'), (2L, 'My Sound', 1L, 'subgenre'), (7L, 'Forgotten', 1L, 'subgenre') as t(genre_id, name, parent_id, level)")
+    taught = t.filter("track_id % 50 = 7").select(F.lit(2).cast("long").alias("genre_id"), "track_id")
+    return autosort.auto_sorted(t.select("track_id", "path", "vector"), identities, tags, view(spark, sf_dir, ANALYSIS), genres, taught, least=0.2, root="/r", space=t.select("track_id", "vector") if own_space else None)
+
+
+def _by_name(found: autosort.Sorted, rows: DataFrame) -> DataFrame:
+    """rows with major and sub, the names of their genre and its parent."""
+    parents = found.genres.select(F.col("genre_id").alias("parent_id"), F.col("name").alias("major"))
+    return rows.join(found.genres.select("genre_id", F.col("name").alias("sub"), "parent_id").join(parents, "parent_id").drop("parent_id"), "genre_id")
+
+
+@query(f"""with {_TAGGED}, {_SUBS}, d as (select *, row_number() over (partition by major, sub, track_id % 50 order by track_id) - 1 as n from b)
+select track_id, major, sub, round(confidence, 6) as confidence, concat('/r/', major, '/', sub, '/', track_id % 50, case when n > 0 then concat(' (', n, ')') else '' end, '.mp3') as dest from d""")
+def sorted_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genre and destination of every track, filled by the vectors as they come."""
+    found = _sorted(spark, sf_dir, True)
+    rows = _by_name(found, found.assignments).join(found.plan, "track_id")
+    return rows.select("track_id", "major", "sub", F.round("confidence", 6).alias("confidence"), "dest")
+
+
+@query(f"""with {_TAGGED}, {_SUBS}, m as (select major, sub, i - 1 as i, avg(e[i]) as m from b join x using (track_id), range(1, 65) r(i) group by all)
+select major, sub, i, round(m / sqrt(sum(m * m) over (partition by major, sub)), 6) as x from m""")
+def sorted_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids of the genres that sorting makes."""
+    found = _sorted(spark, sf_dir, True)
+    rows = _by_name(found, found.centroids).select("major", "sub", F.posexplode("vector").alias("i", "x"))
+    return rows.select("major", "sub", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query()
+def sorted_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genre and destination of every track, filled by nearness in the reduced space."""
+    found = _sorted(spark, sf_dir, False)
+    return _by_name(found, found.assignments).join(found.plan, "track_id").select("track_id", "major", "sub", "confidence", "dest")
