@@ -72,6 +72,17 @@ def mean_vectors(rows: DataFrame, key: str, vec: str = "vector", unit: bool = Tr
     return gathered.select(F.col("key").alias(key), (l2_normalize(v) if unit else v).alias("vector"))
 
 
+def refreshed(centroids: DataFrame, exemplars: DataFrame, space: DataFrame) -> DataFrame:
+    """Centroids (genre_id, vector) after a change of space: means of the examples' vectors there.
+
+    exemplars: genre_id, track_id, a pair given twice counting once; space: track_id, vector. A genre none of whose examples has a vector keeps the centroid it had, if any.
+    """
+    from crate.sources.tables import replace_group
+
+    rows = exemplars.select("genre_id", "track_id").distinct().join(space.filter("vector is not null").select("track_id", "vector"), "track_id")
+    return replace_group(centroids.select("genre_id", "vector"), saved(mean_vectors(rows, "genre_id"), "centroids"), ["genre_id"])
+
+
 def elementwise_max(rows: DataFrame, key: str, vec: str = "vector") -> DataFrame:
     spread = rows.filter(F.col(vec).isNotNull()).select(key, F.posexplode(doubles(F.col(vec))).alias("i", "x"))
     tops = spread.groupBy(key, "i").agg(F.max("x").alias("m"))

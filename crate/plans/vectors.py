@@ -166,11 +166,31 @@ def band_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(other, "item_id").select(F.col("item_id").alias("a_id"), "b_id", F.inline(fv.band_breakdown(F.col("p"), F.col("q"))))
 
 
-@query(f"""with {X}, q as (select vec_id, list_transform(range(1, 9), lambda k: list_sum(e[8 * k - 7 : 8 * k]) / 8) as tags from x),
+#: The embedding beside the means of its eighths, at 0.6.
+_FUSED = """q as (select vec_id, list_transform(range(1, 9), lambda k: list_sum(e[8 * k - 7 : 8 * k]) / 8) as tags from x),
 n as (select vec_id, list_transform(e, lambda y: y / sqrt(list_sum(list_transform(e, lambda w: w * w)))) as a, list_transform(tags, lambda y: 0.6 * y / sqrt(list_sum(list_transform(tags, lambda w: w * w)))) as b from x join q using (vec_id)),
-f as (select vec_id, list_concat(a, b) as v from n) select vec_id as item_id, u.i - 1 as i, round(v[u.i] / sqrt(list_sum(list_transform(v, lambda w: w * w))), 6) as x from f, range(1, 73) u(i)""")
-def fused_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tracks(spark, sf_dir).filter("vector is not null")
+f as (select vec_id, list_concat(a, b) as v from n)"""
+
+
+def _fused(t: DataFrame) -> DataFrame:
     tags = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.aggregate(F.slice("vector", k * 8 + 1, 8), F.lit(0.0), lambda s, x: s + x) / 8)
-    fused = t.withColumn("tags", tags).select("item_id", fv.fuse([(F.col("vector"), 1.0, 64), (F.col("tags"), 0.6, 8)]).alias("v"))
+    return t.withColumn("tags", tags).select("item_id", "genre_id", fv.fuse([(F.col("vector"), 1.0, 64), (F.col("tags"), 0.6, 8)]).alias("v"))
+
+
+@query(f"""with {X}, {_FUSED} select vec_id as item_id, u.i - 1 as i, round(v[u.i] / sqrt(list_sum(list_transform(v, lambda w: w * w))), 6) as x from f, range(1, 73) u(i)""")
+def fused_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = _fused(tracks(spark, sf_dir).filter("vector is not null"))
     return fused.select("item_id", F.posexplode("v").alias("i", "y")).select("item_id", F.col("i").cast("long").alias("i"), F.round("y", 6).alias("x"))
+
+
+@query(f"""with {X}, {_FUSED}, u as (select label, u.i - 1 as i, v[u.i] / sqrt(list_sum(list_transform(v, lambda w: w * w))) as x from f join embeddings using (vec_id), range(1, 73) u(i) where vec_id % 3 = 0 and label % 4 <> 0),
+m as (select label, i, avg(x) as m from u group by all) select label::bigint as genre_id, i, round(m / sqrt(sum(m * m) over (partition by label)), 6) as x from m
+union all select distinct label::bigint, 0, 1.0 from embeddings where label is not null and label not in (select label from m)""")
+def fused_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids of the examples in the fused space; genres without examples keep theirs."""
+    t = tracks(spark, sf_dir)
+    fused = _fused(t.filter("vector is not null")).select(F.col("item_id").alias("track_id"), F.col("v").alias("vector"))
+    old = t.filter("genre_id is not null").select("genre_id").distinct().withColumn("vector", F.array(F.lit(1.0)))
+    given = t.filter("item_id % 3 = 0 and genre_id % 4 <> 0").select("genre_id", F.col("item_id").alias("track_id"))
+    rows = classify.refreshed(old, given, fused).select("genre_id", F.posexplode("vector").alias("i", "x"))
+    return rows.select("genre_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))

@@ -259,3 +259,11 @@ def test_styles_of_excerpts_are_those_of_their_mean(spark):
     p = spark.createDataFrame([(1, [0.9, 0.1, 0.2]), (1, [0.1, 0.3, 0.8]), (2, None), (3, [0.5, 0.5, 0.0])], "track_id long, probs array<double>")
     got = {r.track_id: [tuple(s) for s in r.styles] for r in classify.excerpt_styles(p, F.array(*[F.lit(x) for x in "abc"]), 2).collect()}
     assert got == {1: [("a", 0.5), ("c", 0.5)], 3: [("a", 0.5), ("b", 0.5)]}
+
+
+def test_centroids_refreshed_in_a_space(spark):
+    old = spark.createDataFrame([(1, [1.0]), (2, [1.0]), (3, [1.0])], "genre_id long, vector array<double>")
+    given = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 12), (4, 11), (5, 99)], "genre_id long, track_id long")
+    space = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, None)], "track_id long, vector array<double>")
+    got = {r.genre_id: [round(x, 6) for x in r.vector] for r in classify.refreshed(old, given, space).collect()}
+    assert got == {1: [0.707107, 0.707107], 2: [1.0], 3: [1.0], 4: [0.0, 1.0]}
