@@ -47,8 +47,11 @@ def playlist_name(name: Column) -> Column:
 
 
 def playlist_plan(ordered: DataFrame, root: str) -> DataFrame:
-    """playlist, track_id, dest: numbered copies in a folder for each playlist, from rows (playlist, track_id, path, position)."""
-    n = F.row_number().over(Window.partitionBy("playlist").orderBy("position"))
+    """playlist, track_id, dest: numbered copies in a folder for each playlist, from rows (playlist, track_id, path, position).
+
+    Equal positions go by track_id; tracks without one come last.
+    """
+    n = F.row_number().over(Window.partitionBy("playlist").orderBy(F.asc_nulls_last("position"), "track_id"))
     digits = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
     return ordered.select("playlist", "track_id", F.concat_ws("/", F.lit(root), playlist_name(F.col("playlist")), F.concat(digits, F.lit(" - "), music.base_name(F.col("path")))).alias("dest"))
 

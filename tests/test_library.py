@@ -205,3 +205,10 @@ def test_tiers_are_read_as_they_were_written(spark, tmp_path):
     nodes, edges = taxonomy_files.read_tiers(spark, *[str(tmp_path / n) for n in "abc"])
     assert {(r.name, r.description) for r in nodes.collect()} == {(f"g{k}", None if k % 2 else "d") for k in range(1, 250)}
     assert edges.count() == 249
+
+
+def test_playlist_ties_go_by_track(spark):
+    rows = [("p", t, f"/a/{t}.mp3", 1.0) for t in (9, 4, 7, 1)] + [("p", 3, "/a/3.mp3", None), ("p", 8, "/a/8.mp3", 0.5)]
+    df = spark.createDataFrame(rows, "playlist string, track_id long, path string, position double")
+    got = {r.track_id: r.dest.split("/")[-1] for r in organise.playlist_plan(df, "/lists").collect()}
+    assert got == {8: "001 - 8.mp3", 1: "002 - 1.mp3", 4: "003 - 4.mp3", 7: "004 - 7.mp3", 9: "005 - 9.mp3", 3: "006 - 3.mp3"}
