@@ -267,3 +267,11 @@ def test_centroids_refreshed_in_a_space(spark):
     space = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, None)], "track_id long, vector array<double>")
     got = {r.genre_id: [round(x, 6) for x in r.vector] for r in classify.refreshed(old, given, space).collect()}
     assert got == {1: [0.707107, 0.707107], 2: [1.0], 3: [1.0], 4: [0.0, 1.0]}
+
+
+def test_quantile_is_exact(spark):
+    values = [round(random.Random(5).random(), 6) for _ in range(1)] + [i / 1e6 for i in range(100_000, 140_000)]
+    rows = spark.createDataFrame([(v,) for v in values], "core double")
+    n = len(values)
+    assert groups.exact_quantile(rows, "core", 0.75) == sorted(values)[n - math.floor(n - 0.75 * n) - 1]
+    assert groups.exact_quantile(rows.filter("core < 0"), "core", 0.75) is None
