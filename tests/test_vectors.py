@@ -275,3 +275,32 @@ def test_quantile_is_exact(spark):
     n = len(values)
     assert groups.exact_quantile(rows, "core", 0.75) == sorted(values)[n - math.floor(n - 0.75 * n) - 1]
     assert groups.exact_quantile(rows.filter("core < 0"), "core", 0.75) is None
+
+
+def test_blocks_keep_the_best_whatever_is_asked(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(260, 6))
+    x[100:160] = x[7]  # copies
+    rows = [(i, v.tolist(), i // 4, float(i % 9), "ab"[i % 2]) for i, v in enumerate(x)] + [(260, [0.0] * 6, 65, 1.0, "a"), (261, [1.0, 2.0], 65, 2.0, "b")]
+    t = spark.createDataFrame(rows, "item_id long, vector array<double>, grp long, at double, kind string")
+    q = t.filter("item_id % 9 = 0 or item_id > 255").withColumnRenamed("item_id", "query_id")
+    monkeypatch.setattr(knn, "TASK_PAIRS", 2_000)
+    monkeypatch.setattr(knn, "HELD_SCORES", 500)
+    unit = [np.array(v) / max(np.linalg.norm(v), 1e-12) for _, v, *_ in rows]
+    for options in ({}, {"group": "grp"}, {"apart": ("at", 2.0)}, {"prefer": "kind"}, {"floor": 0.3}, {"skip_same_id": False}):
+        got = {}
+        for r in knn.top_k(q, t, 5, **options).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.item_id, r.score)
+        for a in (i for i in range(262) if i % 9 == 0 or i > 255):
+            all_ = []
+            for b in range(262):
+                s = round(float(unit[a] @ unit[b]), 6) if len(unit[a]) == len(unit[b]) else 0.0
+                if (a == b and options.get("skip_same_id", True)) or s < options.get("floor", -2) or ("apart" in options and abs(rows[a][3] - rows[b][3]) > 2):
+                    continue
+                all_.append((rows[a][4] != rows[b][4] if "prefer" in options else False, -s, b))
+            best, seen = [], set()
+            for _, s, b in sorted(all_):
+                if "group" not in options or rows[b][2] not in seen:
+                    seen.add(rows[b][2])
+                    best.append((b, pytest.approx(-s, abs=2e-6)))
+            assert [got.get(a, {})[k] for k in sorted(got.get(a, {}))] == best[:5], (options, a)
