@@ -277,6 +277,23 @@ def test_quantile_is_exact(spark):
     assert groups.exact_quantile(rows.filter("core < 0"), "core", 0.75) is None
 
 
+def test_calibrated_scores_equal_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(90)] + [(90, None), (91, [0.0] * 8), (92, [1.0] * 3)]
+    t = frame(spark, rows)
+    monkeypatch.setattr(knn, "TASK_PAIRS", 300)
+    got = {(r.query_id, r.item_id): r.z for r in knn.calibrated(t.filter("item_id % 10 = 0 or item_id > 89").withColumnRenamed("item_id", "query_id"), t, 0.5).collect()}
+    want = {}
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-12)
+    for q, a in rows:
+        if a is None or (q % 10 and q < 90):
+            continue
+        s = np.array([round(float(unit(a) @ unit(b)), 6) if len(a) == len(b) else 0.0 for _, b in rows if b is not None])
+        z = (s - s.mean()) / (s.std() or 1.0)
+        want |= {(q, i): x for i, x in zip([i for i, b in rows if b is not None], z, strict=True) if x >= 0.5}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=2e-6) for p in got)
+
+
 def test_blocks_keep_the_best_whatever_is_asked(spark, monkeypatch):
     rng = np.random.default_rng(22)
     x = rng.normal(size=(260, 6))
