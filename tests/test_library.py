@@ -212,3 +212,11 @@ def test_playlist_ties_go_by_track(spark):
     df = spark.createDataFrame(rows, "playlist string, track_id long, path string, position double")
     got = {r.track_id: r.dest.split("/")[-1] for r in organise.playlist_plan(df, "/lists").collect()}
     assert got == {8: "001 - 8.mp3", 1: "002 - 1.mp3", 4: "003 - 4.mp3", 7: "004 - 7.mp3", 9: "005 - 9.mp3", 3: "006 - 3.mp3"}
+
+
+def test_requests_of_one_file_are_read_by_several_tasks(spark):
+    rows = spark.range(400).coalesce(1).select(F.col("id").alias("request_id"), F.concat(F.lit("Deep House for 2 hours "), F.col("id").cast("string")).alias("text"))
+    got = requests.parsed(rows)
+    assert got.columns[:2] == ["request_id", "text"] and "_low" not in got.columns
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert {tuple(r.genres) for r in got.select("genres").collect()} == {("house", "deep house")}
