@@ -30,7 +30,7 @@ def read_tiers(spark: SparkSession, index: str, main: str, detailed: str) -> tup
     return nodes, edges
 
 
-def write_tier(genres: DataFrame, path: str, key: Column, width: int = 100) -> None:
+def write_tier(genres: DataFrame, path: str, key: Column, width: int = 10_000) -> None:
     """Genres (name, description, parents, children) as JSON files of at most `width` each, dealt by the long column key (0, 1, 2, ..)."""
     rows = genres.groupBy(F.floor(key / width).alias("_file")).agg(F.collect_list(F.struct("name", "description", "parents", "children")).alias("genres"))
     rows.select("genres").write.option("maxRecordsPerFile", 1).json(path)

@@ -220,3 +220,9 @@ def test_requests_of_one_file_are_read_by_several_tasks(spark):
     assert got.columns[:2] == ["request_id", "text"] and "_low" not in got.columns
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert {tuple(r.genres) for r in got.select("genres").collect()} == {("house", "deep house")}
+
+
+def test_tiers_take_few_files(spark, tmp_path):
+    rows = spark.range(25_000).selectExpr("id as k", "concat('g', id) as name", "'' as description", "array('up') as parents", "array() as children")
+    taxonomy_files.write_tier(rows, str(tmp_path / "t"), F.col("k"))
+    assert len(list((tmp_path / "t").glob("*.json"))) == 3  # 250 before
