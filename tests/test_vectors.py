@@ -321,3 +321,17 @@ def test_blocks_keep_the_best_whatever_is_asked(spark, monkeypatch):
                     seen.add(rows[b][2])
                     best.append((b, pytest.approx(-s, abs=2e-6)))
             assert [got.get(a, {})[k] for k in sorted(got.get(a, {}))] == best[:5], (options, a)
+
+
+def test_many_k_take_few_jobs_whatever_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([4 * c + 0.3 * rng.normal(size=(12, 6)) for c in rng.normal(size=(30, 6))])
+    t = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    monkeypatch.setattr(silhouette, "CENTRES", 40)  # ten scans of 26 steps each before
+    calls, met = [], silhouette._met
+    monkeypatch.setattr(silhouette, "_met", lambda *a: calls.append(0) or met(*a))
+    whole = silhouette.silhouettes(t, range(2, 30))[1]
+    assert len(calls) <= silhouette.STEPS + 2 and len(whole) == 28
+    monkeypatch.setattr(silhouette, "TASK", 70)  # several blocks of vectors
+    parts = silhouette.silhouettes(t, range(2, 30))[1]
+    assert parts.scores == pytest.approx(whole.scores, abs=1e-9)
