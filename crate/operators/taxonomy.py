@@ -100,7 +100,7 @@ def merge_duplicates(genres: DataFrame, weight: DataFrame) -> DataFrame:
 def moved(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows (genre_id, ...) under the genres that a merge (drop, keep) left."""
     to = mapping.select(F.col("drop").alias("genre_id"), F.col("keep").alias("_to"))
-    return rows.join(to, "genre_id", "left").select(*[F.coalesce("_to", "genre_id").alias(c) if c == "genre_id" else F.col(c) for c in rows.columns])
+    return rows.join(to.hint("merge"), "genre_id", "left").select(*[F.coalesce("_to", "genre_id").alias(c) if c == "genre_id" else F.col(c) for c in rows.columns])
 
 
 def merge_all(genres: DataFrame, assignments: DataFrame, exemplars: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +110,7 @@ def merge_all(genres: DataFrame, assignments: DataFrame, exemplars: DataFrame) -
     Names are compared without case and outer blanks. Of namesakes under one parent one that was there before the last merge stays rather than
     one that came with it, then one of level genre, then the one with most examples, then most tracks and children, then the least id; elsewhere
     examples, tracks and children, and the id decide. Each round merges at least one genre, all groups at once. Genres have one parent or null;
-    one that would become its own parent gets none.
+    one that would become its own parent gets none. Joins shuffle both sides: broadcasts of every round would all pass the driver.
     """
     held = saved(assignments.groupBy("genre_id").agg(F.count("*").alias("n")), "held")  # a row a genre
     examples = exemplars.select("genre_id", "track_id").distinct()
@@ -125,12 +125,12 @@ def merge_all(genres: DataFrame, assignments: DataFrame, exemplars: DataFrame) -
             if found.isEmpty():
                 break
             up = found.select(F.col("drop").alias("parent_id"), F.col("keep").alias("_to"))
-            left = tree.join(found.select(F.col("drop").alias("genre_id")), "genre_id", "left_anti").join(up, "parent_id", "left")
+            left = tree.join(found.select(F.col("drop").alias("genre_id")).hint("merge"), "genre_id", "left_anti").join(up.hint("merge"), "parent_id", "left")
             parent = F.coalesce("_to", "parent_id")
             left = left.withColumn("parent_id", F.when(parent != F.col("genre_id"), parent)).withColumn("_late", F.col("_to").isNotNull())
             tree = saved(left.select(*tree.columns), "genres")
             later = found.select(F.col("drop").alias("keep"), F.col("keep").alias("_to"))
-            mapping = saved(mapping.join(later, "keep", "left").select("drop", F.coalesce("_to", "keep").alias("keep")).unionByName(found), "merge")
+            mapping = saved(mapping.join(later.hint("merge"), "keep", "left").select("drop", F.coalesce("_to", "keep").alias("keep")).unionByName(found), "merge")
     return tree.drop("_late"), mapping
 
 
@@ -141,26 +141,26 @@ def _ranked(tree: DataFrame, held: DataFrame, examples: DataFrame) -> DataFrame:
     parts = parts.unionByName(tree.filter("parent_id is not null").groupBy(F.col("parent_id").alias("genre_id")).agg(F.count("*").alias("n")).withColumn("examples", none))
     sums = parts.groupBy("genre_id").agg(F.sum("examples").alias("examples"), F.sum("n").alias("n"))
     named = tree.select("genre_id", "parent_id", "level", "_late", F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("name"))
-    return named.join(sums, "genre_id", "left").withColumns({c: F.coalesce(c, none) for c in ("examples", "n")})
+    return named.join(sums.hint("merge"), "genre_id", "left").withColumns({c: F.coalesce(c, none) for c in ("examples", "n")})
 
 
 def _same_place(g: DataFrame) -> DataFrame:
     order = F.struct("_late", (~F.coalesce(F.col("level") == "genre", F.lit(False))).alias("l"), -F.col("examples"), -F.col("n"), "genre_id")
     best = g.groupBy(F.col("parent_id").alias("_p"), F.col("name").alias("_n")).agg(F.min_by("genre_id", order).alias("keep"), F.count("*").alias("_k")).filter("_k > 1")
-    rows = g.join(best, F.col("parent_id").eqNullSafe(F.col("_p")) & (F.col("name") == F.col("_n"))).filter("keep <> genre_id")
+    rows = g.join(best.hint("merge"), F.col("parent_id").eqNullSafe(F.col("_p")) & (F.col("name") == F.col("_n"))).filter("keep <> genre_id")
     return rows.select(F.col("genre_id").alias("drop"), "keep")
 
 
 def _like_parent(g: DataFrame) -> DataFrame:
     """Children named like their parent, the upper ones first: those whose parent goes itself wait."""
     p = g.select(F.col("genre_id").alias("parent_id"), F.col("name").alias("_n"))
-    found = g.join(p, "parent_id").filter("name = _n").select(F.col("genre_id").alias("drop"), F.col("parent_id").alias("keep"))
-    return found.join(found.select(F.col("drop").alias("keep")), "keep", "left_anti").select("drop", "keep")
+    found = g.join(p.hint("merge"), "parent_id").filter("name = _n").select(F.col("genre_id").alias("drop"), F.col("parent_id").alias("keep"))
+    return found.join(found.select(F.col("drop").alias("keep")).hint("merge"), "keep", "left_anti").select("drop", "keep")
 
 
 def _same_name(g: DataFrame) -> DataFrame:
     best = g.groupBy("name").agg(F.min_by("genre_id", F.struct(-F.col("examples"), -F.col("n"), "genre_id")).alias("keep"), F.count("*").alias("_k")).filter("_k > 1")
-    return g.join(best, "name").filter("keep <> genre_id").select(F.col("genre_id").alias("drop"), "keep")
+    return g.join(best.hint("merge"), "name").filter("keep <> genre_id").select(F.col("genre_id").alias("drop"), "keep")
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

@@ -207,3 +207,15 @@ def test_dumps_graphs_and_spaces(spark, tmp_path):
     nodes, edges = v.select("track_id"), v.select("track_id", "model")
     taxonomy_files.write_graph(nodes, edges, str(tmp_path / "graph"))
     assert [x.count() for x in taxonomy_files.read_graph(spark, str(tmp_path / "graph"))] == [2, 2]
+
+
+def test_merges_send_no_tables_to_the_driver(spark):
+    from crate.storage import saved
+
+    g = saved(spark.createDataFrame([(1, "a", None, "genre", False), (2, "a", 1, "genre", False), (3, "b", 1, "genre", False)], "genre_id long, name string, parent_id long, level string, _late boolean"), "genres")
+    held = saved(spark.createDataFrame([(1, 2)], "genre_id long, n long"), "held")
+    mapping = saved(spark.createDataFrame([(4, 1)], "drop long, keep long"), "merge")
+    ranked = taxonomy._ranked(g, taxonomy.moved(held, mapping), held.select("genre_id"))
+    for df in (ranked, taxonomy._same_place(ranked), taxonomy._like_parent(ranked), taxonomy._same_name(ranked)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
