@@ -9,7 +9,7 @@ from functools import cache, lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crate.llm.near_dedup import components
@@ -359,10 +359,12 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     distinct = signed.join(bounded(copies), "row", "left_anti").withColumnRenamed("row", "node")
 
     everyone = distinct.select("node", F.explode("keys").alias("bucket"))
+    shared = everyone.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).filter("m > 1")
+    shared = saved(shared, "shared")  # all keys move once, most of them have one node; what is left of them is small
     name = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"f{salt}") for salt in (1, 2)]
-    groups = everyone.groupBy("bucket").agg(F.count("*").alias("m"), *name).filter("m > 1")
-    buckets = saved(groups.groupBy("m", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "buckets")
-    members = saved(everyone.join(bounded(buckets), "bucket"), "members")
+    groups = shared.groupBy("bucket").agg(F.count("*").alias("m"), *name)
+    buckets = saved(groups.groupBy("m", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    members = saved(shared.join(bounded(buckets), "bucket"), "members")
     weight = saved(members.groupBy("node").agg(F.sum("m").alias("weight")), "weights")
     wanted = saved(distinct.select("node", "h1", "h2", "n").join(bounded(weight), "node"), "wanted")
     texts = keyed.join(bounded(wanted.select("node", "h1", "h2", "n")), ["h1", "h2"]).groupBy("node").agg(F.first("data").alias("data"))
@@ -374,7 +376,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
             yield pd.DataFrame({"node": batch["node"], "bitmap": maps, "tokens": [x.tobytes() for x in found]})
 
     sets = saved(texts.mapInPandas(releasing(whole, forget), "node long, bitmap binary, tokens binary"), "tokens")
-    discard(signed, copies, buckets, weight)
+    discard(signed, copies, shared, buckets, weight)
     settle(docs.sparkSession)
     bare = sets.select("node", "bitmap", F.lit(None).cast("binary").alias("tokens"))
     members = saved(members.join(bounded(wanted.select("node", "n", "weight")), "node"), "marked")

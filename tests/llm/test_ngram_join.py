@@ -122,3 +122,36 @@ def test_joined_links_as_few_as_connect():
     rows = pd.DataFrame([{"node": k, "label": k, "n": 99, "bitmap": ngram_join.signature(np.delete(base, k), 256).tobytes(), "tokens": np.delete(base, k).tobytes(), "out": k < 5} for k in range(30)])
     left, right = ngram_join.joined(rows)
     assert len(left) == len(right) == 29
+
+
+def test_keys_move_once(spark, monkeypatch):
+    """Keys of one node only are dropped after one shuffle, before groups with the same members are sought; the groups left are those of all keys."""
+    plans, tables, real = {}, {}, ngram_join.saved
+
+    def saved(df, tag):
+        plans.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString())
+        out = real(df, tag)
+        if tag in ("shared", "members"):
+            tables[tag] = [tuple(r) for r in out.select("node", "bucket", "m").collect()]
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", saved)
+    rng = random.Random(4)
+    base = ["w%d" % rng.randrange(900) for _ in range(60)]
+    rows = [(i, " ".join(edited(rng, base, i % 4))) for i in range(30)] + [(100 + i, f"one{i} two three four five{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ngram_join.jaccard_components(df)
+    assert [tag for tag, plan in plans.items() if "explode(" in plan.lower() and "keys" in plan] == ["shared"]
+    texts = {frozenset(shingles(t)) for _, t in rows}
+    nodes = {b: set() for _, b, _ in tables["shared"]}
+    for node, b, _ in tables["shared"]:
+        nodes[b].add(node)
+    assert all(m == len(nodes[b]) > 1 for _, b, m in tables["shared"])
+    groups = [frozenset(x) for x in nodes.values()]
+    left = {b for _, b, _ in tables["members"]}
+    assert len(left) == len(set(groups)) and {frozenset(nodes[b]) for b in left} == set(groups)
+    counts = {}
+    for found in {ngram_join.shingles(t.encode()).tobytes() for _, t in rows}:
+        for key in set(ngram_join.keys(np.frombuffer(found, np.uint64)).view(np.int64).tolist()):
+            counts[key] = counts.get(key, 0) + 1
+    assert {b: len(x) for b, x in nodes.items()} == {k: n for k, n in counts.items() if n > 1} and len(texts) > 20
