@@ -74,13 +74,14 @@ def build_sets(wishes: DataFrame, tracks: DataFrame, default_length: int = 12) -
     (all may be null). A filter that would leave nothing is ignored. Each step takes, of all tracks that the filters leave, the unused
     one with the least (energy gap, missing attributes, harmonic distance, tempo step, id); without tracks there are no rows.
 
-    Wishes that ask for the same are worked out once. Tracks are posted by class (what of a wish's filters they satisfy) and cell (a
+    A text is read once, however many wishes have it, and wishes that ask for the same are worked out once. Tracks are posted by class (what of a wish's filters they satisfy) and cell (a
     thousandth of energy). A step opens the cells around its target in which, by the counts of postings, an unused track may be
     nearest, so that it meets the tracks of a few cells instead of all; the result is that of all. State is a row for each different wish.
     """
-    parsed = requests.parsed(wishes).withColumn("want", F.coalesce("length", F.lit(default_length)))
+    wishes = wishes.select("request_id", F.coalesce("text", F.lit("")).alias("text"))
+    parsed = requests.parsed(wishes.select("text").distinct()).withColumn("want", F.coalesce("length", F.lit(default_length)))
     parsed = parsed.withColumn("plan", F.sha2(F.to_json(F.struct("genres", "vocal", "gender", "moods", "instruments", "energies", "want")), 256))
-    parsed = saved(parsed.select("request_id", "plan", "genres", F.coalesce("gender", "vocal", F.lit(ANY)).alias("voice"), "moods", "instruments", "energies", "want"), "wishes")
+    parsed = saved(parsed.select("text", "plan", "genres", F.coalesce("gender", "vocal", F.lit(ANY)).alias("voice"), "moods", "instruments", "energies", "want"), "wishes")
     t, posted = _posted(tracks)
     plans = parsed.dropDuplicates(["plan"]).withColumn("filter", F.to_json(F.struct("genres", "voice")))
     places = saved(_allowed(plans.select("filter", "genres", "voice").dropDuplicates(["filter"]), posted), "places")
@@ -103,27 +104,31 @@ def build_sets(wishes: DataFrame, tracks: DataFrame, default_length: int = 12) -
         discard(state)
         state = after
     sets = state.select("plan", "targets", F.posexplode("used").alias("position", "u")).select("plan", "position", F.col("u.track_id").alias("track_id"), F.get("targets", F.col("position")).alias("target"))
-    return parsed.select("request_id", "plan").join(sets, "plan").select("request_id", "position", "track_id", "target")
+    return wishes.join(bounded(parsed.select("text", "plan")), "text").select("request_id", "plan").join(bounded(saved(sets, "sets")), "plan").select("request_id", "position", "track_id", "target")
 
 
 def _posted(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tracks with class, cell and part, and the postings: class, cell, n tracks in so many parts, with the words and voices of the class.
 
     A class is the set of genre words that meet the track's genre (either contains the other) with its voice and gender, so there are
-    few, however many genres there are. A class and cell of many tracks is dealt to parts of PART_ROWS.
+    few, however many genres there are. It is worked out once for tracks of equal genre, voice and gender. A class and cell of many
+    tracks is dealt to parts of PART_ROWS.
     """
     genre = F.lower("genre")
     words = F.filter(F.array(*[F.lit(w) for w in requests.GENRE_WORDS]), lambda w: F.coalesce(genre.contains(w) | w.contains(genre), F.lit(False)))
     sung = F.when(F.col("vocal") == "uncertain", F.array(F.lit("vocal"), F.lit("instrumental"))).when(F.col("vocal").isin("vocal", "instrumental"), F.array("vocal")).otherwise(F.array().cast("array<string>"))
     voices = F.concat(F.array(F.lit(ANY)), sung, F.when(F.col("gender").isin("female", "male"), F.array("gender")).otherwise(F.array().cast("array<string>")))
     energy = F.nanvl(F.coalesce("energy", F.lit(0.5)), F.lit(0.5))
-    t = tracks.filter("track_id is not null").select(F.col("track_id").cast("long").alias("track_id"), energy.alias("energy"), "bpm", music.wheel_position(F.col("music_key")).alias("place"), "moods", "instruments", F.struct(words.alias("words"), voices.alias("voices")).alias("kind"))
-    t = saved(t.withColumn("class", F.to_json("kind")).withColumn("cell", F.floor(F.col("energy") * CELLS)), "tracks")
-    posted = t.groupBy("class", "cell").agg(F.first("kind").alias("kind"), F.count("*").alias("n"))
+    kind = F.struct(words.alias("words"), voices.alias("voices"))
+    kinds = saved(tracks.select("genre", "vocal", "gender").distinct().withColumn("class", F.to_json(kind)), "kinds").withColumnsRenamed({c: f"_{c}" for c in ("genre", "vocal", "gender")})
+    t = tracks.filter("track_id is not null").join(bounded(kinds), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("genre", "vocal", "gender")])
+    t = t.select(F.col("track_id").cast("long").alias("track_id"), energy.alias("energy"), "bpm", music.wheel_position(F.col("music_key")).alias("place"), "moods", "instruments", "class")
+    t = saved(t.withColumn("cell", F.floor(F.col("energy") * CELLS)), "tracks")
+    posted = t.groupBy("class", "cell").agg(F.count("*").alias("n")).withColumn("kind", F.from_json("class", "words array<string>, voices array<string>"))
     posted = saved(posted.select("class", "cell", "n", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"), "kind.words", "kind.voices"), "postings")
     if posted.filter("parts > 1").isEmpty():
-        return t.drop("kind").withColumn("part", F.lit(0)), posted
-    dealt = t.drop("kind").join(bounded(posted.select("class", "cell", "parts")), ["class", "cell"])
+        return t.withColumn("part", F.lit(0)), posted
+    dealt = t.join(bounded(posted.select("class", "cell", "parts")), ["class", "cell"])
     return saved(dealt.withColumn("part", F.pmod(F.xxhash64("track_id"), F.col("parts")).cast("int")).drop("parts"), "tracks"), posted
 
 

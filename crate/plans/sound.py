@@ -225,7 +225,7 @@ def set_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A set for each customer's wish, from all parts as tracks; a wish for a genre that no track has is free of it."""
     like = view(spark, sf_dir, LIKE)
     like = like.select("track_id", "genre", "vocal", "gender", F.array("mood", "mood2").alias("moods"), F.array_compact(F.array("instrument")).alias("instruments"))
-    t = view(spark, sf_dir, ANALYSIS).select("track_id", "energy", "bpm", "music_key").join(like, "track_id")
+    t = view(spark, sf_dir, ANALYSIS).select("track_id", "energy", "bpm", "music_key").join(like.hint("merge"), "track_id")
     return walks.build_sets(view(spark, sf_dir, ASKED), t).withColumn("position", F.col("position").cast("long"))
 
 

@@ -107,6 +107,21 @@ def test_sets_open_few_cells(spark, monkeypatch):
     assert walks.build_sets(wishes.filter("request_id = 4"), t.filter("track_id < 9")).count() == 9
 
 
+def test_a_text_is_read_once_however_many_wishes_have_it(spark, monkeypatch):
+    """And the class of a track is worked out once for those of equal genre, voice and gender; null texts, genres and voices keep their rows."""
+    read, real, saved, kept = [], requests.parsed, walks.saved, {}
+    monkeypatch.setattr(requests, "parsed", lambda w, *a: read.append(w.count()) or real(w, *a))
+    monkeypatch.setattr(walks, "saved", lambda df, tag: kept.setdefault(tag, saved(df, tag)) if tag == "kinds" else saved(df, tag))
+    t = spark.range(90).selectExpr("id as track_id", "id / 90 as energy", "120D as bpm", "'A min' as music_key", "case id % 3 when 0 then 'Tech House' when 1 then 'Techno' end as genre", "case when id % 2 = 0 then 'vocal' end as vocal", "cast(null as string) as gender", "cast(null as array<string>) as moods", "cast(null as array<string>) as instruments")
+    wishes = spark.range(300).selectExpr("id as request_id", "case id % 3 when 0 then 'tech house, 4 tracks' when 1 then 'steady vocal, 5 tracks' end as text")
+    got = {}
+    for r in walks.build_sets(wishes, t, 3).orderBy("request_id", "position").collect():
+        got.setdefault(r.request_id, []).append(r.track_id)
+    assert [len(got[i]) for i in range(300)] == [4, 5, 3] * 100 and all(got[i] == got[i % 3] for i in range(300))
+    assert all(i % 3 == 0 for i in got[0]) and all(i % 2 == 0 for i in got[1])
+    assert read == [3] and kept["kinds"].count() == 6
+
+
 def test_radio(spark):
     rows = [(i, [1.0, 0.02 * i, 0.0, 0.0]) for i in range(3)] + [(3 + i, [0.0, 0.0, 1.0, 0.02 * i]) for i in range(3)]
     items = spark.createDataFrame(rows, "item_id long, vector array<double>")
