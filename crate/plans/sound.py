@@ -292,19 +292,19 @@ def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 i as (select *, sum(new) over (partition by mix_id order by ts, event_id) as run from c) select mix_id, best, min(ts) as first_ts, max(ts) as last_ts, count(*) as windows, round(max(score), 6) as score from i group by mix_id, run, best""")
 def stream_tracklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of mix windows: runs of one best match, from state."""
-    shaped = lambda s: s.select(F.col("user_id").alias("mix_id"), F.col("event_type").alias("best"), F.col("value").alias("score"), "ts")
-    return _streamed(spark, sf_dir, lambda s: streams.tracklist(shaped(s), floor=20.0, gap="30 days")).filter("best <> '-'").withColumn("score", F.round("score", 6))
+    shaped = lambda s: s.select(F.col("user_id").alias("mix_id"), F.col("event_type").alias("best"), F.col("value").alias("score"), "ts", "event_id")
+    return _streamed(spark, sf_dir, lambda s: streams.tracklist(shaped(s), floor=20.0, gap="30 days", order="event_id"), "event_id").filter("best <> '-'").withColumn("score", F.round("score", 6))
 
 
-def _streamed(spark: SparkSession, sf_dir: str, f) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, f, *more: str) -> DataFrame:
     """f over the events as a file stream, run to its end; its rows are written to a table and read again."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), *more)
     base = saved(events, "stream").inputFiles()[0].rsplit("/", 1)[0]
-    late = events.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit("-").alias("event_type"), F.lit(1e9).alias("value"), "ts")
+    late = events.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit("-").alias("event_type"), F.lit(1e9).alias("value"), "ts", *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in more])
     out = f"{shared_dir(spark)}/stream-{tempfile.mktemp(dir='')[1:]}"
-    for more in (None, late):
-        if more is not None:
-            more.write.mode("append").parquet(base)
+    for last in (None, late):
+        if last is not None:
+            last.write.mode("append").parquet(base)
         run = f(spark.readStream.schema(events.schema).parquet(base)).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
         run.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
