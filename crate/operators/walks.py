@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crate.functions import music, requests
 from crate.functions.vectors import once
-from crate.operators.knn import top_k
+from crate.operators.knn import Known, top_k
 from crate.sources.taxonomy_files import numbered
 from crate.storage import bounded, discard, saved
 
@@ -21,17 +21,20 @@ def radio(seeds: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
     """seed, position (from 0), item_id: from each seed to the most similar item not played yet, n items with the seed.
 
     A round a step, for all seeds together. Of the current item's nearest, as many are fetched as could all have been
-    played, and the first that wasn't is next. items: item_id, vector; seeds: seed. Unknown seeds give nothing.
+    played, and the first that wasn't is next. Rounds share what is known of the items. items: item_id, vector; seeds: seed. Unknown
+    seeds give nothing.
     """
-    at = saved(seeds.join(items.select(F.col("item_id").alias("seed"), "vector"), "seed").select("seed", F.lit(0).alias("position"), F.col("seed").alias("item_id"), "vector"), "radio")
+    vectors, known = items.select("item_id", "vector"), Known()
+    start = saved(seeds.select("seed", F.col("seed").alias("item_id")), "seeds")
+    at = saved(vectors.join(bounded(start), "item_id").select("seed", F.lit(0).alias("position"), "item_id", "vector"), "radio")
     played = at.drop("vector")
     for step in range(1, n):
         asked = at.select(F.col("item_id").alias("query_id"), "vector").dropDuplicates(["query_id"])
-        near = top_k(asked, items, step + 1)
+        near = top_k(asked, items, step + 1, known=known)
         next_ = at.select("seed", F.col("item_id").alias("query_id")).join(near, "query_id").join(played.select("seed", "item_id"), ["seed", "item_id"], "left_anti")
         first = F.row_number().over(Window.partitionBy("seed").orderBy("rank"))
-        found = next_.withColumn("n", first).filter("n = 1").select("seed", "item_id").join(items.select("item_id", "vector"), "item_id")
-        at = saved(found.select("seed", F.lit(step).alias("position"), "item_id", "vector"), "radio")
+        found = saved(next_.withColumn("n", first).filter("n = 1").select("seed", "item_id"), "found")
+        at = saved(vectors.join(bounded(found), "item_id").select("seed", F.lit(step).alias("position"), "item_id", "vector"), "radio")
         if at.isEmpty():
             break
         played = played.unionByName(at.drop("vector"))

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from crate.functions import music, names, requests
-from crate.operators import mixes, organise, signal, taxonomy, walks
+from crate.operators import knn, mixes, organise, signal, taxonomy, walks
 from crate.sources import tables, taxonomy_files
 
 
@@ -129,6 +129,23 @@ def test_radio(spark):
     assert got[0] == 0 and set(got[:3]) == {0, 1, 2} and sorted(got) == list(range(6))
 
 
+def test_rounds_of_a_walk_share_what_is_known_of_the_items(spark, monkeypatch):
+    """Cells are made and judged once for all rounds, whether they are used or not; walks are those of all pairs."""
+    rng = random.Random(3)
+    rows = [(i, [10.0 * (j == i % 6) + rng.random() for j in range(6)]) for i in range(300)]
+    items = spark.createDataFrame(rows, "item_id long, vector array<double>").repartition(4)
+    seeds = spark.createDataFrame([(i,) for i in range(0, 300, 60)], "seed long")
+    walk = lambda: sorted(map(tuple, walks.radio(seeds, items, 4).collect()))
+    want, made, real = walk(), [], knn.celled
+    assert len(want) == 20
+    monkeypatch.setattr(knn, "CELLS_FROM", 100)
+    monkeypatch.setattr(knn, "celled", lambda *a: made.append(1) or real(*a))
+    for share in (1.0, -1.0):
+        monkeypatch.setattr(knn, "SHARE", share)
+        assert walk() == want and len(made) == 1
+        made.clear()
+
+
 def test_even_sample_rounds_halves_to_even(spark):
     df = spark.createDataFrame([(1, float(i), i) for i in range(11)] + [(2, 0.0, 99)], "g long, e double, i long")
     got = walks.even_sample(df, "e", 5, "g").collect()
