@@ -335,3 +335,20 @@ def test_many_k_take_few_jobs_whatever_their_number(spark, monkeypatch):
     monkeypatch.setattr(silhouette, "TASK", 70)  # several blocks of vectors
     parts = silhouette.silhouettes(t, range(2, 30))[1]
     assert parts.scores == pytest.approx(whole.scores, abs=1e-9)
+
+
+def test_what_the_floor_drops_is_not_preferred(spark):
+    # items of the query's kind that are too far, however many, must not hide the others
+    v = [(1, [1.0, 0.9, 0.0], "b", 1), (2, [1.0, 0.8, 0.1], "b", 1), (3, [0.1, 0.0, 1.0], "a", 2), (4, [0.3, 1.0, 0.0], None, 3)]
+    v += [(i, [0.0, 0.1, 1.0], "a", 4) for i in range(10, 60)]
+    t = spark.createDataFrame(v, "item_id long, vector array<double>, kind string, grp long")
+    q = spark.createDataFrame([(100, [1.0, 1.0, 0.0], "a"), (101, [0.0, 0.0, 1.0], "a"), (102, [-1.0, -1.0, 0.0], "b")], "query_id long, vector array<double>, kind string")
+
+    def found(**options):
+        got = {}
+        for r in knn.top_k(q, t, 2, floor=0.5, prefer="kind", **options).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.item_id)
+        return got
+
+    assert found() == {100: [1, 2], 101: [3, 10]}
+    assert found(group="grp") == {100: [1, 4], 101: [3, 10]}
