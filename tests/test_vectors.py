@@ -352,3 +352,16 @@ def test_what_the_floor_drops_is_not_preferred(spark):
 
     assert found() == {100: [1, 2], 101: [3, 10]}
     assert found(group="grp") == {100: [1, 4], 101: [3, 10]}
+
+
+def test_first_centres_are_drawn_among_all_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    far = 50 * rng.normal(size=(50, 6))
+    x = np.concatenate([far + 0.1 * rng.normal(size=far.shape) for _ in range(4)])
+    t = frame(spark, [(i, v.tolist()) for i, v in enumerate([*x, x[0]])])
+    monkeypatch.setattr(silhouette, "START", 20)  # no k beyond it was looked at
+    monkeypatch.setattr(silhouette, "TASK", 70)  # several blocks of vectors
+    found = silhouette.silhouettes(t, range(48, 53))[1]
+    assert list(found) == list(range(48, 53)) and max(found, key=lambda k: found[k][0]) == 50
+    assert len({int(((far - c) ** 2).sum(axis=1).argmin()) for c in found[50][1]}) == 50
+    assert list(silhouette.silhouettes(t, range(199, 203))[1]) == [199, 200]  # as many groups as there are distinct vectors
