@@ -365,3 +365,21 @@ def test_first_centres_are_drawn_among_all_vectors(spark, monkeypatch):
     assert list(found) == list(range(48, 53)) and max(found, key=lambda k: found[k][0]) == 50
     assert len({int(((far - c) ** 2).sum(axis=1).argmin()) for c in found[50][1]}) == 50
     assert list(silhouette.silhouettes(t, range(199, 203))[1]) == [199, 200]  # as many groups as there are distinct vectors
+
+
+def test_models_are_stepped_in_rounds_and_stand_in_small_files(spark, monkeypatch):
+    rng = np.random.default_rng(32)
+    x = np.concatenate([4 * c + 0.3 * rng.normal(size=(12, 6)) for c in rng.normal(size=(20, 6))])
+    t = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    whole, (best, clusters) = silhouette.silhouettes(t, range(2, 30))[1], silhouette.silhouette_k(t, range(2, 30))
+    monkeypatch.setattr(silhouette, "ROUND_BYTES", 64 * 100, raising=False)  # a hundred centres at a time
+    monkeypatch.setattr(silhouette, "FILE_BYTES", 64 * 29 * 2 * 3, raising=False)
+    asked = []
+    monkeypatch.setattr(silhouette, "_met", lambda *a, f=silhouette._met: asked.append(a[3]) or f(*a))
+    parts = silhouette.silhouettes(t, range(2, 30))[1]
+    assert parts.scores == pytest.approx(whole.scores, abs=1e-12) and np.allclose(parts[20][1], whole[20][1])
+    assert max(asked) <= 100 < sum(range(2, 30))
+    last = spark.read.parquet(*parts.tables[-1].inputFiles())
+    assert len(parts.tables) > 3 and last.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 3
+    again, same = silhouette.silhouette_k(t, range(2, 30))
+    assert again == best and {tuple(r) for r in same.collect()} == {tuple(r) for r in clusters.collect()}
